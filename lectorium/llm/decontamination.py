@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectorium.llm._io import table
-from lectorium.llm._text import words
+from lectorium.llm._text import word_count, words
 
 N = 10
 #: Up to so many different windows are broadcast (about 300 bytes each); more are joined by a shuffle.
@@ -24,7 +24,7 @@ MOST_BROADCAST = 500_000
 
 def windows(items: DataFrame, n: int = N) -> DataFrame:
     """The different windows of items(item_id, text): size, gram (array of words), items (their ids as strings)."""
-    w = items.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    w = items.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).filter(word_count(F.col("w")) > 0)
     size = F.least(F.lit(n), F.size("w"))
     at = w.select("item", "w", size.alias("size"), F.explode(F.sequence(F.lit(1), F.size("w") - size + 1)).alias("at"))
     return at.select("item", "size", F.slice("w", F.col("at"), F.col("size")).alias("gram")).groupBy("size", "gram").agg(F.collect_set("item").alias("items"))
@@ -43,17 +43,17 @@ def scan(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
         key = one if key is None else F.coalesce(key, one)
     grams = grams.withColumn("key", key if sizes else F.lit(None).cast("long"))
     d = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("w"))
-    at = d.select("doc_id", "row", "w", F.posexplode_outer("w").alias("at", "word"))
+    at = d.select("doc_id", "row", "w", F.posexplode("w").alias("at", "word"))
     keys = [hashed(lambda i: F.get("w", F.col("at") + i), size) for size in sizes] or [F.lit(None).cast("long")]
     if len(keys) == 1:
         at = at.withColumn("key", keys[0])
     else:  # one more row for each length of short items; key number 0 also carries the last word
         at = at.select("*", F.posexplode(F.array(*keys)).alias("kind", "key"))
-    last = (F.col("at").isNull() | (F.col("at") == F.size("w") - 1)) & (F.col("kind") == 0 if len(keys) > 1 else F.lit(True))
+    last = (F.col("at") == F.size("w") - 1) & (F.col("kind") == 0 if len(keys) > 1 else F.lit(True))
     found = at.join(F.broadcast(grams) if few else grams, "key", "left")
-    good = F.col("gram").isNotNull() & (F.slice("w", F.coalesce("at", F.lit(0)) + 1, F.coalesce("size", F.lit(1))) == F.col("gram"))
+    good = F.col("gram").isNotNull() & (F.slice("w", F.col("at") + 1, F.coalesce("size", F.lit(1))) == F.col("gram"))
     kept = found.filter(last | good).select(
-        "doc_id", "row", F.when(last, F.size("w")).alias("n"), F.when(good, F.struct("at", "size")).alias("hit"), F.when(good, F.col("items")).alias("items")
+        "doc_id", "row", F.when(last, word_count(F.col("w"))).alias("n"), F.when(good, F.struct("at", "size")).alias("hit"), F.when(good, F.col("items")).alias("items")
     )
     per = kept.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n").alias("n"), F.collect_list("hit").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     return per.select("row", "doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_words"), "hits", "items")

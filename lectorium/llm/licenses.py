@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectorium.llm._io import table
-from lectorium.llm._text import words
+from lectorium.llm._text import word_count, words
 
 #: The base phrases and their labels.
 BASE = [("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc")]
@@ -47,9 +47,9 @@ PASSAGES = [
     ("proprietary", "copyright all rights reserved unauthorized copying of this file via any medium is strictly prohibited proprietary and confidential", ["unauthorized copying of this file", "strictly prohibited"]),
 ]
 
-#: Rare words indexed of each passage, how many must agree on a start, and by how many words an edited
-#: copy may be longer or shifted before its key phrases leave the words looked at.
-RARE, AGREE, SLACK = 8, 3, 12
+#: Rare words indexed of each passage, how many must agree on a start, by how many words an edited copy
+#: may be longer or shifted before its key phrases leave the words looked at, and key phrases at most.
+RARE, AGREE, SLACK, PHRASES = 8, 3, 12, 2
 
 
 def templates() -> list[dict]:
@@ -64,15 +64,15 @@ def vocabulary() -> list[str]:
 def document_frequencies(docs: DataFrame) -> tuple[dict[str, int], int]:
     """In how many rows of docs(w array) each licence word stands, and how many rows there are. The result
     has a number for each word of the vocabulary, however large the table."""
-    vocab = vocabulary()
-    found = docs.select(F.array_intersect("w", F.array(*map(F.lit, vocab))).alias("w"))
-    row = found.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.array_contains("w", x)).alias(f"w{i}") for i, x in enumerate(vocab)]).first()
-    return {x: row[f"w{i}"] for i, x in enumerate(vocab)}, row["n"]
+    found = F.array_intersect("w", F.array(*map(F.lit, vocabulary())))
+    counted = docs.select(F.explode(F.concat(F.array(F.lit("")), found)).alias("word")).groupBy("word").count()
+    frequencies = {r["word"]: r["count"] for r in counted.collect()}
+    return frequencies, frequencies.pop("", 0)
 
 
 def postings(frequencies: dict[str, int], n_docs: int) -> list[tuple]:
-    """(word, template, position, label, base, size, rare words with positions and weights, how many must
-    agree, phrases, slack) of the index."""
+    """The index: a row per posting with its word, template, position and rank among the template's rare
+    words, and what a start that it proposes is held against."""
     idf = {w: math.log((n_docs + 1) / (frequencies.get(w, 0) + 1)) for w in vocabulary()}
     rows = []
     for t, x in enumerate(templates()):
@@ -80,38 +80,47 @@ def postings(frequencies: dict[str, int], n_docs: int) -> list[tuple]:
         for i, w in enumerate(x["words"]):
             first.setdefault(w, i)
         rare = sorted(first, key=lambda w: (-idf[w], first[w]))[: 1 if x["base"] else RARE]
-        anchors = [(w, first[w], idf[w] + 1e-9) for w in rare]
-        need = 1 if x["base"] else min(AGREE, len(anchors))
-        for w, at, _ in anchors:
-            rows.append((w, t, at, x["label"], x["base"], len(x["words"]), anchors, need, [f" {p} " for p in x["phrases"]], x["words"], 0 if x["base"] else SLACK))
+        padded = [y for w in rare for y in (w, first[w])] + [None, None] * (RARE - len(rare))
+        phrases = [f" {p} " for p in x["phrases"]] + [None] * (PHRASES - len(x["phrases"]))
+        for rank, w in enumerate(rare):
+            rows.append((w, t, first[w], rank, x["label"], x["base"], len(x["words"]), 1 if x["base"] else min(AGREE, len(rare)), 0 if x["base"] else SLACK, x["words"], *padded, *phrases))
     return rows
 
 
-_SCHEMA = "word string, template int, position int, label string, base boolean, size int, rare array<struct<word:string, at:int, idf:double>>, need int, phrases array<string>, passage array<string>, slack int"
+_SCHEMA = ", ".join(
+    ["word string, template int, position int, rank int, label string, base boolean, size int, need int, slack int, passage array<string>"]
+    + [f"rare{i} string, at{i} int" for i in range(RARE)]
+    + [f"phrase{i} string" for i in range(PHRASES)]
+)
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """For every row of docs(doc_id, text): doc_id, n_words, n_base, first_word, last_word, base_labels,
     labels, score and spans (array of struct of label, start and size in words of what was found)."""
     d = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("w"))
-    index = docs.sparkSession.createDataFrame(postings(*document_frequencies(d)), _SCHEMA)
-    at = d.select("doc_id", "row", "w", F.posexplode_outer("w").alias("at", "word"))
+    rows = postings(*document_frequencies(d))
+    index = docs.sparkSession.createDataFrame(rows, _SCHEMA)
+    at = d.select("doc_id", "row", "w", F.posexplode("w").alias("at", "word"))
+    last = F.col("at") == F.size("w") - 1
+    # Few rows pass here; what follows would be slow for each word.
+    at = at.filter(last | F.col("word").isin(sorted({r[0] for r in rows})))
     hit = at.join(F.broadcast(index), "word", "left")
-    last = F.col("at").isNull() | (F.col("at") == F.size("w") - 1)
-    hit = hit.filter(last | F.col("template").isNotNull())
     start = F.col("at") - F.col("position")
-    agree = F.filter("rare", lambda r: F.get("w", F.col("start") + r["at"]) == r["word"])
-    from_ = F.greatest(F.col("start") - F.col("slack"), F.lit(0))
-    window = F.concat(F.lit(" "), F.array_join(F.slice("w", from_ + 1, F.greatest(F.lit(0), F.col("start") + F.col("size") + F.col("slack") - from_)), " "), F.lit(" "))
-    hit = hit.withColumn("start", start).withColumn("agree", agree).withColumn("last", last)
-    leads = (F.size("agree") >= F.col("need")) & (F.col("agree")[0]["at"] == F.col("position"))  # each start once, by its rarest word
-    inside = ~F.col("base") | ((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.size("w")))
-    verified = F.col("template").isNotNull() & leads & inside & F.forall("phrases", lambda p: F.instr(window, p) > 0)
+    agrees = [F.coalesce(F.get("w", start + F.col(f"at{i}")) == F.col(f"rare{i}"), F.lit(False)) for i in range(RARE)]
+    agree = sum((x.cast("int") for x in agrees[1:]), agrees[0].cast("int"))
+    leads = F.coalesce(*[F.when(x, F.lit(i)) for i, x in enumerate(agrees)]) == F.col("rank")  # each start once, by its rarest word
+    from_ = F.greatest(start - F.col("slack"), F.lit(0))
+    window = F.concat(F.lit(" "), F.array_join(F.slice("w", from_ + 1, F.greatest(F.lit(0), start + F.col("size") + F.col("slack") - from_)), " "), F.lit(" "))
+    inside = ~F.col("base") | ((start >= 0) & (start + F.col("size") <= F.size("w")))
+    verified = F.col("template").isNotNull() & (agree >= F.col("need")) & leads & inside
+    for i in range(PHRASES):
+        verified = verified & (F.col(f"phrase{i}").isNull() | (F.instr(window, F.col(f"phrase{i}")) > 0))
+    ok = F.coalesce(verified, F.lit(False))
+    hit = hit.filter(last | ok).withColumn("start", start).withColumn("last", last).withColumn("ok", ok)
     equal = F.size(F.filter(F.zip_with("passage", F.transform("passage", lambda x, i: F.get("w", F.col("start") + i)), lambda a, b: a == b), lambda x: x))
     score = F.when(F.col("base"), F.lit(1.0)).otherwise(0.5 + 0.5 * equal / F.col("size"))
-    kept = hit.withColumn("ok", F.coalesce(verified, F.lit(False))).filter(F.col("last") | F.col("ok"))
-    kept = kept.select(
-        "doc_id", "row", F.when(F.col("last"), F.size("w")).alias("n"), F.when(F.col("ok"), F.struct("label", "start", "size", "base")).alias("span"), F.when(F.col("ok"), score).alias("score")
+    kept = hit.select(
+        "doc_id", "row", F.when(F.col("last"), word_count(F.col("w"))).alias("n"), F.when(F.col("ok"), F.struct("label", "start", "size", "base")).alias("span"), F.when(F.col("ok"), score).alias("score")
     )
     base = F.col("span")["base"]
     per = kept.groupBy("row").agg(

@@ -281,3 +281,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write a record per row of pages and return what the archives hold."""
     files = write_warc(table(spark, sf_dir, "pages", "page_id", "url", "html"), scratch(spark, "warc"), min_bytes=0)
     return read_warc(files).filter(F.col("record_type") != "gap").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Base32 of a digest: its 160 bits in groups of five.
+OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS n, h, sha1(h) AS x FROM p),
+k AS (SELECT x, max(page_id) AS kept FROM d GROUP BY x),
+u AS (
+  SELECT DISTINCT x, list_aggregate(list_transform(range(8), lambda g: list_aggregate(list_transform(range(8), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, (g * 5 + 1)::BIGINT, 5))::BIGINT >> (15 - 5 * (i % 4))::INTEGER) & 31) + 1)::BIGINT, CASE WHEN i < 4 THEN 1 ELSE 0 END)), 'string_agg', '')), 'string_agg', '') AS b FROM d
+)
+SELECT d.page_id, d.n::BIGINT AS payload_bytes, u.b AS payload_digest, CASE WHEN d.page_id = k.kept THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN d.page_id = k.kept THEN NULL ELSE k.kept END AS refers_to
+FROM d JOIN k ON k.x = d.x JOIN u ON u.x = d.x
+"""
