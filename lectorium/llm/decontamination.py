@@ -6,7 +6,8 @@ last word, which tells its length, so that no second read or join is needed.
 
 Defined results: null and word-free texts have no words, no hits and no items; items without words have
 no windows; shorter items than n are one window each; repeated rows are documents of their own; without
-items nothing is hit; an empty table gives no rows.
+items nothing is hit; an item whose id is null marks words but is named nowhere; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -98,7 +99,7 @@ m AS (
   SELECT x.r, x.k, x.size, g.item FROM (SELECT p.r, p.k, sz.size, array_to_string(p.w[p.k:p.k + sz.size - 1], ' ') AS gram FROM p, sz WHERE p.k + sz.size - 1 <= len(p.w)) x
   JOIN g ON g.gram = x.gram AND g.size = x.size
 ), hw AS (SELECT r, count(DISTINCT c) AS n_hit FROM (SELECT r, unnest(range(k, k + size)) AS c FROM (SELECT DISTINCT r, k, size FROM m)) GROUP BY r),
-hi AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM m) GROUP BY r),
+hi AS (SELECT r, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM m) GROUP BY r),
 scanned AS (
   SELECT dw.doc_id, len(dw.w)::BIGINT AS n_words, coalesce(hw.n_hit, 0)::BIGINT AS n_hit, coalesce(hi.n_items, 0)::BIGINT AS n_items, coalesce(hi.items, '') AS items
   FROM dw LEFT JOIN hw ON hw.r = dw.r LEFT JOIN hi ON hi.r = dw.r

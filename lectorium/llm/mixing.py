@@ -42,7 +42,7 @@ def targets(totals: DataFrame, share: float = SHARE, cap: float = CAP, weights:
     rest = Window.orderBy("own", "n").rowsBetween(0, Window.unboundedFollowing)
     every = Window.partitionBy()
     t = t.withColumn("level", (F.sum("source_size").over(every) * F.lit(float(share)) - F.coalesce(F.sum("most").over(asc), F.lit(0.0))) / F.sum("weight").over(rest))
-    t = t.withColumn("level", F.min(F.when(F.col("level") <= F.col("own"), F.col("level"))).over(every))
+    t = t.withColumn("level", F.min(F.when(F.col("level") <= F.col("own"), F.struct("own", "n", "level"))).over(every)["level"])
     target = F.least(F.col("most"), F.coalesce(F.col("level") * F.col("weight"), F.col("most")))
     return t.select("source", "source_size", "docs", F.round(target, 6).alias("target"))
 
@@ -126,10 +126,11 @@ WITH d AS (
     row_number() OVER (ORDER BY source IS NULL, source) AS n FROM t
 ), l AS (
   SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(2 * source_size) OVER (ORDER BY 2 * source_size / weight, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-    / sum(weight) OVER (ORDER BY 2 * source_size / weight, n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w
+    / sum(weight) OVER (ORDER BY 2 * source_size / weight, n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+    row_number() OVER (ORDER BY 2 * source_size / weight, n) AS pos FROM w
 ), a AS (
   SELECT source, name, source_size, ceil(docs / 512.0)::BIGINT AS shards,
-    round(least(2.0::DOUBLE * source_size, coalesce((min(level) FILTER (WHERE level <= 2 * source_size / weight) OVER ()) * weight, 2.0::DOUBLE * source_size)), 6) AS target FROM l
+    round(least(2.0::DOUBLE * source_size, coalesce((arg_min(level, pos) FILTER (WHERE level <= 2 * source_size / weight) OVER ()) * weight, 2.0::DOUBLE * source_size)), 6) AS target FROM l
 ), s AS (SELECT round(sum(target) / 64)::BIGINT AS seats FROM a),
 q AS (
   SELECT name, count(*) AS quota FROM (
