@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -60,6 +61,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more. Call it where a large
+    intermediate result has been written and its plan is done; else they stay until the driver happens to
+    collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def removed(spark: SparkSession, *frames: DataFrame) -> None:
+    """Delete the files of saved frames that nothing reads any more."""
+    for df in frames:
+        for path in {os.path.dirname(f) for f in df.inputFiles()}:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives the loss of executors."""
     spark = df.sparkSession

@@ -26,13 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectorium.llm._components import components
-from lectorium.llm._io import saved, ship, table
-from lectorium.llm._shingles import shingle_sets, summed, texts_of
+from lectorium.llm._io import release, removed, saved, ship, table
+from lectorium.llm._shingles import mix, shingle_sets, summed, texts_of
 
 #: Ranges of the hash space over which frequencies are counted, and the commonest kept of each: the table
 #: that is broadcast has 2**20 entries of 8 bytes at most.
 RANGES, KEPT, LEAST_FREQUENT = 1024, 1024, 8
 FLUSH = 4_000_000
+#: Shingles of more documents than this are dealt over several tasks; groups that a task remembers.
+SALT_AT, SEEN = 20_000, 500_000
 NULL_ID = -(1 << 63)
 
 
@@ -111,7 +113,7 @@ def _features(batches, n, percent, table_):
         for s in shingle_sets(texts_of(batch.column(1)), n):
             size = len(s)
             if not size:
-                rows.append((0, None, None, None, None, None))
+                rows.append((0, None, None, None, None))
                 continue
             short = (s >> np.uint64(32)).astype(np.uint32)
             order, maybe = s, np.flatnonzero(seen[short >> np.uint32(8)])
@@ -122,22 +124,102 @@ def _features(batches, n, percent, table_):
                 order = s[np.lexsort((s, frequency))]
             prefix = order[: size - (percent * size + 99) // 100 + 1]
             # The group: the prefix as a set (its order is fixed) and the size.
-            rows.append((size, summed(s, 3), summed(s, 5), summed(np.append(prefix, np.uint64(size)), 7), summed(np.append(prefix, np.uint64(size)), 9), prefix.tobytes()))
-        kinds = [pa.int64()] * 5 + [pa.binary()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=["doc_id", "n", "f1", "f2", "g1", "g2", "prefix"])
-
-
-def _postings(batches):
+            rows.append((size, summed(s, 3), summed(s, 5), summed(np.append(prefix, np.uint64(size)), 7), prefix.tobytes()))
+        kinds = [pa.int64()] * 4 + [pa.binary()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=["doc_id", "n", "f1", "f2", "g", "prefix"])
+
+
+def _may(na, nb, pa_, pb, percent):
+    """Whether sizes and places of a common prefix shingle leave room for enough common shingles."""
+    low = np.minimum if isinstance(na, np.ndarray) else F.least
+    high = np.maximum if isinstance(na, np.ndarray) else F.greatest
+    most = low(pa_, pb) + low(na - pa_, nb - pb)
+    return ((100 + percent) * most >= percent * (na + nb)) & (100 * low(na, nb) >= percent * high(na, nb))
+
+
+def _postings(batches, known, salt_at):
+    """A row per shingle of a prefix. A group's copies in one task are listed once. Shingles of very many
+    more than salt_at documents are dealt over parts, a bucket's salt."""
+    values, counts = known.value
+    hot = counts > salt_at
+    values, counts = values[hot], counts[hot]
+    seen: set[tuple[int, int]] = set()
     for batch in batches:
-        prefixes = [np.frombuffer(p, np.int64) for p in batch.column(3).to_pylist()]
+        groups = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        fresh = []
+        for i, g in enumerate(groups):
+            if g not in seen:
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(g)
+                fresh.append(i)
+        prefixes = [np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64) for i in fresh]
         lengths = np.asarray([len(p) for p in prefixes], np.int64)
         rows = np.repeat(np.arange(len(lengths)), lengths)
-        place = np.arange(len(rows)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        take = pa.array(rows)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(prefixes) if len(prefixes) else np.zeros(0, np.int64)), batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), pa.array(place.astype(np.int32))],
-            names=["token", "g1", "g2", "n", "place"],
-        )
+        token = np.concatenate(prefixes) if len(prefixes) else np.zeros(0, np.uint64)
+        group = np.asarray(batch.column(0), np.int64)[fresh][rows] if fresh else np.zeros(0, np.int64)
+        salt = np.full(len(token), -1, np.int32)
+        if len(values):
+            at = np.minimum(np.searchsorted(values, (token >> np.uint64(32)).astype(np.uint32)), len(values) - 1)
+            many = values[at] == (token >> np.uint64(32)).astype(np.uint32)
+            salt[many] = (mix(group[many].view(np.uint64), 4) % (counts[at[many]] // salt_at + 1).astype(np.uint64)).astype(np.int32)
+        place = (np.arange(len(rows)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
+        size = np.asarray(batch.column(1), np.int64)[fresh][rows].astype(np.int32) if fresh else np.zeros(0, np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(salt), pa.array(group), pa.array(size), pa.array(place)], names=["token", "salt", "g", "n", "place"])
+
+
+SHARED = "token long, salt int, g long, n int, place int, hg long, hn int, lead boolean"
+
+
+def _buckets(batches, percent):
+    """Postings come sorted by (token, salt, n, g): only buckets of several groups go on, every posting with
+    the head of its bucket and band of sizes if that could be similar. One row waits for the next batch."""
+    step = np.log(100.0 / percent)
+    last = None  # the row that is still alone in its bucket, or the last bucket's key with None
+    head = None
+    for batch in batches:
+        token, salt, g, n, place = (np.asarray(x) for x in batch.columns[:5])
+        if last is not None:
+            token, salt, g, n, place = (np.concatenate([np.asarray([v], x.dtype), x]) for v, x in zip(last, (token, salt, g, n, place), strict=True))
+        if not len(token):
+            continue
+        same = np.concatenate([[False], (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])])
+        repeat = np.concatenate([[False], same[1:] & (g[1:] == g[:-1]) & (n[1:] == n[:-1])])
+        if repeat.any():
+            keep = ~repeat
+            token, salt, g, n, place = (x[keep] for x in (token, salt, g, n, place))
+            same = np.concatenate([[False], (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])])
+        band = np.floor(np.log(n) / step).astype(np.int64)
+        begins = ~same | np.concatenate([[True], band[1:] != band[:-1]])
+        at = np.maximum.accumulate(np.where(begins, np.arange(len(token)), 0))
+        hg, hn, hp = g[at], n[at], place[at]
+        if head is not None:  # the first rows go on with a bucket and band of the batch before
+            more = (token == head[0]) & (salt == head[1]) & (band == head[5])
+            more &= np.cumsum(~more) == 0
+            hg[more], hn[more], hp[more] = head[2], head[3], head[4]
+        several = same | np.append(same[1:], False) | (salt >= 0)
+        if head is not None and last is not None and head[6]:
+            several[0] = True  # its bucket was already shared in the batch before
+        lead = (g == hg) & (n == hn)
+        star = ~lead & _may(n.astype(np.int64), hn.astype(np.int64), place.astype(np.int64), hp.astype(np.int64), percent)
+        final = len(token) - 1
+        out = np.flatnonzero(several[:final])
+        if len(out):
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(token[out]), pa.array(salt[out]), pa.array(g[out]), pa.array(n[out].astype(np.int32)), pa.array(place[out].astype(np.int32)),
+                    pa.array(hg[out], mask=~star[out]), pa.array(hn[out].astype(np.int32), mask=~star[out]), pa.array(lead[out]),
+                ],
+                names=[x.split()[0] for x in SHARED.split(", ")],
+            )
+        last = tuple(x[final] for x in (token, salt, g, n, place))
+        head = (token[final], salt[final], hg[final], hn[final], hp[final], band[final], bool(several[final]))
+    if last is not None and head[6]:  # the very last row
+        token, salt, g, n, place = last
+        star = (g != head[2] or n != head[3]) and bool(_may(*(np.asarray([x], np.int64) for x in (n, head[3], place, head[4])), percent)[0])
+        rows = (int(token), int(salt), int(g), int(n), int(place), int(head[2]) if star else None, int(head[3]) if star else None, bool(g == head[2] and n == head[3]))
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(rows, kinds, strict=True)], names=[x.split()[0] for x in SHARED.split(", ")])
 
 
 def _sets(batches, n):
@@ -161,78 +243,86 @@ def _verified(batches, percent):
         yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, salt_at: int = SALT_AT) -> DataFrame:
     """For every row of docs(doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id that links
     reach) and class_id (the smallest doc_id of equal set). Two documents link when 100 times their common
     shingles are at least percent times their shingles together."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = spark.sparkContext.broadcast(frequent(docs, n))
-    schema = "doc_id long, n long, f1 long, f2 long, g1 long, g2 long, prefix binary"
-    features = saved(docs.mapInArrow(lambda it: _features(it, n, percent, shared), schema), "features")
-
+    features = saved(docs.mapInArrow(lambda it: _features(it, n, percent, shared), "doc_id long, n long, f1 long, f2 long, g long, prefix binary"), "features")
     filled = features.filter("n > 0")
-    classes = saved(filled.groupBy("f1", "f2", "g1", "g2", "n").agg(F.min("doc_id").alias("id")), "classes")
-    # One class can stand for rows of one doc_id with other texts; a vertex is a doc_id.
-    groups = saved(filled.groupBy("g1", "g2", "n").agg(F.first("prefix").alias("prefix"), F.min(F.struct(F.col("doc_id").alias("id"), "f1")).alias("head")), "groups")
-    postings = groups.select("g1", "g2", "n", "prefix").mapInArrow(_postings, "token long, g1 long, g2 long, n long, place int")
-    counted = saved(postings, "postings")
-    # A bucket is a shingle and a band of sizes: sizes of one band can reach the threshold.
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))
-    me = F.struct("n", "g1", "g2", "place")
-    heads = saved(counted.groupBy("token", band.alias("band")).agg(F.min(me).alias("head"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k"), "bucket-heads")
-
-    def may(na, nb, pa_, pb):
-        """Whether sizes and places leave room for enough common shingles."""
-        most = F.least(pa_, pb) + 1 + F.least(na - pa_, nb - pb) - 1
-        return ((100 + percent) * most >= percent * (na + nb)) & (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
-
-    starred = counted.withColumn("band", band).join(heads, ["token", "band"]).filter((F.col("g1") != F.col("head.g1")) | (F.col("g2") != F.col("head.g2")))
-    starred = starred.filter(may(F.col("n"), F.col("head.n"), F.col("place"), F.col("head.place"))).select("g1", "g2", F.col("head.g1").alias("h1"), F.col("head.g2").alias("h2")).distinct()
-    lead = groups.select("g1", "g2", F.col("head.id").alias("id"), F.col("head.f1").alias("f1"))
+
+    # Buckets: a shingle, or a salted part of a frequent one, with all groups that have it in their prefix.
+    posted = filled.select("g", "n", "prefix").mapInArrow(lambda it: _postings(it, shared, salt_at), "token long, salt int, g long, n int, place int")
+    dealt = lambda rows: rows.select("token", "salt", "g", "n", "place").repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "n", "g").mapInArrow(lambda it: _buckets(it, percent), SHARED)
+    common = saved(dealt(posted), "buckets")
+    above = dealt(common.filter("lead AND salt >= 0").withColumn("salt", F.lit(-1)))  # heads of one frequent shingle
+    starred = common.unionByName(above).filter("hg IS NOT NULL").select("g", "n", "hg", "hn").distinct()
+
+    classes = saved(filled.groupBy("f1", "f2", "g", "n").agg(F.min("doc_id").alias("id")), "classes")
+    groups = saved(classes.groupBy("g", "n").agg(F.min(F.struct("id", "f1")).alias("head"), F.count(F.lit(1)).alias("members")), "groups")
+    release(spark)
+
+    # The sets of all classes that a pair can name.
+    named = common.select("g", "n").union(groups.filter("members > 1").select("g", "n")).distinct()
+    ids = saved(classes.join(named, ["g", "n"], "left_semi").select("id").distinct(), "set-ids")
+    texts = docs.withColumnRenamed("doc_id", "id").join(ids, "id")
+    sets = saved(texts.select("id", "text").mapInArrow(lambda it: _sets(it, n), "id long, f1 long, hashes binary").filter("f1 IS NOT NULL"), "sets")
+    release(spark)
+
     pair = lambda x, y: F.when(F.col(f"{x}.id") <= F.col(f"{y}.id"), F.struct(f"{x}.id", f"{x}.f1", F.col(f"{y}.id").alias("id2"), F.col(f"{y}.f1").alias("f12"))).otherwise(F.struct(f"{y}.id", f"{y}.f1", F.col(f"{x}.id").alias("id2"), F.col(f"{x}.f1").alias("f12")))
-    across = starred.join(lead.select("g1", "g2", F.struct("id", "f1").alias("x")), ["g1", "g2"]).join(lead.select(F.col("g1").alias("h1"), F.col("g2").alias("h2"), F.struct("id", "f1").alias("y")), ["h1", "h2"])
-    within = classes.select("g1", "g2", F.struct("id", "f1").alias("x")).join(lead.select("g1", "g2", F.struct("id", "f1").alias("y")), ["g1", "g2"]).filter(F.col("x.f1") != F.col("y.f1"))
-    candidates = across.select(pair("x", "y").alias("p")).union(within.select(pair("x", "y").alias("p"))).select("p.*").distinct()
 
     def verify(candidates: DataFrame, name: str) -> DataFrame:
-        pairs = saved(candidates, f"{name}-pairs")
-        ids = pairs.select("id").union(pairs.select(F.col("id2").alias("id"))).distinct()
-        texts = docs.withColumnRenamed("doc_id", "id").join(saved(ids, f"{name}-ids"), "id")
-        sets = saved(texts.select("id", "text").mapInArrow(lambda it: _sets(it, n), "id long, f1 long, hashes binary").filter("f1 IS NOT NULL").dropDuplicates(["id", "f1"]), f"{name}-sets")
-        first = pairs.join(sets, ["id", "f1"]).select(F.col("id").alias("a"), F.col("id2").alias("id"), F.col("f12").alias("f1"), F.col("hashes").alias("x"))
-        both = first.join(sets, ["id", "f1"]).select("a", F.col("id").alias("b"), "x", "hashes")
-        return saved(both.mapInArrow(lambda it: _verified(it, percent), "a long, b long"), f"{name}-links")
+        pairs = saved(candidates.select("p.*").distinct(), f"{name}-pairs")
+        once = sets.dropDuplicates(["id", "f1"]) if repeated else sets
+        first = pairs.join(once, ["id", "f1"]).select(F.col("id").alias("a"), F.col("id2").alias("id"), F.col("f12").alias("f1"), F.col("hashes").alias("x"))
+        both = first.join(once, ["id", "f1"]).select("a", F.col("id").alias("b"), "x", "hashes")
+        links = saved(both.mapInArrow(lambda it: _verified(it, percent), "a long, b long"), f"{name}-links").distinct()
+        release(spark)
+        return links
 
-    vertices = saved(classes.select("id").distinct(), "vertices").withColumn("label", F.col("id"))
     # Rows of one doc_id with other texts: their classes belong together.
-    several = saved(filled.groupBy("doc_id").agg(F.min("f1").alias("low"), F.max("f1").alias("high")).filter("low < high").select("doc_id"), "several")
-    owned = filled.select("doc_id", "f1", "f2", "g1", "g2").join(several, "doc_id").join(classes.select("f1", "f2", "g1", "g2", "id"), ["f1", "f2", "g1", "g2"])
-    links = verify(candidates, "star").union(owned.groupBy("doc_id").agg(F.min("id").alias("a")).join(owned.select("doc_id", F.col("id").alias("b")).distinct(), "doc_id").filter("a < b").select("a", "b"))
-    labels = components(vertices, links)
-    # All that is left: pairs of groups in a common bucket with members of different components.
+    several = saved(filled.groupBy("doc_id").agg(F.min("f1").alias("low"), F.max("f1").alias("high"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id", (F.col("low") < F.col("high")).alias("other")), "several")
+    repeated = several.limit(1).count() > 0
+    owned = filled.select("doc_id", "f1", "f2", "g", "n").join(several.filter("other"), "doc_id").join(classes, ["f1", "f2", "g", "n"]).select("doc_id", "id")
+    tied = owned.groupBy("doc_id").agg(F.min("id").alias("a")).join(owned.select("doc_id", F.col("id").alias("b")).distinct(), "doc_id").filter("a < b").select("a", "b")
+
+    # First every group with the heads of its buckets, and the classes of a group with its first class.
+    lead = lambda s: groups.select(F.col("g").alias(f"{s}g"), F.col("n").alias(f"{s}n"), F.col("head").alias(s or "x"))
+    across = starred.join(lead(""), ["g", "n"]).join(lead("h"), ["hg", "hn"]).select(pair("x", "h").alias("p"))
+    within = classes.select("g", "n", F.struct("id", "f1").alias("x")).join(groups.filter("members > 1").select("g", "n", F.col("head").alias("y")), ["g", "n"]).filter("x.f1 <> y.f1").select(pair("x", "y").alias("p"))
+    vertices = saved(classes.select("id").distinct(), "vertices").withColumn("label", F.col("id"))
+    labels = components(vertices, verify(across.union(within), "star").union(tied))
+
+    # All that is left: pairs of groups in a common bucket, or one group, with members of different components.
     placed = saved(classes.join(labels, "id"), "placed")
-    spread = saved(placed.groupBy("g1", "g2").agg(F.min("label").alias("low"), F.max("label").alias("high")), "spread")
-    marked = saved(counted.join(spread, ["g1", "g2"]), "marked")
-    mixed = saved(marked.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.mode("low", True).alias("main")).filter("least < most"), "mixed")
-    open_ = saved(marked.join(mixed.select("token", "main"), "token"), "open")
-    aside = open_.filter((F.col("low") != F.col("main")) | (F.col("high") != F.col("main"))).alias("a")
-    other = open_.alias("b")
+    spread = saved(placed.groupBy("g", "n").agg(F.min("label").alias("low"), F.max("label").alias("high")), "spread")
+    marked = saved(common.select("token", "g", "n", "place").join(spread, ["g", "n"]), "marked")
+    removed(spark, common)
+    release(spark)
+    mixed = saved(marked.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")).filter("least < most").select("token"), "mixed")
+    open_ = saved(marked.join(mixed, "token"), "open")
+    removed(spark, marked)
+    main = saved(open_.groupBy("token").agg(F.mode("low", True).alias("main")), "main")
+    aside = open_.join(main, "token").filter((F.col("low") != F.col("main")) | (F.col("high") != F.col("main"))).drop("main")
+    a, b = saved(aside, "aside").alias("a"), open_.alias("b")
     apart = (F.col("a.low") != F.col("b.low")) | (F.col("a.low") != F.col("a.high")) | (F.col("b.low") != F.col("b.high"))
-    room = may(F.col("a.n"), F.col("b.n"), F.col("a.place"), F.col("b.place"))
-    pairs_of_groups = aside.join(other, (F.col("a.token") == F.col("b.token")) & apart & room).select(*[F.col(f"{s}.{c}").alias(f"{s}{c}") for s in "ab" for c in ("g1", "g2")]).distinct()
-    inner = spread.filter("low < high").select(*[F.col(c).alias(f"{s}{c}") for s in "ab" for c in ("g1", "g2")])
-    member = lambda s: placed.select(F.col("g1").alias(f"{s}g1"), F.col("g2").alias(f"{s}g2"), F.struct("id", "f1", "label").alias("x" if s == "a" else "y"))
-    expanded = pairs_of_groups.union(inner).join(member("a"), ["ag1", "ag2"]).join(member("b"), ["bg1", "bg2"]).filter(F.col("x.label") != F.col("y.label"))
-    rest = verify(expanded.select(pair("x", "y").alias("p")).select("p.*").distinct(), "rest")
-    labels = components(labels, rest)
-
-    of_class = saved(classes.select("f1", "f2", "g1", "g2", F.col("id").alias("class_id")).join(labels.select(F.col("id").alias("class_id"), F.col("label").alias("component_id")), "class_id"), "of-class")
+    room = _may(F.col("a.n").cast("long"), F.col("b.n").cast("long"), F.col("a.place").cast("long"), F.col("b.place").cast("long"), percent)
+    group_pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & apart & room).select(*[F.col(f"{s}.{c}").alias(f"{s}{c}") for s in "ab" for c in "gn"]).distinct()
+    inner = spread.filter("low < high").select(*[F.col(c).alias(f"{s}{c}") for s in "ab" for c in "gn"])
+    member = lambda s: placed.select(F.col("g").alias(f"{s}g"), F.col("n").alias(f"{s}n"), F.struct("id", "f1", "label").alias(s))
+    expanded = group_pairs.union(inner).join(member("a"), ["ag", "an"]).join(member("b"), ["bg", "bn"]).filter("a.label <> b.label")
+    labels = components(labels, verify(expanded.select(pair("a", "b").alias("p")), "rest"))
+    removed(spark, sets)
+
+    of_class = saved(classes.select("f1", "f2", "g", "n", F.col("id").alias("class_id")).join(labels.select(F.col("id").alias("class_id"), F.col("label").alias("component_id")), "class_id"), "of-class")
     none = F.when(F.col("n") == 0, F.col("doc_id"))
-    named = features.drop("prefix").join(of_class, ["f1", "f2", "g1", "g2"], "left")
+    out = features.drop("prefix").join(of_class, ["f1", "f2", "g", "n"], "left")
     real = lambda c: F.when(c != NULL_ID, c)
-    return named.select(
+    return out.select(
         real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("component_id", none)).alias("component_id"), real(F.coalesce("class_id", none)).alias("class_id")
     )
 
