@@ -259,6 +259,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, salt_at:
     posted = filled.select("g", "n", "prefix").mapInArrow(lambda it: _postings(it, shared, salt_at), "token long, salt int, g long, n int, place int")
     dealt = lambda rows: rows.select("token", "salt", "g", "n", "place").repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "n", "g").mapInArrow(lambda it: _buckets(it, percent), SHARED)
     common = saved(dealt(posted), "buckets")
+    wide, features = features, saved(features.drop("prefix"), "sizes")
+    filled = features.filter("n > 0")
+    removed(spark, wide)
+    del posted, wide
     above = dealt(common.filter("lead AND salt >= 0").withColumn("salt", F.lit(-1)))  # heads of one frequent shingle
     starred = common.unionByName(above).filter("hg IS NOT NULL").select("g", "n", "hg", "hn").distinct()
 
@@ -266,21 +270,21 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, salt_at:
     groups = saved(classes.groupBy("g", "n").agg(F.min(F.struct("id", "f1")).alias("head"), F.count(F.lit(1)).alias("members")), "groups")
     release(spark)
 
-    # The sets of all classes that a pair can name.
-    named = common.select("g", "n").union(groups.filter("members > 1").select("g", "n")).distinct()
-    ids = saved(classes.join(named, ["g", "n"], "left_semi").select("id").distinct(), "set-ids")
-    texts = docs.withColumnRenamed("doc_id", "id").join(ids, "id")
-    sets = saved(texts.select("id", "text").mapInArrow(lambda it: _sets(it, n), "id long, f1 long, hashes binary").filter("f1 IS NOT NULL"), "sets")
-    release(spark)
-
     pair = lambda x, y: F.when(F.col(f"{x}.id") <= F.col(f"{y}.id"), F.struct(f"{x}.id", f"{x}.f1", F.col(f"{y}.id").alias("id2"), F.col(f"{y}.f1").alias("f12"))).otherwise(F.struct(f"{y}.id", f"{y}.f1", F.col(f"{x}.id").alias("id2"), F.col(f"{x}.f1").alias("f12")))
 
     def verify(candidates: DataFrame, name: str) -> DataFrame:
         pairs = saved(candidates.select("p.*").distinct(), f"{name}-pairs")
+        ids = saved(pairs.select("id").union(pairs.select(F.col("id2").alias("id"))).distinct(), f"{name}-ids")
+        texts = docs.withColumnRenamed("doc_id", "id").join(ids, "id")
+        sets = saved(texts.select("id", "text").mapInArrow(lambda it: _sets(it, n), "id long, f1 long, hashes binary").filter("f1 IS NOT NULL"), f"{name}-sets")
+        del texts
+        release(spark)
         once = sets.dropDuplicates(["id", "f1"]) if repeated else sets
         first = pairs.join(once, ["id", "f1"]).select(F.col("id").alias("a"), F.col("id2").alias("id"), F.col("f12").alias("f1"), F.col("hashes").alias("x"))
         both = first.join(once, ["id", "f1"]).select("a", F.col("id").alias("b"), "x", "hashes")
         links = saved(both.mapInArrow(lambda it: _verified(it, percent), "a long, b long"), f"{name}-links").distinct()
+        del first, both
+        removed(spark, sets)
         release(spark)
         return links
 
@@ -316,11 +320,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, salt_at:
     member = lambda s: placed.select(F.col("g").alias(f"{s}g"), F.col("n").alias(f"{s}n"), F.struct("id", "f1", "label").alias(s))
     expanded = group_pairs.union(inner).join(member("a"), ["ag", "an"]).join(member("b"), ["bg", "bn"]).filter("a.label <> b.label")
     labels = components(labels, verify(expanded.select(pair("a", "b").alias("p")), "rest"))
-    removed(spark, sets)
-
     of_class = saved(classes.select("f1", "f2", "g", "n", F.col("id").alias("class_id")).join(labels.select(F.col("id").alias("class_id"), F.col("label").alias("component_id")), "class_id"), "of-class")
     none = F.when(F.col("n") == 0, F.col("doc_id"))
-    out = features.drop("prefix").join(of_class, ["f1", "f2", "g", "n"], "left")
+    out = features.join(of_class, ["f1", "f2", "g", "n"], "left")
     real = lambda c: F.when(c != NULL_ID, c)
     return out.select(
         real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("component_id", none)).alias("component_id"), real(F.coalesce("class_id", none)).alias("class_id")
