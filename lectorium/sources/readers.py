@@ -68,7 +68,7 @@ def ranked_lists(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
 
 def poll_lines(spark: SparkSession, path: str) -> DataFrame:
     """`Title - Author` lines by their place: split at the last dash, of any length."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     lines = whole.select(F.posexplode(F.split("value", "\\r?\\n")).alias("at", "line")).filter(F.trim("line") != "")
     cut = "^(.*)\\s+[-–—]\\s+(.*)$"
     return lines.select((F.col("at") + 1).alias("rank"), F.trim(F.regexp_extract("line", cut, 1)).alias("title"), F.trim(F.regexp_extract("line", cut, 2)).alias("author")).filter("title <> ''")
