@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from lectorium.llm._io import saved, scratch, ship, table
 
-#: Chunks kept in a worker's cache, and the longest that is kept.
-CACHE_CHUNKS, CACHE_LENGTH = 1_000_000, 48
+#: Chunks kept in each half of a worker's cache, and the longest that is kept.
+CACHE_CHUNKS, CACHE_LENGTH = 600_000, 48
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\r\x0b\x0ca-z0-9]+")
 
 
@@ -49,7 +49,9 @@ class Encoder(dict):
             made = json.load(f)
         self.by_chunk = made.get("model", {}).get("end_of_word_suffix") == "</w>" and (made.get("normalizer") or {}).get("type") == "Sequence" and {"type": "Lowercase"} in made["normalizer"]["normalizers"]
         self.special = [t["content"].encode() for t in made.get("added_tokens", [])]
-        self.pieces: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -58,14 +60,29 @@ class Encoder(dict):
         """The model's ids of one piece that the pre-tokenizer has made."""
         ids = self.pieces.get(piece)
         if ids is None:
-            ids = np.asarray([t.id for t in self.tokenizer.model.tokenize(piece)], self.dtype).tobytes()
+            ids = self.old_pieces.get(piece)
+            if ids is None:
+                ids = np.asarray([t.id for t in self.tokenizer.model.tokenize(piece)], self.dtype).tobytes()
             if len(piece) <= CACHE_LENGTH:
                 if len(self.pieces) >= CACHE_CHUNKS:
-                    self.pieces.clear()
+                    self.old_pieces, self.pieces = self.pieces, {}
                 self.pieces[piece] = ids
         return ids
 
     def __missing__(self, chunk: bytes) -> bytes:
+        ids = self.old.get(chunk)
+        return self._keep(chunk, self._chunk(chunk) if ids is None else ids)
+
+    def _keep(self, chunk: bytes, ids: bytes) -> bytes:
+        """Remember a chunk. A full cache becomes the old one, from which what is met again comes back."""
+        if len(chunk) <= CACHE_LENGTH:
+            if len(self) >= CACHE_CHUNKS:
+                self.old = dict(self)
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+    def _chunk(self, chunk: bytes) -> bytes:
         text = chunk.decode()
         if b"<|" in chunk or any(t in chunk for t in self.special):
             ids = self._ids(text)
@@ -74,10 +91,6 @@ class Encoder(dict):
         else:
             t = self.tokenizer
             ids = b"".join([self._piece(p) for p, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(text))])
-        if len(chunk) <= CACHE_LENGTH:
-            if len(self) >= CACHE_CHUNKS:
-                self.clear()
-            self[chunk] = ids
         return ids
 
     def encode(self, text: str | None) -> bytes:
