@@ -35,6 +35,8 @@ RANGES, KEPT, LEAST_FREQUENT = 1024, 1024, 8
 FLUSH = 4_000_000
 #: Shingles of more documents than this are dealt over several tasks; groups that a task remembers.
 SALT_AT, SEEN = 20_000, 500_000
+#: Turns of linking by drawn heads at most, and pairs per posting at which the rest is listed at once.
+TURNS, EASY = 5, 4
 NULL_ID = -(1 << 63)
 
 
@@ -301,18 +303,30 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, salt_at:
     vertices = saved(classes.select("id").distinct(), "vertices").withColumn("label", F.col("id"))
     labels = components(vertices, verify(across.union(within), "star").union(tied))
 
+    # Then the rest, while its pairs would be many: each group with another head of each of its shingles
+    # that have several components, a head drawn anew at every turn.
+    rows = common.select("token", "g", "n", "place")
+    for turn in range(TURNS + 1):
+        placed = saved(classes.join(labels, "id"), "placed")
+        spread = saved(placed.groupBy("g", "n").agg(F.min("label").alias("low"), F.max("label").alias("high")), "spread")
+        marked = saved(rows.join(spread, ["g", "n"]), "marked")
+        removed(spark, *([common] if turn == 0 else []))
+        release(spark)
+        mixed = saved(marked.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")).filter("least < most").select("token"), "mixed")
+        open_ = saved(marked.join(mixed, "token"), "open")
+        removed(spark, marked)
+        main = saved(open_.groupBy("token").agg(F.mode("low", True).alias("main"), F.count(F.lit(1)).alias("m")), "main")
+        aside = saved(open_.join(main, "token").filter((F.col("low") != F.col("main")) | (F.col("high") != F.col("main"))).drop("main"), "aside")
+        pairs_left = aside.agg(F.sum("m")).first()[0] or 0
+        if turn == TURNS or pairs_left <= EASY * open_.count():
+            break
+        heads = saved(open_.groupBy("token").agg(F.min_by(F.struct(F.col("g").alias("hg"), F.col("n").alias("hn"), F.col("place").alias("hp"), F.col("low").alias("hl")), F.xxhash64(F.lit(turn), "g")).alias("head")).select("token", "head.*"), "heads")
+        near = open_.join(heads, "token").filter((F.col("low") != F.col("hl")) & _may(F.col("n").cast("long"), F.col("hn").cast("long"), F.col("place").cast("long"), F.col("hp").cast("long"), percent))
+        near = near.select("g", "n", "hg", "hn").distinct().join(lead(""), ["g", "n"]).join(lead("h"), ["hg", "hn"])
+        labels = components(labels, verify(near.select(pair("x", "h").alias("p")), f"turn-{turn}"))
+        rows = open_.select("token", "g", "n", "place")
     # All that is left: pairs of groups in a common bucket, or one group, with members of different components.
-    placed = saved(classes.join(labels, "id"), "placed")
-    spread = saved(placed.groupBy("g", "n").agg(F.min("label").alias("low"), F.max("label").alias("high")), "spread")
-    marked = saved(common.select("token", "g", "n", "place").join(spread, ["g", "n"]), "marked")
-    removed(spark, common)
-    release(spark)
-    mixed = saved(marked.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")).filter("least < most").select("token"), "mixed")
-    open_ = saved(marked.join(mixed, "token"), "open")
-    removed(spark, marked)
-    main = saved(open_.groupBy("token").agg(F.mode("low", True).alias("main")), "main")
-    aside = open_.join(main, "token").filter((F.col("low") != F.col("main")) | (F.col("high") != F.col("main"))).drop("main")
-    a, b = saved(aside, "aside").alias("a"), open_.alias("b")
+    a, b = aside.drop("m").alias("a"), open_.alias("b")
     apart = (F.col("a.low") != F.col("b.low")) | (F.col("a.low") != F.col("a.high")) | (F.col("b.low") != F.col("b.high"))
     room = _may(F.col("a.n").cast("long"), F.col("b.n").cast("long"), F.col("a.place").cast("long"), F.col("b.place").cast("long"), percent)
     group_pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & apart & room).select(*[F.col(f"{s}.{c}").alias(f"{s}{c}") for s in "ab" for c in "gn"]).distinct()
