@@ -14,8 +14,11 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     Labels go along edges, then each label is replaced by the label of the vertex that it names, which
     halves the way that is left, until nothing changes. Every round's labels are written to the shared
     folder; joins read plain tables, so that Spark can split the partition of a vertex of many edges.
-    label must be the id of a vertex of the same component.
+    label must be the id of a vertex of the same component; a label found in an earlier call counts as an
+    edge, so that new edges join all members of both components.
     """
+    known = vertices.filter("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))
+    edges = edges.select("a", "b").union(known)
     both = saved(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = saved(vertices.select("id", "label"), "labels")
     while True:

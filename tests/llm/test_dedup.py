@@ -81,6 +81,14 @@ def test_components_of_paths(spark):
     assert got == {i: min(ids[k // 50 * 50 : k // 50 * 50 + 50]) for k, i in enumerate(ids)}
 
 
+def test_components_of_later_edges(spark):
+    """A later edge joins two vertices that don't name their components."""
+    vertices = spark.createDataFrame([(i, i) for i in (1, 2, 10, 11, 12, 20)], "id long, label long")
+    first = components(vertices, spark.createDataFrame([(1, 2), (10, 11), (11, 12)], "a long, b long"))
+    got = {r.id: r.label for r in components(first, spark.createDataFrame([(2, 12)], "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 10: 1, 11: 1, 12: 1, 20: 20}
+
+
 def brute_repeats(rows, length=100):
     seen, out = set(), []
     for d, t in rows:
