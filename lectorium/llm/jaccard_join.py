@@ -1,16 +1,16 @@
-"""N-gram Jaccard join by grouped prefixes: the exact components of near-duplicate documents.
+"""N-gram Jaccard join by grouped prefixes: every link between near-duplicate documents, as each document's
+number of links, and the exact components that the links make.
 
 Shingles are ordered by document frequency, rarest first (those beyond a table of the commonest are all
 alike), then by hash. A document's prefix is so long that two documents whose similarity reaches the
 threshold share a shingle of their prefixes. Documents of equal prefix and size form one group, exact
 copies among them one class. Groups that share a prefix shingle are filtered by size and by the place of
-the shingle in both prefixes; what is left is expanded to member classes and verified on whole sets.
+the shingle in both prefixes; what is left, and every group with itself, is expanded to pairs of classes.
 
-No pair is listed that can't change the result. First every group is held against one group of each of
-its shingles and the classes of a group against its first class, which links most of a family of copies
-by as many pairs as it has members. Then only pairs whose classes are in different components are listed,
-in the shingles where there are such, and all of those are verified. So components are exact, while a
-group of n near copies costs about n pairs rather than n squared.
+All these pairs are verified on whole sets, each once. Classes are dealt to blocks by the least shared
+shingle of their prefix, so that a family of near copies meets in few pairs of blocks, and a set is sent
+once to each pair of blocks that needs it. Exact copies are collapsed and counted. A group of n near copies
+of different text costs n squared / 2 pairs: that many links there may be.
 
 Defined results: null, empty and word-free texts have an empty set and are linked with nothing; a text
 of fewer words than n is one shingle; rows that share a doc_id are one document with all their links; a
@@ -35,8 +35,8 @@ RANGES, KEPT, LEAST_FREQUENT = 1024, 1024, 8
 FLUSH = 4_000_000
 #: Shingles of more documents than this are dealt over several tasks; groups that a task remembers.
 SALT_AT, SEEN = 20_000, 500_000
-#: Turns of linking by drawn heads at most, and pairs per posting at which the rest is listed at once.
-TURNS, EASY = 5, 4
+#: Classes of a block, and least shingles by which a pair that meets in several buckets is told.
+BLOCK, LEAST = 256, 8
 NULL_ID = -(1 << 63)
 
 
@@ -170,85 +170,112 @@ def _postings(batches, known, salt_at):
         yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(salt), pa.array(group), pa.array(size), pa.array(place)], names=["token", "salt", "g", "n", "place"])
 
 
-SHARED = "token long, salt int, g long, n int, place int, hg long, hn int, lead boolean"
+POSTING = "token long, salt int, g long, n int, place int"
 
 
-def _buckets(batches, percent):
-    """Postings come sorted by (token, salt, n, g): only buckets of several groups go on, every posting with
-    the head of its bucket and band of sizes if that could be similar. One row waits for the next batch."""
-    step = np.log(100.0 / percent)
-    last = None  # the row that is still alone in its bucket, or the last bucket's key with None
-    head = None
+def _buckets(batches):
+    """Postings come sorted by (token, salt, n, g): each once, those alone in their bucket not at all. One row
+    waits for the next batch."""
+    last, joined = None, False  # the row that waits, and whether its bucket has others before it
+    names = [x.split()[0] for x in POSTING.split(", ")]
     for batch in batches:
-        token, salt, g, n, place = (np.asarray(x) for x in batch.columns[:5])
+        rows = [np.asarray(x) for x in batch.columns]
         if last is not None:
-            token, salt, g, n, place = (np.concatenate([np.asarray([v], x.dtype), x]) for v, x in zip(last, (token, salt, g, n, place), strict=True))
-        if not len(token):
+            rows = [np.concatenate([v, x]) for v, x in zip(last, rows, strict=True)]
+        if not len(rows[0]):
             continue
+        equal = [np.concatenate([[False], x[1:] == x[:-1]]) for x in rows]
+        fresh = ~(equal[0] & equal[1] & equal[2] & equal[3])
+        token, salt, *_ = rows = [x[fresh] for x in rows]
         same = np.concatenate([[False], (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])])
-        repeat = np.concatenate([[False], same[1:] & (g[1:] == g[:-1]) & (n[1:] == n[:-1])])
-        if repeat.any():
-            keep = ~repeat
-            token, salt, g, n, place = (x[keep] for x in (token, salt, g, n, place))
-            same = np.concatenate([[False], (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])])
-        band = np.floor(np.log(n) / step).astype(np.int64)
-        begins = ~same | np.concatenate([[True], band[1:] != band[:-1]])
-        at = np.maximum.accumulate(np.where(begins, np.arange(len(token)), 0))
-        hg, hn, hp = g[at], n[at], place[at]
-        if head is not None:  # the first rows go on with a bucket and band of the batch before
-            more = (token == head[0]) & (salt == head[1]) & (band == head[5])
-            more &= np.cumsum(~more) == 0
-            hg[more], hn[more], hp[more] = head[2], head[3], head[4]
         several = same | np.append(same[1:], False) | (salt >= 0)
-        if head is not None and last is not None and head[6]:
-            several[0] = True  # its bucket was already shared in the batch before
-        lead = (g == hg) & (n == hn)
-        star = ~lead & _may(n.astype(np.int64), hn.astype(np.int64), place.astype(np.int64), hp.astype(np.int64), percent)
-        final = len(token) - 1
-        out = np.flatnonzero(several[:final])
+        several[0] |= joined
+        out = np.flatnonzero(several[:-1])
         if len(out):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(token[out]), pa.array(salt[out]), pa.array(g[out]), pa.array(n[out].astype(np.int32)), pa.array(place[out].astype(np.int32)),
-                    pa.array(hg[out], mask=~star[out]), pa.array(hn[out].astype(np.int32), mask=~star[out]), pa.array(lead[out]),
-                ],
-                names=[x.split()[0] for x in SHARED.split(", ")],
-            )
-        last = tuple(x[final] for x in (token, salt, g, n, place))
-        head = (token[final], salt[final], hg[final], hn[final], hp[final], band[final], bool(several[final]))
-    if last is not None and head[6]:  # the very last row
-        token, salt, g, n, place = last
-        star = (g != head[2] or n != head[3]) and bool(_may(*(np.asarray([x], np.int64) for x in (n, head[3], place, head[4])), percent)[0])
-        rows = (int(token), int(salt), int(g), int(n), int(place), int(head[2]) if star else None, int(head[3]) if star else None, bool(g == head[2] and n == head[3]))
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_()]
-        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(rows, kinds, strict=True)], names=[x.split()[0] for x in SHARED.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in rows], names=names)
+        last, joined = [x[-1:] for x in rows], bool(several[-1])
+    if last is not None and joined:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], names=names)
+
+
+CASE = "block long, c long, other long, hashes binary"
+#: Rows and bytes of sets sent at once.
+SENT_ROWS, SENT_BYTES = 4096, 1 << 24
 
 
 def _sets(batches, n):
+    """For each text and each of wants(f1, block, c) that has its set, the set for that pair of blocks."""
+    kinds, names = [pa.int64(), pa.int64(), pa.int64(), pa.binary()], [x.split()[0] for x in CASE.split(", ")]
+    held, size = [], 0
     for batch in batches:
-        sets = shingle_sets(texts_of(batch.column(1)), n)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([summed(s, 3) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "f1", "hashes"]
-        )
+        for s, wants in zip(shingle_sets(texts_of(batch.column(0)), n), batch.column(1), strict=True):
+            f1, raw = summed(s, 3) if len(s) else None, s.tobytes()
+            for w in wants.as_py():
+                if w["f1"] == f1:
+                    held.append((w["block"], w["c"], None, raw))
+                    size += len(raw)
+                    if len(held) >= SENT_ROWS or size >= SENT_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), kinds)], names=names)
+                        held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), kinds)], names=names)
+
+
+def _links(sets: dict[int, np.ndarray], first: list[int], other: list[int], percent: int):
+    """Which of the pairs (first, other) of sets are similar, as two arrays."""
+    names = sorted(set(first) | set(other))
+    at = {c: i for i, c in enumerate(names)}
+    lengths = np.asarray([len(sets[c]) for c in names], np.int64)
+    ends = np.cumsum(lengths)
+    values, flat = np.unique(np.concatenate([sets[c] for c in names]), return_inverse=True)
+    a, b = np.asarray([at[c] for c in first]), np.asarray([at[c] for c in other])
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    mark, good = np.zeros(len(values), bool), np.zeros(len(a), bool)
+    cuts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1], [True]]))
+    for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+        i, js = a[x], b[x:y]
+        mine = flat[ends[i] - lengths[i] : ends[i]]
+        mark[mine] = True
+        if 4 * len(js) > len(names):  # the sets of the whole block at once
+            same = np.add.reduceat(mark[flat], ends - lengths)[js] if len(flat) else np.zeros(len(js), np.int64)
+        else:
+            same = np.asarray([np.count_nonzero(mark[flat[ends[j] - lengths[j] : ends[j]]]) for j in js])
+        mark[mine] = False
+        good[x:y] = 100 * same >= percent * (lengths[i] + lengths[js] - same)
+    ids = np.asarray(names, np.int64)
+    return ids[a[good]], ids[b[good]]
 
 
 def _verified(batches, percent):
+    """Rows come sorted by block, its sets before its pairs: one pair of blocks is held at a time."""
+    block, sets, first, other = None, {}, [], []
+
+    def out():
+        a, b = _links(sets, first, other, percent)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
     for batch in batches:
-        good = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = np.concatenate([a, b])
-            both.sort()
-            same = int(np.count_nonzero(both[1:] == both[:-1]))
-            good.append(100 * same >= percent * (len(a) + len(b) - same))
-        keep = pa.array(np.flatnonzero(good))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
+        for k, c, o, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+            if k != block:
+                if first:
+                    yield out()
+                block, sets, first, other = k, {}, [], []
+            if o is None:
+                if c not in sets:
+                    sets[c] = np.frombuffer(s.as_buffer(), np.uint64).copy()
+            else:
+                first.append(c)
+                other.append(o)
+    if first:
+        yield out()
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, salt_at: int = SALT_AT) -> DataFrame:
     """For every row of docs(doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id that links
-    reach) and class_id (the smallest doc_id of equal set). Two documents link when 100 times their common
-    shingles are at least percent times their shingles together."""
+    reach), class_id (the smallest doc_id of equal set) and n_links (the other documents it is linked with,
+    exact copies too). Two documents link when 100 times their common shingles are at least percent times
+    their shingles together."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text")
@@ -258,91 +285,80 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, salt_at:
     filled = features.filter("n > 0")
 
     # Buckets: a shingle, or a salted part of a frequent one, with all groups that have it in their prefix.
-    posted = filled.select("g", "n", "prefix").mapInArrow(lambda it: _postings(it, shared, salt_at), "token long, salt int, g long, n int, place int")
-    dealt = lambda rows: rows.select("token", "salt", "g", "n", "place").repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "n", "g").mapInArrow(lambda it: _buckets(it, percent), SHARED)
-    common = saved(dealt(posted), "buckets")
+    posted = filled.select("g", "n", "prefix").mapInArrow(lambda it: _postings(it, shared, salt_at), POSTING)
+    common = saved(posted.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "n", "g").mapInArrow(_buckets, POSTING).select("token", "g", "n", "place"), "buckets")
     wide, features = features, saved(features.drop("prefix"), "sizes")
     filled = features.filter("n > 0")
     removed(spark, wide)
     del posted, wide
-    above = dealt(common.filter("lead AND salt >= 0").withColumn("salt", F.lit(-1)))  # heads of one frequent shingle
-    starred = common.unionByName(above).filter("hg IS NOT NULL").select("g", "n", "hg", "hn").distinct()
-
-    classes = saved(filled.groupBy("f1", "f2", "g", "n").agg(F.min("doc_id").alias("id")), "classes")
-    groups = saved(classes.groupBy("g", "n").agg(F.min(F.struct("id", "f1")).alias("head"), F.count(F.lit(1)).alias("members")), "groups")
     release(spark)
 
-    pair = lambda x, y: F.when(F.col(f"{x}.id") <= F.col(f"{y}.id"), F.struct(f"{x}.id", f"{x}.f1", F.col(f"{y}.id").alias("id2"), F.col(f"{y}.f1").alias("f12"))).otherwise(F.struct(f"{y}.id", f"{y}.f1", F.col(f"{x}.id").alias("id2"), F.col(f"{x}.f1").alias("f12")))
-
-    def verify(candidates: DataFrame, name: str) -> DataFrame:
-        pairs = saved(candidates.select("p.*").distinct(), f"{name}-pairs")
-        ids = saved(pairs.select("id").union(pairs.select(F.col("id2").alias("id"))).distinct(), f"{name}-ids")
-        texts = docs.withColumnRenamed("doc_id", "id").join(ids, "id")
-        sets = saved(texts.select("id", "text").mapInArrow(lambda it: _sets(it, n), "id long, f1 long, hashes binary").filter("f1 IS NOT NULL"), f"{name}-sets")
-        del texts
-        release(spark)
-        once = sets.dropDuplicates(["id", "f1"]) if repeated else sets
-        first = pairs.join(once, ["id", "f1"]).select(F.col("id").alias("a"), F.col("id2").alias("id"), F.col("f12").alias("f1"), F.col("hashes").alias("x"))
-        both = first.join(once, ["id", "f1"]).select("a", F.col("id").alias("b"), "x", "hashes")
-        links = saved(both.mapInArrow(lambda it: _verified(it, percent), "a long, b long"), f"{name}-links").distinct()
-        del first, both
-        removed(spark, sets)
-        release(spark)
-        return links
-
-    # Rows of one doc_id with other texts: their classes belong together.
-    several = saved(filled.groupBy("doc_id").agg(F.min("f1").alias("low"), F.max("f1").alias("high"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id", (F.col("low") < F.col("high")).alias("other")), "several")
-    repeated = several.limit(1).count() > 0
-    owned = filled.select("doc_id", "f1", "f2", "g", "n").join(several.filter("other"), "doc_id").join(classes, ["f1", "f2", "g", "n"]).select("doc_id", "id")
-    tied = owned.groupBy("doc_id").agg(F.min("id").alias("a")).join(owned.select("doc_id", F.col("id").alias("b")).distinct(), "doc_id").filter("a < b").select("a", "b")
-
-    # First every group with the heads of its buckets, and the classes of a group with its first class.
-    lead = lambda s: groups.select(F.col("g").alias(f"{s}g"), F.col("n").alias(f"{s}n"), F.col("head").alias(s or "x"))
-    across = starred.join(lead(""), ["g", "n"]).join(lead("h"), ["hg", "hn"]).select(pair("x", "h").alias("p"))
-    within = classes.select("g", "n", F.struct("id", "f1").alias("x")).join(groups.filter("members > 1").select("g", "n", F.col("head").alias("y")), ["g", "n"]).filter("x.f1 <> y.f1").select(pair("x", "y").alias("p"))
-    vertices = saved(classes.select("id").distinct(), "vertices").withColumn("label", F.col("id"))
-    labels = components(vertices, verify(across.union(within), "star").union(tied))
-
-    # Then the rest, while its pairs would be many: each group with another head of each of its shingles
-    # that have several components, a head drawn anew at every turn.
-    rows = common.select("token", "g", "n", "place")
-    for turn in range(TURNS + 1):
-        placed = saved(classes.join(labels, "id"), "placed")
-        spread = saved(placed.groupBy("g", "n").agg(F.min("label").alias("low"), F.max("label").alias("high")), "spread")
-        marked = saved(rows.join(spread, ["g", "n"]), "marked")
-        removed(spark, *([common] if turn == 0 else []))
-        release(spark)
-        mixed = saved(marked.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")).filter("least < most").select("token"), "mixed")
-        open_ = saved(marked.join(mixed, "token"), "open")
-        removed(spark, marked)
-        main = saved(open_.groupBy("token").agg(F.mode("low", True).alias("main"), F.count(F.lit(1)).alias("m")), "main")
-        aside = saved(open_.join(main, "token").filter((F.col("low") != F.col("main")) | (F.col("high") != F.col("main"))).drop("main"), "aside")
-        pairs_left = aside.agg(F.sum("m")).first()[0] or 0
-        if turn == TURNS or pairs_left <= EASY * open_.count():
-            break
-        heads = saved(open_.groupBy("token").agg(F.min_by(F.struct(F.col("g").alias("hg"), F.col("n").alias("hn"), F.col("place").alias("hp"), F.col("low").alias("hl")), F.xxhash64(F.lit(turn), "g")).alias("head")).select("token", "head.*"), "heads")
-        near = open_.join(heads, "token").filter((F.col("low") != F.col("hl")) & _may(F.col("n").cast("long"), F.col("hn").cast("long"), F.col("place").cast("long"), F.col("hp").cast("long"), percent))
-        near = near.select("g", "n", "hg", "hn").distinct().join(lead(""), ["g", "n"]).join(lead("h"), ["hg", "hn"])
-        labels = components(labels, verify(near.select(pair("x", "h").alias("p")), f"turn-{turn}"))
-        rows = open_.select("token", "g", "n", "place")
-    # All that is left: pairs of groups in a common bucket, or one group, with members of different components.
-    a, b = aside.drop("m").alias("a"), open_.alias("b")
-    apart = (F.col("a.low") != F.col("b.low")) | (F.col("a.low") != F.col("a.high")) | (F.col("b.low") != F.col("b.high"))
+    # Pairs of groups. One that meets in several buckets is listed in the first that both have among their
+    # least shingles, if there is one.
+    least = saved(common.groupBy("g", "n").agg(F.slice(F.array_sort(F.collect_set("token")), 1, LEAST).alias("least")), "least")
+    met = saved(common.join(least, ["g", "n"]), "met")
+    removed(spark, common)
+    a, b = met.alias("a"), met.alias("b")
+    ordered = (F.col("a.g") < F.col("b.g")) | ((F.col("a.g") == F.col("b.g")) & (F.col("a.n") < F.col("b.n")))
     room = _may(F.col("a.n").cast("long"), F.col("b.n").cast("long"), F.col("a.place").cast("long"), F.col("b.place").cast("long"), percent)
-    group_pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & apart & room).select(*[F.col(f"{s}.{c}").alias(f"{s}{c}") for s in "ab" for c in "gn"]).distinct()
-    inner = spread.filter("low < high").select(*[F.col(c).alias(f"{s}{c}") for s in "ab" for c in "gn"])
-    member = lambda s: placed.select(F.col("g").alias(f"{s}g"), F.col("n").alias(f"{s}n"), F.struct("id", "f1", "label").alias(s))
-    expanded = group_pairs.union(inner).join(member("a"), ["ag", "an"]).join(member("b"), ["bg", "bn"]).filter("a.label <> b.label")
-    labels = components(labels, verify(expanded.select(pair("a", "b").alias("p")), "rest"))
-    of_class = saved(classes.select("f1", "f2", "g", "n", F.col("id").alias("class_id")).join(labels.select(F.col("id").alias("class_id"), F.col("label").alias("component_id")), "class_id"), "of-class")
+    here = F.coalesce(F.array_min(F.array_intersect("a.least", "b.least")), F.col("a.token")) == F.col("a.token")
+    group_pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & ordered & room & here).select(*[F.col(f"{s}.{c}").alias(f"{s}{c}") for s in "ab" for c in "gn"]).distinct()
+
+    # Classes, dealt to blocks: c is a class's number, id the smallest doc_id that has it.
+    classes = filled.groupBy("f1", "f2", "g", "n").agg(F.min("doc_id").alias("id"))
+    keyed = classes.join(least, ["g", "n"], "left").select("f1", "f2", "g", "n", "id", F.coalesce(F.col("least")[0], F.col("g")).alias("key"))
+    classes = saved(keyed.withColumn("c", F.monotonically_increasing_id()), "classes")
+    wide = classes.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    placed = saved(classes.join(wide, "key").select("g", "n", "c", F.xxhash64("key", F.pmod(F.xxhash64("c"), "blocks")).alias("block")), "placed")
+    member = lambda s: placed.select(F.col("g").alias(f"{s}g"), F.col("n").alias(f"{s}n"), F.col("c").alias(s), F.col("block").alias(f"{s}block"))
+    between = group_pairs.join(member("a"), ["ag", "an"]).join(member("b"), ["bg", "bn"])
+    within = member("a").join(member("b"), (F.col("ag") == F.col("bg")) & (F.col("an") == F.col("bn")) & (F.col("a") < F.col("b")))
+    met_in = F.xxhash64(F.least("ablock", "bblock"), F.greatest("ablock", "bblock")).alias("block")
+    pairs = saved(between.select("a", "b", met_in).union(within.select("a", "b", met_in)), "pairs")
+    removed(spark, met, least)
+    release(spark)
+
+    # Each pair of blocks gets the sets that its pairs need, and verifies them.
+    needed = pairs.select("block", F.col("a").alias("c")).union(pairs.select("block", F.col("b").alias("c"))).distinct()
+    wants = saved(needed.join(classes.select("c", "id", "f1"), "c").groupBy(F.col("id").alias("doc_id")).agg(F.collect_list(F.struct("f1", "block", "c")).alias("wants")), "wants")
+    sets = docs.join(wants, "doc_id").select("text", "wants").mapInArrow(lambda it: _sets(it, n), CASE)
+    cases = sets.union(pairs.select("block", F.col("a").alias("c"), F.col("b").alias("other"), F.lit(None).cast("binary")))
+    links = saved(cases.repartition(parts, "block").sortWithinPartitions("block", F.col("other").asc_nulls_first()).mapInArrow(lambda it: _verified(it, percent), "a long, b long"), "links")
+    removed(spark, pairs, wants)
+    release(spark)
+
+    # Documents of several classes, by rows of one doc_id with other texts: their classes belong together.
+    owned = saved(filled.select("doc_id", "f1", "f2", "g", "n").distinct().join(classes, ["f1", "f2", "g", "n"]).select("doc_id", "c", "id"), "owned")
+    several = saved(owned.groupBy("doc_id").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("doc_id", "a"), "several")
+    spread = saved(owned.join(several, "doc_id"), "spread")
+    tied = spread.filter("a < id").select("a", F.col("id").alias("b"))
+    named = lambda s: classes.select(F.col("c").alias(s), F.col("id").alias(f"{s}id"))
+    edges = links.join(named("a"), "a").join(named("b"), "b").filter("aid <> bid").select(F.col("aid").alias("a"), F.col("bid").alias("b"))
+    labels = components(classes.select("id").distinct().withColumn("label", F.col("id")), edges.union(tied))
+
+    # Links of a document: the documents of its classes and of the classes linked with them, but for itself.
+    # Those of one class are summed by class, those of several are told apart.
+    near = saved(links.union(links.select("b", "a")).union(classes.select("c", "c")).toDF("c", "near"), "near")
+    single = owned.join(several, "doc_id", "left_anti").groupBy(F.col("c").alias("near")).agg(F.count(F.lit(1)).alias("docs"))
+    whose = spread.select(F.col("c").alias("near"), F.col("doc_id").alias("whose"))
+    total = lambda rows, key: rows.join(single, "near").groupBy(key).agg(F.sum("docs").alias("one"))
+    apart = lambda rows, key: rows.join(whose, "near").groupBy(key).agg(F.count_distinct("whose").alias("more"))
+    linked = (F.coalesce("one", F.lit(0)) + F.coalesce("more", F.lit(0)) - 1).alias("links")
+    of_one = saved(classes.select("c").join(total(near, "c"), "c", "left").join(apart(near, "c"), "c", "left").select("c", linked), "of-one")
+    reached = spread.select("doc_id", "c").join(near, "c").select("doc_id", "near").distinct()
+    of_more = saved(several.select("doc_id").join(total(reached, "doc_id"), "doc_id", "left").join(apart(reached, "doc_id"), "doc_id", "left").select("doc_id", linked.alias("links_of_all")), "of-more")
+
+    of_class = classes.join(labels, "id").join(of_one, "c")
+    of_class = saved(of_class.select("f1", "f2", "g", "n", F.col("id").alias("class_id"), F.col("label").alias("component_id"), "links"), "of-class")
     none = F.when(F.col("n") == 0, F.col("doc_id"))
-    out = features.join(of_class, ["f1", "f2", "g", "n"], "left")
+    out = features.join(of_class, ["f1", "f2", "g", "n"], "left").join(of_more, "doc_id", "left")
     real = lambda c: F.when(c != NULL_ID, c)
     return out.select(
-        real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("component_id", none)).alias("component_id"), real(F.coalesce("class_id", none)).alias("class_id")
-    )
+        real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("component_id", none)).alias("component_id"), real(F.coalesce("class_id", none)).alias("class_id"),
+        F.coalesce("links_of_all", "links", F.lit(0)).alias("n_links"),
+    )
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of all documents at a similarity of 85 % on four-word shingles."""
+    """Numbers of links and components of all documents at a similarity of 85 % on four-word shingles."""
     return jaccard_components(table(spark, sf_dir, "documents", "doc_id", "text"), n=4, percent=85)

@@ -81,6 +81,34 @@ def test_components_of_paths(spark):
     assert got == {i: min(ids[k // 50 * 50 : k // 50 * 50 + 50]) for k, i in enumerate(ids)}
 
 
+def brute_links(rows, n, percent):
+    """Each document's number of other documents that any of its rows is linked with."""
+    sets, linked = [], {}
+    for d, text in rows:
+        w = re.findall("[^\x20\x09-\x0d]+", (text or "").translate(LOWER))
+        sets.append((d, {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()))
+        linked.setdefault(d, set())
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[:i]:
+            same = len(x & y)
+            if a != b and same and 100 * same >= percent * (len(x) + len(y) - same):
+                linked[a].add(b)
+                linked[b].add(a)
+    return {d: len(x) for d, x in linked.items()}
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_links_are_all_counted(spark, monkeypatch, block):
+    """Exact copies, families of near copies in which not all are linked, and documents of several texts."""
+    monkeypatch.setattr("lectorium.llm.jaccard_join.BLOCK", block)
+    rng = random.Random(block)
+    texts = family(rng, 60, 40, 3) + family(rng, 120, 20, 6) + ["", None, "x", "X", "x y z"]
+    rows = list(enumerate(texts + texts[:6] + texts[:3])) + [(2, texts[45]), (2, texts[50]), (7, texts[45]), (50, texts[1]), (50, texts[50])]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    assert {r.doc_id: r.n_links for r in got} == brute_links(rows, 4, 85)
+    assert len(got) == len(rows) and sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 4, 85)
+
+
 def test_components_of_later_edges(spark):
     """A later edge joins two vertices that don't name their components."""
     vertices = spark.createDataFrame([(i, i) for i in (1, 2, 10, 11, 12, 20)], "id long, label long")
