@@ -21,12 +21,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without text or letters, or of no likelier language than chance, go."""
+    """Documents of no language go: those without text or letters, and all where no row has a label."""
     docs = docs.select(*COLUMNS)
     model = train(docs.select("doc_id", "text", "lang"))
     named = identify(docs.select(*COLUMNS, F.col("text").alias("_text")), model, text="_text")
-    sure = 1.0 / max(1, len(model.languages))
-    return named.filter((F.col("lang_pred") != UND) & (F.col("score") > sure)).select(*COLUMNS)
+    return named.filter(F.col("lang_pred") != UND).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,5 +37,13 @@ def test_stages(spark, store, odd_documents):
     assert sorted(str(r.doc_id) for r in last) == sorted(str(r.doc_id) for r in mixed)
 
 
+def test_language_with_one_label(spark, store):
+    """Of a corpus of one label only documents without letters go."""
+    rows = [(i, f"the words of document number {i} are all plain English", "en", "a") for i in range(30)] + [(30, None, "en", "a"), (31, "12 34", "en", "a")]
+    root = store(rows)
+    got = cp.language(spark, spark.read.parquet(f"{root}/documents.parquet"), root).collect()
+    assert sorted(r.doc_id for r in got) == list(range(30))
+
+
 def test_run_on_an_empty_table(spark, store):
     assert cp.run(spark, store([])).count() == 0
