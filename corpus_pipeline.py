@@ -20,6 +20,14 @@ from lectorium.llm.tokens import default_tokenizer, read_tokens, write_tokens
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with _key: the doc_id, or where that is null a number of the row's own beyond all doc_ids."""
+    most = docs.agg(F.max("doc_id")).first()[0]
+    own = F.lit(0 if most is None else max(0, most + 1)) + F.monotonically_increasing_id()
+    rest = saved(docs.filter(F.col("doc_id").isNull()).withColumn("_key", own), "unnumbered")
+    return docs.filter(F.col("doc_id").isNotNull()).withColumn("_key", F.col("doc_id").cast("long")).unionByName(rest)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of no language go: those without text or letters, and all where no row has a label."""
     docs = docs.select(*COLUMNS)
@@ -30,29 +38,30 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of documents linked by a Jaccard similarity of 0.8 or more on five-word shingles the
-    one of smallest doc_id stays; of rows that repeat it, one. A null doc_id is a document of its own."""
-    docs = docs.select(*COLUMNS)
-    groups = jaccard_components(docs.select("doc_id", "text"), n=5, percent=80)
-    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    stay = docs.filter(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stay.select(*COLUMNS).unionByName(docs.filter(F.col("doc_id").isNull()))
+    one of smallest doc_id stays; of rows that repeat it, one. Every row of null doc_id is a document of its
+    own, and stays only for a group without any doc_id."""
+    docs = _keyed(docs.select(*COLUMNS))
+    groups = jaccard_components(docs.select(F.col("_key").alias("doc_id"), "text"), n=5, percent=80)
+    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_key")).distinct()
+    return docs.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of ten words of a benchmark item go."""
-    docs = docs.select(*COLUMNS)
-    found = scan(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
-    hit = found.filter((F.size("hits") > 0) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*COLUMNS)
+    docs = _keyed(docs.select(*COLUMNS))
+    found = scan(docs.select(F.col("_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    hit = found.filter(F.size("hits") > 0).select(F.col("doc_id").alias("_key")).distinct()
+    return docs.join(hit, "_key", "left_anti").select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: a document stands as often as the mix takes it, to the nearest
     whole turn; documents without words stay out, as no weight can take them."""
-    sized = docs.select("doc_id", "source", tokens(F.col("text")).alias("size"))
-    taken = mix(sized, []).filter(F.col("size") > 0).select("doc_id", F.round(F.col("taken") / F.col("size")).cast("int").alias("times"))
-    taken = taken.filter("times > 0").groupBy("doc_id").agg(F.max("times").alias("times"))
-    return docs.select(*COLUMNS).join(taken, "doc_id").withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
+    docs = _keyed(docs.select(*COLUMNS))
+    sized = docs.select("doc_id", "source", tokens(F.col("text")).alias("size"), "_key")
+    taken = mix(sized, ["_key"]).filter(F.col("size") > 0).select("_key", F.round(F.col("taken") / F.col("size")).cast("int").alias("times"))
+    taken = taken.filter("times > 0").groupBy("_key").agg(F.max("times").alias("times"))
+    return docs.join(taken, "_key").withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,5 +45,24 @@ def test_language_with_one_label(spark, store):
     assert sorted(r.doc_id for r in got) == list(range(30))
 
 
+def test_rows_without_a_doc_id(spark, store):
+    """Each is a document of its own in every stage: a group's numbered document stays for it, a hit row
+    goes, a clean one comes through the mix."""
+    rng = random.Random(3)
+    text = lambda: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(40))
+    one, two, alone, other = text(), text(), text(), text()
+    rows = [(7, one, "en", "a"), (5, one, "en", "a"), (None, one, "en", "a"), (9, two, "en", "a"), (None, two, "en", "a"), (None, alone, "en", "a"), (None, alone, "en", "a")]
+    rows += [(None, f"{other} {PASSAGE}", "en", "a"), (11, f"{text()} {PASSAGE}", "en", "a")]
+    root = store(rows, [(1, PASSAGE)])
+    second = cp.near_duplicates(spark, spark.read.parquet(f"{root}/documents.parquet"), root)
+    assert sorted((str(r.doc_id), r.text) for r in second.collect()) == sorted((str(d), t) for d, t, *_ in [rows[1], rows[3], rows[5], rows[7], rows[8]])
+    third = cp.decontaminated(spark, second, root)
+    clean = {(5, one), (9, two), (None, alone)}
+    assert {(r.doc_id, r.text) for r in third.collect()} == clean and third.count() == 3
+    fourth = cp.mixed(spark, third, root)
+    assert {(r.doc_id, r.text) for r in fourth.collect()} == clean
+    assert {r.doc_id for r in cp.token_ids(spark, fourth, root).collect()} == {5, 9, None}
+
+
 def test_run_on_an_empty_table(spark, store):
     assert cp.run(spark, store([])).count() == 0
