@@ -3,9 +3,12 @@
 A page is cut into blocks at block-level tags. Pass one classifies each block by itself: text in
 boilerplate containers (menus, headers, footers, sidebars, forms, adverts, notices, comments) and blocks
 that are mostly links are bad; blocks with enough words and a fair share of stop words are good; long
-blocks without stop words and all short blocks are undecided. Pass two gives each undecided block the
-label of its nearest decided neighbours in the same region, where a tie falls to good inside an article
-container and to bad outside one. A page with an article (or main) container has its text there only.
+blocks without stop words and all short blocks are undecided. On a page whose long blocks hold hardly any
+stop words, as in languages that the list doesn't cover, length and link density alone make a block good.
+Pass two: in an article container an undecided block is good, unless the article has good blocks and the
+nearest decided ones on both sides are bad; outside one it gets the label of its nearest decided
+neighbours, where a tie falls to bad. A page with an article (or main) container has its text there only.
+A class or id around a main container doesn't make it boilerplate, nor around an article if there is no other.
 
 Defined results: null, empty or text-free html gives an empty text; unclosed comments, scripts and
 styles run to the end; markup cut off in the middle of a tag ends there; repeated rows are each kept.
@@ -47,39 +50,48 @@ STOP_WORDS = set(
     "el los las y del que en un una por con para es no su al lo como más o pero sus ha".split()
 )
 LINKS, MIN_WORDS, GOOD_STOP_SHARE = 0.5, 12, 0.2
+#: Below this share over a page's long blocks stop words say nothing; signs of scripts without spaces that count as a word.
+NO_STOP_SHARE, SIGNS = 0.1, 2
 
 _TAG = re.compile(r"<!--|<!\[CDATA\[|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(/?)>")
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
+_SIGN = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\U00020000-\U0003ffff]")  # scripts without spaces
 
 
-def _boilerplate(name: str, attributes: str, in_article: bool) -> bool:
+def _boilerplate(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is boilerplate by what it is, and whether by a word of its class or id."""
     if name in CONTAINERS or (name == "header" and not in_article):
-        return True
+        return True, False
     if not attributes or name in ("html", "body", "article", "main"):
-        return False
+        return False, False
+    marked = False
     for m in _ATTRIBUTE.finditer(attributes):
-        key, value = m[1].lower(), _html.unescape(m[2] or m[3] or m[4] or "").lower()
+        key = m[1].lower()
+        if key not in ("class", "id", "role", "hidden", "aria-hidden"):
+            continue
+        value = _html.unescape(m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
+            return True, False
         if key == "role" and value in ROLES:
-            return True
+            return True, False
         if key in ("class", "id") and MARKS.intersection(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+            marked = True
+    return False, marked
 
 
 class _Block:
-    __slots__ = ("text", "linked", "bad", "article", "label")
+    __slots__ = ("text", "linked", "bad", "wrapped", "article", "label")
 
-    def __init__(self, text, linked, bad, article):
-        self.text, self.linked, self.bad, self.article, self.label = text, linked, bad, article, None
+    def __init__(self, text, linked, bad, wrapped, article):
+        self.text, self.linked, self.bad, self.wrapped, self.article, self.label = text, linked, bad, wrapped, article, None
 
 
 def blocks(page: str) -> list[_Block]:
     """The blocks of a page in order, with what is known about where each stands."""
     out: list[_Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, boilerplate below it, text dropped below it, in an article
+    # Name, boilerplate below it, that by a class or id outside articles, text dropped below it, in an article.
+    stack: list[tuple[str, bool, bool, bool, bool]] = []
     pieces: list[str] = []
     links: list[str] = []
     in_link, at, size = 0, 0, len(page)
@@ -88,12 +100,13 @@ def blocks(page: str) -> list[_Block]:
         text = " ".join(_html.unescape("".join(pieces)).split())
         if text:
             linked = len("".join(_html.unescape("".join(links)).split()))
-            out.append(_Block(text, linked / max(1, len(text.replace(" ", ""))), bool(stack) and stack[-1][1], bool(stack) and stack[-1][3]))
+            _, bad, wrapped, _, article = stack[-1] if stack else ("", False, False, False, False)
+            out.append(_Block(text, linked / max(1, len(text.replace(" ", ""))), bad or wrapped, wrapped and not bad, article))
         pieces.clear()
         links.clear()
 
     def add(text):
-        if text and not (stack and stack[-1][2]):
+        if text and not (stack and stack[-1][3]):
             pieces.append(text)
             if in_link:
                 links.append(text)
@@ -157,13 +170,14 @@ def blocks(page: str) -> list[_Block]:
                 del stack[depth - 1 :]
         if m[4] and name not in BLOCKS and name not in RAW:
             continue
-        above = stack[-1] if stack else ("", False, False, False)
-        article = above[3] or name in ARTICLE
+        above = stack[-1] if stack else ("", False, False, False, False)
+        article = above[4] or name in ARTICLE
+        bad, wrapped = above[1], above[2] and not (name == "main" and not above[4])
         if name in BLOCKS or name in DROPPED or name in ("a", "span", "section"):
-            bad = above[1] or _boilerplate(name, m[3], above[3])
-        else:
-            bad = above[1]
-        stack.append((name, bad, above[2] or name in DROPPED, article))
+            own, marked = _boilerplate(name, m[3], above[4])
+            bad = bad or own or marked and above[4]
+            wrapped = wrapped or marked and not above[4]
+        stack.append((name, bad, wrapped, above[3] or name in DROPPED, article))
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
             stack.pop()
@@ -176,12 +190,26 @@ def extract(page: str | None) -> str:
     """The main text: good blocks in page order, joined by an empty line."""
     found = blocks(page or "")
     article = any(b.article and not b.bad for b in found)
+    if not article:
+        for b in found:
+            if b.article and b.wrapped:
+                b.bad, article = False, True
+    long, stop, total = [], 0, 0
     for b in found:
         words = _WORD.findall(b.text.lower())
+        size = len(words) if b.text.isascii() else max(len(words), len(_SIGN.findall(b.text)) // SIGNS)
         if b.bad or (article and not b.article) or b.linked > LINKS:
             b.label = False
-        elif len(words) >= MIN_WORDS and sum(w in STOP_WORDS for w in words) >= GOOD_STOP_SHARE * len(words):
+        elif size >= MIN_WORDS:
+            known = sum(w in STOP_WORDS for w in words)
+            long.append(b)
+            stop, total = stop + known, total + size
+            if known >= GOOD_STOP_SHARE * size:
+                b.label = True
+    if stop < NO_STOP_SHARE * total:
+        for b in long:
             b.label = True
+    some = any(b.article and b.label for b in found)
     kept, n = [], len(found)
     before: list[bool | None] = [None] * n
     last, distance = None, [0] * n
@@ -203,7 +231,7 @@ def extract(page: str | None) -> str:
             left, right = before[i], last
             near = [x for x in (left, right) if x]
             if b.article:
-                label = not near or any(x[1] for x in near)
+                label = not some or len(near) < 2 or any(x[1] for x in near)
             elif not near:
                 label = False
             elif len(near) == 1:

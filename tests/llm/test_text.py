@@ -107,6 +107,23 @@ def test_html_text():
     assert extract(f"<body><div>Menu</div><div><a href=1>a link with words</a></div><p>{plain}</p><p>Short tail.</p><p>{plain}</p>") == f"{plain}\n\nShort tail.\n\n{plain}"
 
 
+def test_html_articles_are_kept_whole():
+    russian = "Вчера вечером в городе прошёл сильный дождь и многие улицы оказались под водой до самого утра"
+    chinese = "昨天晚上城里下了一场大雨很多街道直到早上都还在水里市民只好步行回家学校也推迟了上课时间"
+    english = "The man that was in the house had a letter for the people of the town and it was from the king"
+    tags = '<p><a href="#">more of this</a></p>'
+    for text in (russian, chinese):
+        assert extract(f"<body><p>{text}</p><p>{text}</p></body>") == f"{text}\n\n{text}"
+        assert extract(f"<article>{tags}<p>{text}</p>{tags}</article>") == text
+    assert extract(f"<article><p>A short line.</p><p>Another line.</p>{tags}</article>") == "A short line.\n\nAnother line."
+    assert extract(f"<article>{tags}<p>A short line.</p>{tags}</article>") == "A short line."
+    assert extract(f'<div style="overflow:hidden" data-id="share"><p>{english}</p></div>') == english
+    assert extract(f'<div hidden><p>{english}</p></div><div id="share"><p>{english}</p></div>') == ""
+    for inner in ("main", "article"):
+        assert extract(f'<div class="has-sidebar"><{inner}><p>{english}</p></{inner}></div>') == english
+    assert extract(f'<article><p>{english}</p></article><div class="comments"><article><p>{english} too</p></article></div>') == english
+
+
 def test_html_table(spark, store):
     rows = [(1, "u", PAGE, "p", "f"), (1, "u", PAGE, "p", "f"), (None, None, None, None, None), (2, None, "", "p", "f"), (3, "v", "<article><p>" + "wörd " * 50_000, "p", "f")]
     got = sorted(op7_html_text(spark, store(pages=rows)).collect(), key=str)
