@@ -95,8 +95,9 @@ def spherical_clusters(rows: DataFrame, vector: str, k: int, seed: int = 11) ->
     return KMeans(k=k, seed=seed, distanceMeasure="cosine", featuresCol="_v", predictionCol="community").fit(v).transform(v).drop("_v")
 
 
-def fuzzy_pairs(left: DataFrame, right: DataFrame, block: str, text: str, most: int = 2) -> DataFrame:
-    """The nearest right row of each left one within a block by edit distance, if near enough."""
+def fuzzy_pairs(left: DataFrame, right: DataFrame, block: str, text: str, most: int = 2, others: bool = False) -> DataFrame:
+    """The nearest right row of each left one within a block by edit distance, if near enough. With others
+    both sides are one table, and no row is its own match."""
     l, r = left.select(block, F.col("id").alias("l"), F.col(text).alias("lt")), right.select(block, F.col("id").alias("r"), F.col(text).alias("rt"))
-    j = l.join(r, block).withColumn("d", F.levenshtein("lt", "rt")).filter(F.col("d") <= most)
+    j = l.join(r, block).filter(F.col("l") != F.col("r") if others else F.lit(True)).withColumn("d", F.levenshtein("lt", "rt")).filter(F.col("d") <= most)
     return j.groupBy("l").agg(F.min(F.struct("d", "r")).alias("b")).select("l", F.col("b.r").alias("r"), F.col("b.d").alias("d"))

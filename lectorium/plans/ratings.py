@@ -235,6 +235,11 @@ _add(
     lambda s, d: (lambda m: _rounded(stats.star_histogram(m.events.join(m.taste.select("user_id", "lit_weight"), "user_id").filter("work_id < 100"), "lit_weight"), ["mass"]))(Model(s, d)),
     f"WITH {DERIVED} SELECT k::INTEGER AS star, round(coalesce((SELECT sum(lit_weight) FROM ev JOIN tst USING (user_id) WHERE rating = k AND work_id < 100), 0), 6) AS mass FROM range(1, 6) t(k)",
 )
+_add(
+    "weighted_star_histogram_all",
+    lambda s, d: (lambda m: _rounded(stats.star_histogram(m.events.join(m.taste.select("user_id", "lit_weight"), "user_id"), "lit_weight"), ["mass"]))(Model(s, d)),
+    SQL["weighted_star_histogram"].replace(" AND work_id < 100)", ")"),
+)
 _add("user_star_hist", lambda s, d: _rounded(Model(s, d).hist, ["mean_rating"]), f"WITH {DERIVED} SELECT user_id, n_rated, round(mean_rating, 6) AS mean_rating, max_star, c1, c2, c3, c4, c5, n_levels FROM hist")
 _PCT = [f"pct_{k}" for k in range(1, 6)]
 _add("user_percentiles", lambda s, d: _rounded(Model(s, d).percentiles, _PCT), f"WITH {DERIVED} SELECT user_id, n_rated, n_lit_rated, n_cdf, n_levels, source, {_round_sql(_PCT, _PCT)} FROM pct")

@@ -115,6 +115,11 @@ _add(
     lambda s, d: _r(consensus.bootstrap(pairwise.expected_votes(Model(s, d).events).filter("work_id < 200"), 20), "mean", "sd", "low", "high"),
     f"WITH {_BAL}, b AS (SELECT user_id, rep, ('0x' || substr(md5(user_id::VARCHAR || '-' || rep::VARCHAR || '-boot'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM hl, range(20) r(rep)), w AS (SELECT user_id, rep, CASE {' '.join(_CDF)} ELSE 8 END AS k FROM b), x AS (SELECT work_id, rep, coalesce(sum(mass * k) FILTER (WHERE side = 1), 0) / sum(mass * k) AS share FROM ex JOIN w USING (user_id) WHERE k > 0 AND work_id < 200 GROUP BY ALL) SELECT work_id, round(avg(share), 6) AS mean, round(stddev_samp(share), 6) AS sd, round(quantile_cont(share, 0.1), 6) AS low, round(quantile_cont(share, 0.9), 6) AS high FROM x GROUP BY work_id",
 )
+_add(
+    "reader_bootstrap_all",
+    lambda s, d: _r(consensus.bootstrap(pairwise.expected_votes(Model(s, d).events), 20), "mean", "sd", "low", "high"),
+    SQL["reader_bootstrap"].replace(" WHERE k > 0 AND work_id < 200 ", " WHERE k > 0 "),
+)
 
 
 def _edges(s, d):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lectorium.functions import text
 from lectorium.functions.numeric import share_rounded
 from lectorium.operators import catalog, collapse, consensus, evaluation, genres, graph, pairwise, ranking, similarity, stats, taste
+from lectorium.operators.models import fuzzy_pairs
 from lectorium.sources import readers
 from lectorium.streaming import work_stats
 
@@ -183,6 +184,32 @@ def test_streaming_counts_each_rating_once(spark, tmp_path):
     assert got == {r[0]: (r[1], round(r[2], 6), round(r[3], 6)) for r in want}
 
 
+def test_fuzzy_pairs_of_one_table(spark):
+    rows = [(1, 7, "abcd"), (2, 7, "abce"), (3, 7, "xyzw"), (4, 8, "abcd"), (1500, 7, "abcd")]
+    w = spark.createDataFrame(rows, "id long, author_id long, title string")
+    assert {tuple(r) for r in fuzzy_pairs(w, w, "author_id", "title", 1, others=True).collect()} == {(1, 1500, 0), (2, 1, 1), (1500, 1, 0)}
+
+
+def test_whole_table_queries_see_every_work(spark, tmp_path):
+    """300 works: those of ids from 200 on are in the bootstrap, from 100 on in the histogram, and works on
+    both sides of 1000 have their nearest title."""
+    from lectorium.plans import registry
+
+    q, d = registry.queries(), str(tmp_path)
+    ids = [*range(150), *range(950, 1100)]
+    spark.createDataFrame([(i, i % 20) for i in range(400)], "o_orderkey long, o_custkey long").withColumn("o_orderdate", F.lit("1996-01-01").cast("timestamp")).write.parquet(f"{d}/orders.parquet")
+    lines = [((i + i // 300) % 400, ids[i % 300], 1, float(i * i % 47), i % 11, "N") for i in range(3000)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_suppkey long, l_returnflag string").write.parquet(f"{d}/lineitem.parquet")
+    spark.createDataFrame([(i, "red tin", "ECONOMY", 1, "B") for i in ids], "p_partkey long, p_name string, p_type string, p_size int, p_brand string").write.parquet(f"{d}/part.parquet")
+    voted = {r.work_id for r in q["expected_votes"](spark, d).select("work_id").distinct().collect()}
+    # A work drawn in no replicate has no row; with 20 replicates over 20 readers nearly all have one.
+    got = {r.work_id for r in q["reader_bootstrap_all"](spark, d).collect()}
+    assert got <= voted and max(got) >= 950 and len(got) > 0.95 * len(voted)
+    assert {r.l for r in q["fuzzy_titles_all"](spark, d).collect()} == set(ids)
+    mass = lambda name: sum(r.mass for r in q[name](spark, d).collect())
+    assert mass("weighted_star_histogram_all") > mass("weighted_star_histogram") > 0
+
+
 def test_registered_queries_have_oracles():
     from lectorium.plans import registry
 
