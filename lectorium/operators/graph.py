@@ -10,8 +10,11 @@ from lectorium.functions.numeric import ratio
 
 
 def cut(df: DataFrame, every: bool = True) -> DataFrame:
-    """Cut the lineage of an iteration by a checkpoint where a checkpoint folder is set."""
-    return df.checkpoint() if every and df.sparkSession.sparkContext.getCheckpointDir() else df
+    """Cut the lineage of an iteration by a checkpoint, in the executors where no checkpoint folder is set:
+    plans of many rounds would else double with each."""
+    if not every:
+        return df
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
 
 
 def hits(edges: DataFrame, rounds: int = 8) -> DataFrame:

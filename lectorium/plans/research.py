@@ -122,6 +122,11 @@ _add(
 )
 
 
+def _whole(ctes):
+    """The CTEs with each computed once, which the text of many rounds needs."""
+    return ctes.replace(" AS (SELECT", " AS MATERIALIZED (SELECT")
+
+
 def _edges(s, d):
     m = Model(s, d)
     return m.events.filter("rating >= 4").join(m.work_stats.select("work_id", (1.0 / F.ln(1 + F.col("n"))).alias("w")), "work_id").select("user_id", "work_id", "w")
@@ -137,6 +142,23 @@ def _hits_sql(rounds):
     return out
 
 
+def _reflections_sql(rounds):
+    out = f"{_EDGES}, k0 AS (SELECT work_id, count(*)::DOUBLE AS v FROM ed GROUP BY work_id), u0 AS (SELECT user_id, count(*)::DOUBLE AS v FROM ed GROUP BY user_id)"
+    for i in range(1, rounds + 1):
+        v = f"SELECT work_id, avg(v) AS v FROM ed JOIN u{i - 1} USING (user_id) GROUP BY work_id"
+        if i % 2 == 0:
+            v = f"SELECT work_id, coalesce((v - avg(v) OVER ()) / nullif(stddev_pop(v) OVER (), 0), 0) AS v FROM ({v})"
+        out += f", k{i} AS ({v}), u{i} AS (SELECT user_id, avg(v) AS v FROM ed JOIN k{i - 1} USING (work_id) GROUP BY user_id)"
+    return out
+
+
+def _core_sql(passes):
+    out = f"{_EDGES}, c0 AS (SELECT user_id, work_id FROM ed)"
+    for i in range(0, 2 * passes, 2):
+        out += f", c{i + 1} AS (SELECT * FROM c{i} WHERE user_id IN (SELECT user_id FROM c{i} GROUP BY 1 HAVING count(*) >= 10)), c{i + 2} AS (SELECT * FROM c{i + 1} WHERE work_id IN (SELECT work_id FROM c{i + 1} GROUP BY 1 HAVING count(*) >= 6))"
+    return out
+
+
 _add("hits_authority", lambda s, d: _r(graph.hits(_edges(s, d), 3), "authority"), f"WITH {_hits_sql(3)} SELECT work_id, round(a, 6) AS authority FROM b2")
 _add(
     "method_of_reflections",
@@ -148,6 +170,11 @@ _add(
     lambda s, d: graph.core(_edges(s, d).select("user_id", "work_id"), 10, 6, 2),
     f"WITH {_EDGES}, e1 AS (SELECT user_id, work_id FROM ed WHERE user_id IN (SELECT user_id FROM ed GROUP BY 1 HAVING count(*) >= 10)), e2 AS (SELECT * FROM e1 WHERE work_id IN (SELECT work_id FROM e1 GROUP BY 1 HAVING count(*) >= 6)), e3 AS (SELECT * FROM e2 WHERE user_id IN (SELECT user_id FROM e2 GROUP BY 1 HAVING count(*) >= 10)) SELECT * FROM e3 WHERE work_id IN (SELECT work_id FROM e3 GROUP BY 1 HAVING count(*) >= 6)",
 )
+#: The reference's rounds. The queries above and below of a few rounds have SQL that writes each out.
+ROUNDS = {"hits": 8, "reflections": 16, "core": 3, "labels": 15, "attractor": 20}
+_add("hits_authority_full", lambda s, d: _r(graph.hits(_edges(s, d), ROUNDS["hits"]), "authority"), f"WITH {_whole(_hits_sql(ROUNDS['hits']))} SELECT work_id, round(a, 6) AS authority FROM b{ROUNDS['hits'] - 1}")
+_add("method_of_reflections_full", lambda s, d: _r(graph.reflections(_edges(s, d), ROUNDS["reflections"]), "reflection"), f"WITH {_whole(_reflections_sql(ROUNDS['reflections']))} SELECT work_id, round(k{ROUNDS['reflections']}.v, 6) AS reflection, k0.v AS degree FROM k{ROUNDS['reflections']} JOIN k0 USING (work_id)")
+_add("bipartite_core_full", lambda s, d: graph.core(_edges(s, d).select("user_id", "work_id"), 10, 6, ROUNDS["core"]), f"WITH {_whole(_core_sql(ROUNDS['core']))} SELECT * FROM c{2 * ROUNDS['core']}")
 _NEAR = f"""{_EDGES}, ce0 AS (SELECT user_id, work_id FROM ed QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY md5(user_id::VARCHAR || '-' || work_id::VARCHAR || '-pmi'), work_id) <= 60), dg AS (SELECT work_id, count(*) AS d FROM ce0 GROUP BY work_id),
 pr AS (SELECT a.work_id AS a, b.work_id AS b, count(*) AS n FROM ce0 a JOIN ce0 b ON a.user_id = b.user_id AND a.work_id < b.work_id GROUP BY ALL HAVING count(*) >= 2),
 pm AS (SELECT a, b, n, round(ln(n * (SELECT count(DISTINCT user_id) FROM ce0)::DOUBLE / (x.d * y.d)), 6) AS pmi FROM pr JOIN dg x ON x.work_id = a JOIN dg y ON y.work_id = b),
@@ -163,6 +190,7 @@ def _labels_sql(rounds):
 
 
 _add("label_propagation", lambda s, d: graph.label_propagation(graph.pmi_neighbours(_edges(s, d), 5, 2).select("work_id", "near", "pmi"), 2), f"WITH {_labels_sql(2)} SELECT work_id, label FROM l2")
+_add("label_propagation_full", lambda s, d: graph.label_propagation(graph.pmi_neighbours(_edges(s, d), 5, 2).select("work_id", "near", "pmi"), ROUNDS["labels"]), f"WITH {_whole(_labels_sql(ROUNDS['labels']))} SELECT work_id, label FROM l{ROUNDS['labels']}")
 
 
 def _signed(s, d):
@@ -178,6 +206,7 @@ def _attractor_sql(rounds):
 
 
 _add("jury_attractor", lambda s, d: _r(graph.attractor(*_signed(s, d), rounds=2), "x"), f"WITH {_attractor_sql(2)} SELECT work_id, round(x, 6) AS x FROM x2")
+_add("jury_attractor_full", lambda s, d: _r(graph.attractor(*_signed(s, d), rounds=ROUNDS["attractor"]), "x"), f"WITH {_whole(_attractor_sql(ROUNDS['attractor']))} SELECT work_id, round(x, 6) AS x FROM x{ROUNDS['attractor']}")
 
 
 def _rankings(s, d):

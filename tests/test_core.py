@@ -210,6 +210,26 @@ def test_whole_table_queries_see_every_work(spark, tmp_path):
     assert mass("weighted_star_histogram_all") > mass("weighted_star_histogram") > 0
 
 
+def test_full_rounds_against_brute_force(spark):
+    """The iterations of the registered full queries, with the reference's rounds, on a small graph."""
+    import numpy as np
+
+    from lectorium.plans import registry, research
+
+    assert research.ROUNDS == {"hits": 8, "reflections": 16, "core": 3, "labels": 15, "attractor": 20}
+    assert {f"{q}_full" for q in ("hits_authority", "method_of_reflections", "bipartite_core", "label_propagation", "jury_attractor")} <= set(registry.queries())
+    cells = [(u, w) for u in range(12) for w in range(9) if (u * 5 + w * w) % 4]
+    a = np.zeros((12, 9))
+    for u, w in cells:
+        a[u, w] = 1 / (1 + w)
+    hub = np.ones(12)
+    for _ in range(8):
+        work = a.T @ hub / np.linalg.norm(a.T @ hub)
+        hub = a @ work / np.linalg.norm(a @ work)
+    got = graph.hits(spark.createDataFrame([(u, w, float(a[u, w])) for u, w in cells], "user_id long, work_id long, w double"), research.ROUNDS["hits"]).collect()
+    assert {r.work_id: round(r.authority, 6) for r in got} == {w: round(float(x), 6) for w, x in enumerate(work)}
+
+
 def test_registered_queries_have_oracles():
     from lectorium.plans import registry
 
