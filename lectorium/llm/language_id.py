@@ -8,7 +8,8 @@ code length under a language is a sum of table entries: the trees are flattened
 its longest kept suffix. The language with the shortest code wins.
 
 The model is fitted on a bounded sample of labelled rows: per language at most docs_per_lang documents
-of at most max_chars characters, those of lowest hash of doc_id. Everything else reads every byte.
+by their first max_chars characters, those of lowest hash of doc_id. It knows the most_langs languages of
+most labelled rows; texts of a rarer one get another name. Everything else reads every byte.
 
 Defined results: a text that is null or has no letter gets `und` and score 0; without any labelled row
 every text gets `und`; equal code lengths go to the first language by code point; very long texts are
@@ -144,8 +145,9 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, docs_per_lang: int = 400, max_chars: int = 20_000, most_langs: int = 200) -> PpmModel:
-    """Fit on rows of docs(doc_id, text, lang) that aren't held out and have a lang."""
-    labelled = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).filter(F.length("text") <= max_chars)
+    """Fit on rows of docs(doc_id, text, lang) that aren't held out and have a lang: the first max_chars
+    characters of docs_per_lang documents of each of the most_langs commonest languages."""
+    labelled = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("text", F.substring("text", 1, max_chars))
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
     if not counts:
         return PpmModel.fit({})

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from lectorium.llm.html_text import extract, op7_html_text
-from lectorium.llm.language_id import PpmModel, op5_language_id
+from lectorium.llm.language_id import PpmModel, identify, op5_language_id, train
 from lectorium.llm.tokens import PerfectHash, Shard, default_tokenizer, encoder, key_hash, op6_token_ids, read_tokens, write_tokens
 from lectorium.llm.top_k import exact_top_k, op8_exact_top_k
 from lectorium.llm.warc import digest32, member, op10_warc, page_record, read_records, read_warc, write_warc
@@ -99,6 +99,16 @@ PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><
 <aside>See also</aside><section id="comments"><p>I think that the article is good and the best of all that I have read in the last year.</p></section><footer>&copy; us</footer></body></html>"""
 
 
+def test_language_of_long_texts_only(spark):
+    """A language whose labelled texts are all longer than the training slice is learned from slices."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(SAMPLES[k].split()) for _ in range(900 if k == "de" else 30)), k) for i, k in enumerate(["de", "en"] * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train(docs, max_chars=1000)
+    assert model.languages == ["de", "en"]
+    assert {r.doc_id: r.lang_pred for r in identify(docs, model).collect()} == {d: k for d, _, k in rows}
+
+
 def test_html_text():
     assert extract(PAGE) == "Title of it\n\nFirst <para> with bold link text next line\n\nShort.\n\nTom & Ann"
     assert extract(None) == extract("") == extract("<p></p>") == extract("<!-- open") == extract("<script>x") == ""
