@@ -13,9 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL_ROOT = None
 
 
+#: Bytes of an Arrow batch between Spark and Python. Batches by rows alone grow with the texts.
+BATCH_BYTES = 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that tasks import it by name."""
+    """Send this package to the executors once per application, so that tasks import it by name, and bound
+    the bytes of the session's Arrow batches."""
     sc = spark.sparkContext
+    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if getattr(sc, "_lectorium_shipped", False):
         return
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -1,16 +1,18 @@
-"""N-gram Jaccard join by grouped prefixes: every link between near-duplicate documents, as each document's
-number of links, and the exact components that the links make.
+"""N-gram Jaccard join by grouped prefixes: each document's number of links with near duplicates, and the
+exact components that the links make.
 
 Shingles are ordered by document frequency, rarest first (those beyond a table of the commonest are all
 alike), then by hash. A document's prefix is so long that two documents whose similarity reaches the
 threshold share a shingle of their prefixes. Documents of equal prefix and size form one group, exact
-copies among them one class. Groups that share a prefix shingle are filtered by size and by the place of
-the shingle in both prefixes; what is left, and every group with itself, is expanded to pairs of classes.
+copies among them one class.
 
-All these pairs are verified on whole sets, each once. Classes are dealt to blocks by the least shared
-shingle of their prefix, so that a family of near copies meets in few pairs of blocks, and a set is sent
-once to each pair of blocks that needs it. Exact copies are collapsed and counted. A group of n near copies
-of different text costs n squared / 2 pairs: that many links there may be.
+Groups are dealt to blocks by the least shared shingle of their prefix, so that a family of near copies
+meets in few blocks; a block holds a bounded number of shingles, and a group that alone exceeds it is split.
+Two blocks that share a prefix shingle of fitting sizes and places make a case, to which each sends the sets
+that the other may need. Within a case pairs of groups are filtered by the size and by the place of each
+shared shingle, the rest is expanded to their classes and verified on whole sets. A pair of classes belongs
+to the two blocks it lies in, so it is verified exactly once, and its task gives back sums of links by class
+and a forest that spans them: n near copies cost n squared / 2 comparisons, but only n rows.
 
 Defined results: null, empty and word-free texts have an empty set and are linked with nothing; a text
 of fewer words than n is one shingle; rows that share a doc_id are one document with all their links; a
@@ -22,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectorium.llm._components import components
@@ -32,11 +34,11 @@ from lectorium.llm._shingles import mix, shingle_sets, summed, texts_of
 #: Ranges of the hash space over which frequencies are counted, and the commonest kept of each: the table
 #: that is broadcast has 2**20 entries of 8 bytes at most.
 RANGES, KEPT, LEAST_FREQUENT = 1024, 1024, 8
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 #: Shingles of more documents than this are dealt over several tasks; groups that a task remembers.
-SALT_AT, SEEN = 20_000, 500_000
-#: Classes of a block, and least shingles by which a pair that meets in several buckets is told.
-BLOCK, LEAST = 256, 8
+SALT_AT, SEEN = 20_000, 100_000
+#: Shingles that a block of groups aims at, and what a class weighs besides its shingles. They bound no result.
+BLOCK, EACH = 1 << 19, 64
 NULL_ID = -(1 << 63)
 
 
@@ -106,10 +108,32 @@ def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(r["values"] for r in rows), np.uint32), np.frombuffer(b"".join(r["counts"] for r in rows), np.uint32)
 
 
-def _features(batches, n, percent, table_):
-    values, counts = table_.value
-    seen = np.zeros(1 << 24, bool)
-    seen[values >> np.uint32(8)] = True
+class _Order:
+    """Shingles rarest first: those of the table of common ones by frequency, all others before them."""
+
+    def __init__(self, known: tuple[np.ndarray, np.ndarray]):
+        self.values, self.counts = known
+        self.maybe = np.zeros(1 << 24, bool)
+        self.maybe[self.values >> np.uint32(8)] = True
+
+    def __call__(self, s: np.ndarray) -> np.ndarray:
+        short = (s >> np.uint64(32)).astype(np.uint32)
+        maybe = np.flatnonzero(self.maybe[short >> np.uint32(8)])
+        if not len(maybe):
+            return s
+        at = np.minimum(np.searchsorted(self.values, short[maybe]), len(self.values) - 1)
+        frequency = np.zeros(len(s), np.int64)
+        frequency[maybe] = np.where(self.values[at] == short[maybe], self.counts[at], 0)
+        return s[np.lexsort((s, frequency))]
+
+
+def _prefix(size, percent):
+    """How many shingles of a set of that size make its prefix."""
+    return size - (percent * size + 99) // 100 + 1
+
+
+def _features(batches, n, percent, known):
+    order = _Order(known.value)
     for batch in batches:
         rows = []
         for s in shingle_sets(texts_of(batch.column(1)), n):
@@ -117,14 +141,7 @@ def _features(batches, n, percent, table_):
             if not size:
                 rows.append((0, None, None, None, None))
                 continue
-            short = (s >> np.uint64(32)).astype(np.uint32)
-            order, maybe = s, np.flatnonzero(seen[short >> np.uint32(8)])
-            if len(maybe):
-                at = np.minimum(np.searchsorted(values, short[maybe]), len(values) - 1)
-                frequency = np.zeros(size, np.int64)
-                frequency[maybe] = np.where(values[at] == short[maybe], counts[at], 0)
-                order = s[np.lexsort((s, frequency))]
-            prefix = order[: size - (percent * size + 99) // 100 + 1]
+            prefix = order(s)[: _prefix(size, percent)]
             # The group: the prefix as a set (its order is fixed) and the size.
             rows.append((size, summed(s, 3), summed(s, 5), summed(np.append(prefix, np.uint64(size)), 7), prefix.tobytes()))
         kinds = [pa.int64()] * 4 + [pa.binary()]
@@ -133,8 +150,7 @@ def _features(batches, n, percent, table_):
 
 def _may(na, nb, pa_, pb, percent):
     """Whether sizes and places of a common prefix shingle leave room for enough common shingles."""
-    low = np.minimum if isinstance(na, np.ndarray) else F.least
-    high = np.maximum if isinstance(na, np.ndarray) else F.greatest
+    low, high = (F.least, F.greatest) if isinstance(na, Column) else (np.minimum, np.maximum)
     most = low(pa_, pb) + low(na - pa_, nb - pb)
     return ((100 + percent) * most >= percent * (na + nb)) & (100 * low(na, nb) >= percent * high(na, nb))
 
@@ -145,11 +161,10 @@ def _postings(batches, known, salt_at):
     values, counts = known.value
     hot = counts > salt_at
     values, counts = values[hot], counts[hot]
-    seen: set[tuple[int, int]] = set()
+    seen: set[int] = set()
     for batch in batches:
-        groups = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
         fresh = []
-        for i, g in enumerate(groups):
+        for i, g in enumerate((np.asarray(batch.column(0), np.int64) ^ np.asarray(batch.column(1), np.int64) << 40).tolist()):
             if g not in seen:
                 if len(seen) >= SEEN:
                     seen.clear()
@@ -198,80 +213,129 @@ def _buckets(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], names=names)
 
 
-CASE = "block long, c long, other long, hashes binary"
+CASE = "pair long, side int, c long, id long, g long, docs long, multi boolean, hashes binary"
+_KINDS = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
 #: Rows and bytes of sets sent at once.
-SENT_ROWS, SENT_BYTES = 4096, 1 << 24
+SENT_ROWS, SENT_BYTES = 4096, 1 << 22
 
 
-def _sets(batches, n):
-    """For each text and each of wants(f1, block, c) that has its set, the set for that pair of blocks."""
-    kinds, names = [pa.int64(), pa.int64(), pa.int64(), pa.binary()], [x.split()[0] for x in CASE.split(", ")]
+def _sets(batches, n, known):
+    """For each text and each of wants(f1, pair, side, c, id, g, docs, multi) that has its set, the set,
+    rarest shingle first, for that case."""
+    names, order = [x.split()[0] for x in CASE.split(", ")], _Order(known.value)
     held, size = [], 0
     for batch in batches:
         for s, wants in zip(shingle_sets(texts_of(batch.column(0)), n), batch.column(1), strict=True):
-            f1, raw = summed(s, 3) if len(s) else None, s.tobytes()
+            f1, raw = summed(s, 3) if len(s) else None, order(s).tobytes()
             for w in wants.as_py():
                 if w["f1"] == f1:
-                    held.append((w["block"], w["c"], None, raw))
+                    held.append((*(w[x] for x in names[:-1]), raw))
                     size += len(raw)
                     if len(held) >= SENT_ROWS or size >= SENT_BYTES:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), kinds)], names=names)
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), _KINDS)], names=names)
                         held, size = [], 0
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), kinds)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), _KINDS)], names=names)
 
 
-def _links(sets: dict[int, np.ndarray], first: list[int], other: list[int], percent: int):
-    """Which of the pairs (first, other) of sets are similar, as two arrays."""
-    names = sorted(set(first) | set(other))
-    at = {c: i for i, c in enumerate(names)}
-    lengths = np.asarray([len(sets[c]) for c in names], np.int64)
+def _ranges(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... of each range in turn."""
     ends = np.cumsum(lengths)
-    values, flat = np.unique(np.concatenate([sets[c] for c in names]), return_inverse=True)
-    a, b = np.asarray([at[c] for c in first]), np.asarray([at[c] for c in other])
-    order = np.argsort(a, kind="stable")
-    a, b = a[order], b[order]
-    mark, good = np.zeros(len(values), bool), np.zeros(len(a), bool)
-    cuts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1], [True]]))
-    for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-        i, js = a[x], b[x:y]
-        mine = flat[ends[i] - lengths[i] : ends[i]]
-        mark[mine] = True
-        if 4 * len(js) > len(names):  # the sets of the whole block at once
-            same = np.add.reduceat(mark[flat], ends - lengths)[js] if len(flat) else np.zeros(len(js), np.int64)
-        else:
-            same = np.asarray([np.count_nonzero(mark[flat[ends[j] - lengths[j] : ends[j]]]) for j in js])
-        mark[mine] = False
-        good[x:y] = 100 * same >= percent * (lengths[i] + lengths[js] - same)
-    ids = np.asarray(names, np.int64)
-    return ids[a[good]], ids[b[good]]
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - lengths), lengths)
+
+
+def _links(side: np.ndarray, group: np.ndarray, sets: list[np.ndarray], percent: int):
+    """Each class of one case that has links, with the later ones (of the other side, where there are two)
+    that it is linked with: every link once, as places in sets."""
+    lengths = np.asarray([len(s) for s in sets], np.int64)
+    starts = np.cumsum(lengths) - lengths
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    _, rep, of = np.unique(np.stack([group, lengths]), axis=1, return_index=True, return_inverse=True)
+    of = of.ravel()
+    by_group = np.argsort(of, kind="stable")
+    first = np.searchsorted(of[by_group], np.arange(len(rep) + 1))
+    # Postings of the groups' prefixes, by shingle.
+    size = lengths[rep]
+    held = _prefix(size, percent)
+    owner, begin = np.repeat(np.arange(len(rep)), held), np.cumsum(held) - held
+    place = np.arange(len(owner)) - begin[owner]
+    code = flat[starts[rep][owner] + place]
+    by_code = np.argsort(code, kind="stable")
+    low, high = (np.searchsorted(code[by_code], code, s) for s in ("left", "right"))
+    mark = np.zeros(len(values), bool)
+    for i in range(len(rep)):
+        mine = by_group[first[i] : first[i + 1]]
+        mine = mine[side[mine] != 1]
+        if not len(mine):
+            continue
+        own = slice(begin[i], begin[i] + held[i])
+        met = by_code[_ranges(low[own], high[own] - low[own])]
+        room = _may(size[i], size[owner[met]], np.repeat(place[own], high[own] - low[own]), place[met], percent)
+        near = np.unique(owner[met[room]])
+        others = by_group[_ranges(first[near], first[near + 1] - first[near])]
+        others = others[side[others] != 0]
+        for a in mine:
+            later = others if side[a] == 0 else others[(of[others] > i) | ((of[others] == i) & (others > a))]
+            if not len(later):
+                continue
+            codes = flat[starts[a] : starts[a] + lengths[a]]
+            mark[codes] = True
+            n = lengths[later]
+            same = np.add.reduceat(mark[flat[_ranges(starts[later], n)]], np.cumsum(n) - n, dtype=np.int64)
+            mark[codes] = False
+            good = later[100 * same >= percent * (lengths[a] + n - same)]
+            if len(good):
+                yield a, good
+
+
+#: What _verified gives: sums of linked documents of class a; links of the forest between ids a and b; links
+#: between classes a and b of which one holds a document of several texts.
+SUMS, FOREST, EXACT = 0, 1, 2
+LINK = "kind int, a long, b long, docs long"
+
+
+def _case(rows: dict[int, tuple], percent: int):
+    names = list(rows)
+    side, ident, group, docs, multi, sets = zip(*rows.values())
+    side, group, docs, ident = np.asarray(side), np.asarray(group, np.int64), np.asarray(docs, np.int64), np.asarray(ident, np.int64)
+    sums, root, out = np.zeros(len(names), np.int64), np.arange(len(names)), []
+    for a, good in _links(side, group, list(sets), percent):
+        sums[a] += docs[good].sum()
+        sums[good] += docs[a]
+        roots = np.unique(root[np.append(good, a)])
+        if len(roots) > 1:
+            out += [(FOREST, int(ident[roots[0]]), int(ident[r]), None) for r in roots[1:]]
+            root[np.isin(root, roots)] = roots[0]
+        out += [(EXACT, names[a], names[b], None) for b in good if multi[a] or multi[b]]
+    return out + [(SUMS, names[i], None, int(sums[i])) for i in np.flatnonzero(sums)]
 
 
 def _verified(batches, percent):
-    """Rows come sorted by block, its sets before its pairs: one pair of blocks is held at a time."""
-    block, sets, first, other = None, {}, [], []
+    """Rows come sorted by case: one pair of blocks is held at a time."""
+    kinds, names = [pa.int32(), pa.int64(), pa.int64(), pa.int64()], [x.split()[0] for x in LINK.split(", ")]
+    pair, rows, out = None, {}, []
 
-    def out():
-        a, b = _links(sets, first, other, percent)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    def batch_of(found):
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), kinds)], names=names)
 
     for batch in batches:
-        for k, c, o, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-            if k != block:
-                if first:
-                    yield out()
-                block, sets, first, other = k, {}, [], []
-            if o is None:
-                if c not in sets:
-                    sets[c] = np.frombuffer(s.as_buffer(), np.uint64).copy()
-            else:
-                first.append(c)
-                other.append(o)
-    if first:
-        yield out()
-
-
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, salt_at: int = SALT_AT) -> DataFrame:
+        for k, side, c, ident, g, docs, multi, s in zip(*(x.to_pylist() for x in batch.columns[:-1]), batch.column(7), strict=True):
+            if k != pair:
+                if len(rows) > 1:
+                    out += _case(rows, percent)
+                pair, rows = k, {}
+                if len(out) >= SENT_ROWS:
+                    yield batch_of(out)
+                    out = []
+            if c not in rows:
+                rows[c] = (side, ident, g, docs, multi, np.frombuffer(s.as_buffer(), np.uint64).copy())
+    if len(rows) > 1:
+        out += _case(rows, percent)
+    if out:
+        yield batch_of(out)
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, salt_at: int = SALT_AT, block: int = BLOCK) -> DataFrame:
     """For every row of docs(doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id that links
     reach), class_id (the smallest doc_id of equal set) and n_links (the other documents it is linked with,
     exact copies too). Two documents link when 100 times their common shingles are at least percent times
@@ -282,80 +346,102 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, salt_at:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = spark.sparkContext.broadcast(frequent(docs, n))
     features = saved(docs.mapInArrow(lambda it: _features(it, n, percent, shared), "doc_id long, n long, f1 long, f2 long, g long, prefix binary"), "features")
-    filled = features.filter("n > 0")
 
     # Buckets: a shingle, or a salted part of a frequent one, with all groups that have it in their prefix.
-    posted = filled.select("g", "n", "prefix").mapInArrow(lambda it: _postings(it, shared, salt_at), POSTING)
+    posted = features.filter("n > 0").select("g", "n", "prefix").mapInArrow(lambda it: _postings(it, shared, salt_at), POSTING)
     common = saved(posted.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "n", "g").mapInArrow(_buckets, POSTING).select("token", "g", "n", "place"), "buckets")
     wide, features = features, saved(features.drop("prefix"), "sizes")
-    filled = features.filter("n > 0")
     removed(spark, wide)
     del posted, wide
     release(spark)
 
-    # Pairs of groups. One that meets in several buckets is listed in the first that both have among their
-    # least shingles, if there is one.
-    least = saved(common.groupBy("g", "n").agg(F.slice(F.array_sort(F.collect_set("token")), 1, LEAST).alias("least")), "least")
-    met = saved(common.join(least, ["g", "n"]), "met")
-    removed(spark, common)
-    a, b = met.alias("a"), met.alias("b")
-    ordered = (F.col("a.g") < F.col("b.g")) | ((F.col("a.g") == F.col("b.g")) & (F.col("a.n") < F.col("b.n")))
-    room = _may(F.col("a.n").cast("long"), F.col("b.n").cast("long"), F.col("a.place").cast("long"), F.col("b.place").cast("long"), percent)
-    here = F.coalesce(F.array_min(F.array_intersect("a.least", "b.least")), F.col("a.token")) == F.col("a.token")
-    group_pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & ordered & room & here).select(*[F.col(f"{s}.{c}").alias(f"{s}{c}") for s in "ab" for c in "gn"]).distinct()
-
-    # Classes, dealt to blocks: c is a class's number, id the smallest doc_id that has it.
-    classes = filled.groupBy("f1", "f2", "g", "n").agg(F.min("doc_id").alias("id"))
-    keyed = classes.join(least, ["g", "n"], "left").select("f1", "f2", "g", "n", "id", F.coalesce(F.col("least")[0], F.col("g")).alias("key"))
-    classes = saved(keyed.withColumn("c", F.monotonically_increasing_id()), "classes")
-    wide = classes.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    placed = saved(classes.join(wide, "key").select("g", "n", "c", F.xxhash64("key", F.pmod(F.xxhash64("c"), "blocks")).alias("block")), "placed")
-    member = lambda s: placed.select(F.col("g").alias(f"{s}g"), F.col("n").alias(f"{s}n"), F.col("c").alias(s), F.col("block").alias(f"{s}block"))
-    between = group_pairs.join(member("a"), ["ag", "an"]).join(member("b"), ["bg", "bn"])
-    within = member("a").join(member("b"), (F.col("ag") == F.col("bg")) & (F.col("an") == F.col("bn")) & (F.col("a") < F.col("b")))
-    met_in = F.xxhash64(F.least("ablock", "bblock"), F.greatest("ablock", "bblock")).alias("block")
-    pairs = saved(between.select("a", "b", met_in).union(within.select("a", "b", met_in)), "pairs")
-    removed(spark, met, least)
+    # Classes, with the number of documents that have this text alone, and whether others have it among several.
+    filled = features.filter("n > 0")
+    ends = [f(x).alias(f"{f.__name__}_{x}") for f in (F.min, F.max) for x in ("f1", "f2", "g", "n")]
+    numbered = saved(filled.groupBy("doc_id").agg(*ends), "numbered")
+    alone = (F.col("min_f1") == F.col("max_f1")) & (F.col("min_f2") == F.col("max_f2"))
+    several = numbered.filter(~alone).select("doc_id")
+    owned = numbered.filter(alone).select("doc_id", *[F.col(f"min_{x}").alias(x) for x in ("f1", "f2", "g", "n")], F.lit(1).alias("one"))
+    any_several = not several.isEmpty()
+    if any_several:
+        spread = saved(filled.join(several, "doc_id").distinct().select("doc_id", "f1", "f2", "g", "n", F.lit(0).alias("one")), "spread")
+        owned = owned.union(spread)
+    classes = owned.groupBy("f1", "f2", "g", "n").agg(F.min("doc_id").alias("id"), F.sum("one").alias("docs"), (F.min("one") == 0).alias("multi"))
+    classes = saved(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
+
+    # Groups that can have links are dealt to blocks, large ones to several.
+    least = common.groupBy("g", "n").agg(F.min("token").alias("least"))
+    groups = classes.groupBy("g", "n").agg(F.count(F.lit(1)).alias("members")).join(least, ["g", "n"], "left").filter("least IS NOT NULL OR members > 1")
+    groups = saved(groups.select("g", "n", "members", F.coalesce("least", "g").alias("key"), (F.col("members") * (F.col("n") + EACH)).alias("weight")), "groups")
+    keys = groups.groupBy("key").agg(F.ceil(F.sum("weight") / block).alias("blocks"))
+    dealt = groups.join(keys, "key").select("g", "n", "members", F.xxhash64("key", F.pmod(F.xxhash64("g", "n"), "blocks")).alias("deal"), F.ceil(F.col("weight") / block).alias("parts"))
+    own_part = F.when(F.col("parts") == 1, F.col("deal")).otherwise(F.xxhash64("deal", F.pmod(F.xxhash64("c"), "parts")))
+    placed = saved(classes.join(dealt, ["g", "n"]).select("c", "id", "f1", "g", "n", "docs", "multi", "members", own_part.alias("block")), "placed")
+
+    # Cases: pairs of blocks with a shingle in common. A group of several classes is its own bucket, too.
+    cells = placed.groupBy("g", "n", "block").agg(F.count(F.lit(1)).alias("here"), F.max("members").alias("members"))
+    posts = common.join(cells, ["g", "n"]).select("token", "g", "n", "place", "block", F.lit(1).cast("long").alias("here"))
+    inner = cells.filter("members > 1").select(F.xxhash64(F.lit(1), "g", "n").alias("token"), "g", "n", F.lit(0).alias("place"), "block", "here")
+    posts = saved(posts.union(inner), "posts")
+    removed(spark, common, groups)
+    release(spark)
+    summary = posts.groupBy("token", F.col("block").alias("other")).agg(
+        F.sum("here").alias("there"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("place").alias("from"), F.max("place").alias("to")
+    )
+    size, one = F.col("n").cast("long"), (F.col("low") == F.col("high")) & (F.col("from") == F.col("to"))
+    sizes_fit = (100 * size >= percent * F.col("low").cast("long")) & (100 * F.col("high").cast("long") >= percent * size)
+    fits = sizes_fit & (~one | _may(size, F.col("low").cast("long"), F.col("place").cast("long"), F.col("from").cast("long"), percent))
+    apart = F.col("block") != F.col("other")
+    meet = posts.join(summary, "token").filter(F.when(apart, fits).otherwise(F.col("there") > 1)).select("g", "n", "block", "other").distinct()
+    meet = meet.select(
+        "g", "n", "block", F.xxhash64(F.least("block", "other"), F.greatest("block", "other")).alias("pair"), F.when(~apart, 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side")
+    )
+    needs = meet.join(placed, ["g", "n", "block"]).groupBy(F.col("id").alias("doc_id")).agg(F.collect_list(F.struct("f1", "pair", "side", "c", "id", "g", "docs", "multi")).alias("wants"))
+    wants = saved(needs, "wants")
+    removed(spark, posts, placed)
     release(spark)
 
-    # Each pair of blocks gets the sets that its pairs need, and verifies them.
-    needed = pairs.select("block", F.col("a").alias("c")).union(pairs.select("block", F.col("b").alias("c"))).distinct()
-    wants = saved(needed.join(classes.select("c", "id", "f1"), "c").groupBy(F.col("id").alias("doc_id")).agg(F.collect_list(F.struct("f1", "block", "c")).alias("wants")), "wants")
-    sets = docs.join(wants, "doc_id").select("text", "wants").mapInArrow(lambda it: _sets(it, n), CASE)
-    cases = sets.union(pairs.select("block", F.col("a").alias("c"), F.col("b").alias("other"), F.lit(None).cast("binary")))
-    links = saved(cases.repartition(parts, "block").sortWithinPartitions("block", F.col("other").asc_nulls_first()).mapInArrow(lambda it: _verified(it, percent), "a long, b long"), "links")
-    removed(spark, pairs, wants)
+    # Each case gets the sets that it needs, and verifies their pairs.
+    sets = docs.join(wants, "doc_id").select("text", "wants").mapInArrow(lambda it: _sets(it, n, shared), CASE)
+    links = saved(sets.repartition(parts, "pair").sortWithinPartitions("pair").mapInArrow(lambda it: _verified(it, percent), LINK), "links")
+    removed(spark, wants)
+    del sets, needs, meet, summary, posts
     release(spark)
 
-    # Documents of several classes, by rows of one doc_id with other texts: their classes belong together.
-    owned = saved(filled.select("doc_id", "f1", "f2", "g", "n").distinct().join(classes, ["f1", "f2", "g", "n"]).select("doc_id", "c", "id"), "owned")
-    several = saved(owned.groupBy("doc_id").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("doc_id", "a"), "several")
-    spread = saved(owned.join(several, "doc_id"), "spread")
-    tied = spread.filter("a < id").select("a", F.col("id").alias("b"))
-    named = lambda s: classes.select(F.col("c").alias(s), F.col("id").alias(f"{s}id"))
-    edges = links.join(named("a"), "a").join(named("b"), "b").filter("aid <> bid").select(F.col("aid").alias("a"), F.col("bid").alias("b"))
-    labels = components(classes.select("id").distinct().withColumn("label", F.col("id")), edges.union(tied))
-
-    # Links of a document: the documents of its classes and of the classes linked with them, but for itself.
-    # Those of one class are summed by class, those of several are told apart.
-    near = saved(links.union(links.select("b", "a")).union(classes.select("c", "c")).toDF("c", "near"), "near")
-    single = owned.join(several, "doc_id", "left_anti").groupBy(F.col("c").alias("near")).agg(F.count(F.lit(1)).alias("docs"))
-    whose = spread.select(F.col("c").alias("near"), F.col("doc_id").alias("whose"))
-    total = lambda rows, key: rows.join(single, "near").groupBy(key).agg(F.sum("docs").alias("one"))
-    apart = lambda rows, key: rows.join(whose, "near").groupBy(key).agg(F.count_distinct("whose").alias("more"))
-    linked = (F.coalesce("one", F.lit(0)) + F.coalesce("more", F.lit(0)) - 1).alias("links")
-    of_one = saved(classes.select("c").join(total(near, "c"), "c", "left").join(apart(near, "c"), "c", "left").select("c", linked), "of-one")
-    reached = spread.select("doc_id", "c").join(near, "c").select("doc_id", "near").distinct()
-    of_more = saved(several.select("doc_id").join(total(reached, "doc_id"), "doc_id", "left").join(apart(reached, "doc_id"), "doc_id", "left").select("doc_id", linked.alias("links_of_all")), "of-more")
-
-    of_class = classes.join(labels, "id").join(of_one, "c")
-    of_class = saved(of_class.select("f1", "f2", "g", "n", F.col("id").alias("class_id"), F.col("label").alias("component_id"), "links"), "of-class")
+    # Components of the classes that have links. The classes of one document belong together.
+    edges = links.filter(F.col("kind") == FOREST).select("a", "b")
+    if any_several:
+        of_several = saved(spread.drop("one").join(classes, ["f1", "f2", "g", "n"]).select("doc_id", "c", "id"), "of-several")
+        first = of_several.groupBy("doc_id").agg(F.min("id").alias("a"))
+        edges = edges.union(of_several.join(first, "doc_id").filter("a < id").select("a", F.col("id").alias("b")))
+    edges = saved(edges.distinct(), "forest")
+    touched = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+    labels = components(touched.withColumn("label", F.col("id")), edges)
+
+    # Links of a document: the documents of its class and of the classes linked with it, but for itself.
+    sums = links.filter(F.col("kind") == SUMS).groupBy(F.col("a").alias("c")).agg(F.sum("docs").alias("linked"))
+    of_class = classes.join(sums, "c", "left").join(labels, "id", "left")
+    total = F.coalesce("linked", F.lit(0)) + F.col("docs") - 1
+    if any_several:  # those of several texts are told apart, by their links one by one
+        exact = links.filter(F.col("kind") == EXACT).select("a", "b")
+        near = saved(exact.union(exact.select("b", "a")).union(classes.filter("multi").select("c", "c")).toDF("c", "near"), "near")
+        whose = of_several.select(F.col("c").alias("near"), F.col("doc_id").alias("whose"))
+        more = near.join(whose, "near").groupBy("c").agg(F.count_distinct("whose").alias("more"))
+        of_class, total = of_class.join(more, "c", "left"), total + F.coalesce("more", F.lit(0))
+        reached = saved(of_several.select("doc_id", "c").join(near, "c").select("doc_id", "near").distinct(), "reached")
+        singles = reached.join(classes.select(F.col("c").alias("near"), "docs"), "near").groupBy("doc_id").agg(F.sum("docs").alias("one"))
+        others = reached.join(whose, "near").groupBy("doc_id").agg(F.count_distinct("whose").alias("more"))
+        of_more = saved(singles.join(others, "doc_id").select("doc_id", (F.col("one") + F.col("more") - 1).alias("links_of_all")), "of-more")
+    of_class = saved(of_class.select("f1", "f2", "g", "n", F.col("id").alias("class_id"), F.coalesce("label", "id").alias("component_id"), total.alias("links")), "of-class")
+    removed(spark, links)
+    out = features.join(of_class, ["f1", "f2", "g", "n"], "left")
+    n_links = F.coalesce("links", F.lit(0))
+    if any_several:
+        out, n_links = out.join(of_more, "doc_id", "left"), F.coalesce("links_of_all", n_links)
     none = F.when(F.col("n") == 0, F.col("doc_id"))
-    out = features.join(of_class, ["f1", "f2", "g", "n"], "left").join(of_more, "doc_id", "left")
     real = lambda c: F.when(c != NULL_ID, c)
     return out.select(
-        real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("component_id", none)).alias("component_id"), real(F.coalesce("class_id", none)).alias("class_id"),
-        F.coalesce("links_of_all", "links", F.lit(0)).alias("n_links"),
+        real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("component_id", none)).alias("component_id"), real(F.coalesce("class_id", none)).alias("class_id"), n_links.alias("n_links"),
     )
 
 

@@ -97,14 +97,13 @@ def brute_links(rows, n, percent):
     return {d: len(x) for d, x in linked.items()}
 
 
-@pytest.mark.parametrize("block", [256, 3])
-def test_links_are_all_counted(spark, monkeypatch, block):
+@pytest.mark.parametrize("block", [1 << 19, 300])
+def test_links_are_all_counted(spark, block):
     """Exact copies, families of near copies in which not all are linked, and documents of several texts."""
-    monkeypatch.setattr("lectorium.llm.jaccard_join.BLOCK", block)
     rng = random.Random(block)
     texts = family(rng, 60, 40, 3) + family(rng, 120, 20, 6) + ["", None, "x", "X", "x y z"]
     rows = list(enumerate(texts + texts[:6] + texts[:3])) + [(2, texts[45]), (2, texts[50]), (7, texts[45]), (50, texts[1]), (50, texts[50])]
-    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, block=block).collect()
     assert {r.doc_id: r.n_links for r in got} == brute_links(rows, 4, 85)
     assert len(got) == len(rows) and sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 4, 85)
 
