@@ -6,13 +6,14 @@ alike), then by hash. A document's prefix is so long that two documents whose si
 threshold share a shingle of their prefixes. Documents of equal prefix and size form one group, exact
 copies among them one class.
 
-Groups are dealt to blocks by the least shared shingle of their prefix, so that a family of near copies
-meets in few blocks; a block holds a bounded number of shingles, and a group that alone exceeds it is split.
-Two blocks that share a prefix shingle of fitting sizes and places make a case, to which each sends the sets
-that the other may need. Within a case pairs of groups are filtered by the size and by the place of each
-shared shingle, the rest is expanded to their classes and verified on whole sets. A pair of classes belongs
-to the two blocks it lies in, so it is verified exactly once, and its task gives back sums of links by class
-and a forest that spans them: n near copies cost n squared / 2 comparisons, but only n rows.
+Groups are dealt to blocks by the shingle of their prefix that most prefixes have, so that a family of near
+copies meets in few blocks; a block holds a bounded number of shingles, and a group that alone exceeds it is split.
+Two blocks that share a prefix shingle of fitting sizes and places make a case. Each sends it the prefixes
+of the groups concerned; pairs of groups are filtered there by size and by the number of shingles that their
+prefixes have in common. Groups that are left send the sets of their classes, and all their pairs are
+verified on whole sets. A pair of classes belongs to the two blocks it lies in, so it is verified exactly
+once, and its task gives back sums of links by class and a forest that spans them: n near copies cost
+n squared / 2 comparisons, but only n rows.
 
 Defined results: null, empty and word-free texts have an empty set and are linked with nothing; a text
 of fewer words than n is one shingle; rows that share a doc_id are one document with all their links; a
@@ -22,6 +23,8 @@ Shingles are compared by 64-bit hashes.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -149,10 +152,9 @@ def _features(batches, n, percent, known):
 
 
 def _may(na, nb, pa_, pb, percent):
-    """Whether sizes and places of a common prefix shingle leave room for enough common shingles."""
-    low, high = (F.least, F.greatest) if isinstance(na, Column) else (np.minimum, np.maximum)
-    most = low(pa_, pb) + low(na - pa_, nb - pb)
-    return ((100 + percent) * most >= percent * (na + nb)) & (100 * low(na, nb) >= percent * high(na, nb))
+    """Whether sizes, and places of a common prefix shingle that is the first in common, leave room for enough
+    common shingles. Later common shingles have later places, so a pair that fails at all of them has no link."""
+    return ((100 + percent) * F.least(na - pa_, nb - pb) >= percent * (na + nb)) & (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
 
 
 def _postings(batches, known, salt_at):
@@ -244,6 +246,70 @@ def _ranges(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - lengths), lengths)
 
 
+def _near(size: np.ndarray, left: np.ndarray, owner: np.ndarray, code: np.ndarray, percent: int):
+    """For each group of left, the groups that may have members linked with its own, itself too. The groups'
+    prefixes are given as rows (owner, code), by owner. Of two prefixes one ends first in the order of
+    shingles, and all its shingles that the other set has are common to both prefixes; beyond it no more
+    than the rest of that set can be in common."""
+    by_code = np.argsort(code, kind="stable")
+    low, high = (np.searchsorted(code[by_code], code, s) for s in ("left", "right"))
+    begin = np.searchsorted(owner, np.arange(len(size) + 1))
+    rest = size - _prefix(size, percent)
+    for i in left:
+        own = slice(begin[i], begin[i + 1])
+        near, common = np.unique(owner[by_code[_ranges(low[own], high[own] - low[own])]], return_counts=True)
+        n, m = size[i], size[near]
+        enough = (100 + percent) * (common + np.maximum(rest[i], rest[near])) >= percent * (n + m)
+        yield i, near[enough & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))]
+
+
+HIT = "pair long, side int, g long, n int, block long, token long, inner boolean"
+NEED = "pair long, side int, g long, n int, block long"
+
+
+def _filtered(rows: list[np.ndarray], percent: int) -> list[np.ndarray]:
+    """One case's groups that may have a link in it, of rows as in HIT."""
+    side, g, n, block, token, inner = rows
+    order = np.lexsort((g, n, side))
+    side, g, n, block, token, inner = (x[order] for x in (side, g, n, block, token, inner))
+    fresh = np.concatenate([[True], (g[1:] != g[:-1]) | (n[1:] != n[:-1]) | (side[1:] != side[:-1])])
+    owner, at = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+    of_side, size = side[at], n[at].astype(np.int64)
+    # A group of several classes has links of its own; its halves in two blocks have, too.
+    needed = np.zeros(len(at), bool)
+    needed[owner[inner & (side == 2)]] = True
+    for i, near in _near(size, np.flatnonzero(of_side != 1), owner, token, percent):
+        near = near[of_side[near] == 1] if of_side[i] == 0 else near[near > i]
+        if len(near):
+            needed[i] = True
+            needed[near] = True
+    first = {x: i for i, x in enumerate(zip(g[at].tolist(), size.tolist())) if of_side[i] == 0}
+    for i in np.flatnonzero(of_side == 1):
+        if (k := first.get((int(g[at[i]]), int(size[i])))) is not None:
+            needed[i] = needed[k] = True
+    at = at[needed]
+    return [side[at], g[at], n[at], block[at]]
+
+
+def _filter(batches, percent):
+    """Rows come sorted by case; each gives the groups whose sets it needs."""
+    names = [x.split()[0] for x in NEED.split(", ")]
+    rest = None
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            rows = [np.asarray(x.to_numpy(zero_copy_only=False)) for x in batch.columns]
+            rest = rows if rest is None else [np.concatenate(x) for x in zip(rest, rows, strict=True)]
+        if rest is None or not len(rest[0]):
+            continue
+        cuts = np.flatnonzero(np.concatenate([[True], rest[0][1:] != rest[0][:-1], [True]]))
+        last = len(cuts) - (1 if batch is None else 2)  # the last case may go on in the next batch
+        out = [(rest[0][x], _filtered([c[x:y] for c in rest[1:]], percent)) for x, y in zip(cuts[:last], cuts[1 : last + 1], strict=True)]
+        rest = [x[cuts[last] :] for x in rest]
+        if any(len(f[0]) for _, f in out):
+            pair = np.repeat(np.asarray([k for k, _ in out]), [len(f[0]) for _, f in out])
+            yield pa.RecordBatch.from_arrays([pa.array(pair), *(pa.array(np.concatenate(x)) for x in zip(*(f for _, f in out)))], names=names)
+
+
 def _links(side: np.ndarray, group: np.ndarray, sets: list[np.ndarray], percent: int):
     """Each class of one case that has links, with the later ones (of the other side, where there are two)
     that it is linked with: every link once, as places in sets."""
@@ -254,27 +320,13 @@ def _links(side: np.ndarray, group: np.ndarray, sets: list[np.ndarray], percent:
     of = of.ravel()
     by_group = np.argsort(of, kind="stable")
     first = np.searchsorted(of[by_group], np.arange(len(rep) + 1))
-    # Postings of the groups' prefixes, by shingle.
-    size = lengths[rep]
-    held = _prefix(size, percent)
-    owner, begin = np.repeat(np.arange(len(rep)), held), np.cumsum(held) - held
-    place = np.arange(len(owner)) - begin[owner]
-    code = flat[starts[rep][owner] + place]
-    by_code = np.argsort(code, kind="stable")
-    low, high = (np.searchsorted(code[by_code], code, s) for s in ("left", "right"))
+    held = _prefix(lengths[rep], percent)
     mark = np.zeros(len(values), bool)
-    for i in range(len(rep)):
-        mine = by_group[first[i] : first[i + 1]]
-        mine = mine[side[mine] != 1]
-        if not len(mine):
-            continue
-        own = slice(begin[i], begin[i] + held[i])
-        met = by_code[_ranges(low[own], high[own] - low[own])]
-        room = _may(size[i], size[owner[met]], np.repeat(place[own], high[own] - low[own]), place[met], percent)
-        near = np.unique(owner[met[room]])
+    for i, near in _near(lengths[rep], np.unique(of[side != 1]), np.repeat(np.arange(len(rep)), held), flat[_ranges(starts[rep], held)], percent):
         others = by_group[_ranges(first[near], first[near + 1] - first[near])]
         others = others[side[others] != 0]
-        for a in mine:
+        mine = by_group[first[i] : first[i + 1]]
+        for a in mine[side[mine] != 1]:
             later = others if side[a] == 0 else others[(of[others] > i) | ((of[others] == i) & (others > a))]
             if not len(later):
                 continue
@@ -370,9 +422,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, salt_at:
     classes = saved(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
 
     # Groups that can have links are dealt to blocks, large ones to several.
-    least = common.groupBy("g", "n").agg(F.min("token").alias("least"))
-    groups = classes.groupBy("g", "n").agg(F.count(F.lit(1)).alias("members")).join(least, ["g", "n"], "left").filter("least IS NOT NULL OR members > 1")
-    groups = saved(groups.select("g", "n", "members", F.coalesce("least", "g").alias("key"), (F.col("members") * (F.col("n") + EACH)).alias("weight")), "groups")
+    widest = common.join(common.groupBy("token").agg(F.count(F.lit(1)).alias("k")), "token").groupBy("g", "n").agg(F.max(F.struct("k", "token"))["token"].alias("widest"))
+    groups = classes.groupBy("g", "n").agg(F.count(F.lit(1)).alias("members")).join(widest, ["g", "n"], "left").filter("widest IS NOT NULL OR members > 1")
+    groups = saved(groups.select("g", "n", "members", F.coalesce("widest", "g").alias("key"), (F.col("members") * (F.col("n") + EACH)).alias("weight")), "groups")
     keys = groups.groupBy("key").agg(F.ceil(F.sum("weight") / block).alias("blocks"))
     dealt = groups.join(keys, "key").select("g", "n", "members", F.xxhash64("key", F.pmod(F.xxhash64("g", "n"), "blocks")).alias("deal"), F.ceil(F.col("weight") / block).alias("parts"))
     own_part = F.when(F.col("parts") == 1, F.col("deal")).otherwise(F.xxhash64("deal", F.pmod(F.xxhash64("c"), "parts")))
@@ -396,16 +448,18 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, salt_at:
     meet = meet.select(
         "g", "n", "block", F.xxhash64(F.least("block", "other"), F.greatest("block", "other")).alias("pair"), F.when(~apart, 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side")
     )
-    needs = meet.join(placed, ["g", "n", "block"]).groupBy(F.col("id").alias("doc_id")).agg(F.collect_list(F.struct("f1", "pair", "side", "c", "id", "g", "docs", "multi")).alias("wants"))
+    hits = meet.join(posts, ["g", "n", "block"]).select("pair", "side", "g", F.col("n").cast("int").alias("n"), "block", "token", (F.col("here") > 1).alias("inner"))
+    needed = saved(hits.repartition(parts, "pair").sortWithinPartitions("pair").mapInArrow(lambda it: _filter(it, percent), NEED), "needed")
+    needs = needed.join(placed, ["g", "n", "block"]).groupBy(F.col("id").alias("doc_id")).agg(F.collect_list(F.struct("f1", "pair", "side", "c", "id", "g", "docs", "multi")).alias("wants"))
     wants = saved(needs, "wants")
-    removed(spark, posts, placed)
+    removed(spark, posts, placed, needed)
     release(spark)
 
     # Each case gets the sets that it needs, and verifies their pairs.
     sets = docs.join(wants, "doc_id").select("text", "wants").mapInArrow(lambda it: _sets(it, n, shared), CASE)
     links = saved(sets.repartition(parts, "pair").sortWithinPartitions("pair").mapInArrow(lambda it: _verified(it, percent), LINK), "links")
     removed(spark, wants)
-    del sets, needs, meet, summary, posts
+    del sets, needs, needed, hits, meet, summary, posts
     release(spark)
 
     # Components of the classes that have links. The classes of one document belong together.
