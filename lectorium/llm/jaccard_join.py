@@ -42,6 +42,8 @@ FLUSH = 2_000_000
 SALT_AT, SEEN = 20_000, 100_000
 #: Shingles that a block of groups aims at, and what a class weighs besides its shingles. They bound no result.
 BLOCK, EACH = 1 << 19, 64
+#: Bits of the map by which texts are listed that the cases need: 2**18 words at most are broadcast.
+BITS = 1 << 24
 NULL_ID = -(1 << 63)
 
 
@@ -387,6 +389,16 @@ def _verified(batches, percent):
         yield batch_of(out)
 
 
+def _listed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Those of docs whose doc_id has the hash of a wanted one, so that few other texts are shuffled: a bitmap
+    of BITS bits, in words of 64, is broadcast whatever the number of wanted documents."""
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+    word, bit = F.shiftright(spot, 6).alias("_word"), F.pmod(spot, F.lit(64)).cast("int").alias("_bit")
+    bits = wanted.select(word, F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(doc_id), {BITS}), 64) as int))").alias("one")).groupBy("_word").agg(F.bit_or("one").alias("_bits"))
+    hit = F.expr("(shiftright(_bits, _bit) & 1L) = 1L")
+    return docs.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(bits), "_word").filter(hit).drop("_word", "_bit", "_bits")
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, salt_at: int = SALT_AT, block: int = BLOCK) -> DataFrame:
     """For every row of docs(doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id that links
     reach), class_id (the smallest doc_id of equal set) and n_links (the other documents it is linked with,
@@ -456,7 +468,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, salt_at:
     release(spark)
 
     # Each case gets the sets that it needs, and verifies their pairs.
-    sets = docs.join(wants, "doc_id").select("text", "wants").mapInArrow(lambda it: _sets(it, n, shared), CASE)
+    sets = _listed(docs, wants).join(wants, "doc_id").select("text", "wants").mapInArrow(lambda it: _sets(it, n, shared), CASE)
     links = saved(sets.repartition(parts, "pair").sortWithinPartitions("pair").mapInArrow(lambda it: _verified(it, percent), LINK), "links")
     removed(spark, wants)
     del sets, needs, needed, hits, meet, summary, posts
