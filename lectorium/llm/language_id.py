@@ -8,8 +8,10 @@ code length under a language is a sum of table entries: the trees are flattened
 its longest kept suffix. The language with the shortest code wins.
 
 The model is fitted on a bounded sample of labelled rows: per language at most docs_per_lang documents
-by their first max_chars characters, those of lowest hash of doc_id. It knows the most_langs languages of
-most labelled rows; texts of a rarer one get another name. Everything else reads every byte.
+by their first max_chars characters, those of lowest hash, and most_docs over all languages; every language
+with a label is learned. Its table is bounded, too: the most_symbols commonest bytes have symbols of their
+own, and contexts of order 2 and 3 that were seen less than least times, or the rarest beyond table_bytes,
+share the row of their suffix. Everything else reads every byte.
 
 Defined results: a text that is null or has no letter gets `und` and score 0; without any labelled row
 every text gets `und`; equal code lengths go to the first language by code point; very long texts are
@@ -37,43 +39,58 @@ class PpmModel:
         self.size = bits.shape[1]
 
     @classmethod
-    def fit(cls, samples: dict[str, list[bytes]], least: int = 24, most_symbols: int = 160) -> PpmModel:
-        """samples: texts per language. Contexts of order 2 and 3 seen less than least times over all
-        languages get no row of their own; symbols beyond the most_symbols commonest share one code."""
+    def fit(cls, samples: dict[str, list[bytes]], least: int = 24, most_symbols: int = 160, table_bytes: int = 1 << 27) -> PpmModel:
+        """samples: texts per language."""
         languages = sorted(samples)
         seen = sum(np.bincount(np.frombuffer(b"".join(samples[x]), np.uint8), minlength=256) for x in languages) if languages else np.zeros(256)
         kept = [b for b in np.argsort(-seen, kind="stable")[: most_symbols - 1] if seen[b]]
-        symbol = np.zeros(256, np.int64)
+        symbol = np.zeros(256, np.int32)
         symbol[kept] = np.arange(1, len(kept) + 1)
         a = len(kept) + 1
-        grams: list[list[np.ndarray]] = []
-        for x in languages:
-            padded = np.concatenate([p for t in samples[x] for p in (np.zeros(3, np.int64), symbol[np.frombuffer(t, np.uint8)])] or [np.zeros(3, np.int64)])
+
+        def grams(x: str) -> list[np.ndarray]:
+            """The contexts of orders 0 to 3 before each byte, and the byte's symbol."""
+            padded = np.concatenate([p for t in samples[x] for p in (np.zeros(3, np.int32), symbol[np.frombuffer(t, np.uint8)])] or [np.zeros(3, np.int32)])
             real = np.concatenate([p for t in samples[x] for p in (np.zeros(3, bool), np.ones(len(t), bool))] or [np.zeros(3, bool)])
             at = np.flatnonzero(real)
-            grams.append([np.zeros(len(at), np.int64), padded[at - 1], padded[at - 2] * a + padded[at - 1], (padded[at - 3] * a + padded[at - 2]) * a + padded[at - 1], padded[at]])
-        totals = {o: sum(np.bincount(g[o], minlength=a**o) for g in grams) if grams else np.zeros(a**o) for o in (2, 3)}
-        two, three = np.flatnonzero(totals[2] >= least), np.flatnonzero(totals[3] >= least)
-        state = np.tile(np.arange(a), a * a)
-        row = np.full(a * a, -1)
+            two = padded[at - 2] * a + padded[at - 1]
+            return [np.zeros(len(at), np.int32), padded[at - 1], two, padded[at - 3] * (a * a) + two, padded[at]]
+
+        totals = {2: np.zeros(a**2, np.int64), 3: np.zeros(a**3, np.int64)}
+        for x in languages:
+            g = grams(x)
+            for o in (2, 3):
+                totals[o] += np.bincount(g[o], minlength=a**o)
+        rows, deep = max(0, table_bytes // (4 * a * max(1, len(languages))) - a), []
+        for o in (2, 3):
+            found = np.flatnonzero(totals[o] >= least)
+            found = found[np.argsort(-totals[o][found], kind="stable")][:rows]
+            rows -= len(found)
+            deep.append(np.sort(found))
+        two, three = deep
+        del totals
+        state = np.tile(np.arange(a, dtype=np.int32), a * a)
+        row = np.full(a * a, -1, np.int32)
         row[two] = a + np.arange(len(two))
-        deep = np.tile(row, a)
-        state = np.where(deep >= 0, deep, state)
+        second_row = np.tile(row, a)
+        state = np.where(second_row >= 0, second_row, state)
         state[three] = a + len(two) + np.arange(len(three))
+        del second_row
         bits = np.zeros((a + len(two) + len(three), a, len(languages)), np.float32)
-        for n, g in enumerate(grams):
+        for n, x in enumerate(languages):
+            g = grams(x)
             below = cls._blend(np.bincount(g[4], minlength=a)[None, :].astype(float), np.full((1, a), 1.0 / a))
             one = cls._blend(np.bincount(g[1] * a + g[4], minlength=a * a).reshape(a, a).astype(float), np.repeat(below, a, axis=0))
-            counts2 = np.bincount(g[2] * a + g[4], minlength=a**3).reshape(a * a, a)
+            counts2 = np.bincount(g[2] * a + g[4], minlength=a**3).astype(np.int32).reshape(a * a, a)
             second = cls._blend(counts2[two].astype(float), one[two % a])
-            place = np.full(a**3, -1)
+            place = np.full(a**3, -1, np.int32)
             place[three] = np.arange(len(three))
             at = place[g[3]]
             counts3 = np.bincount(at[at >= 0] * a + g[4][at >= 0], minlength=len(three) * a).reshape(len(three), a)
             under = cls._blend(counts2[three % (a * a)].astype(float), one[three % a])
             third = cls._blend(counts3.astype(float), under)
             bits[:, :, n] = -np.log2(np.concatenate([one, second, third]))
-        return cls(languages, symbol.astype(np.int32), state.astype(np.int32), bits)
+        return cls(languages, symbol, state, bits)
 
     @staticmethod
     def _blend(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
@@ -144,19 +161,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def train(docs: DataFrame, docs_per_lang: int = 400, max_chars: int = 20_000, most_langs: int = 200) -> PpmModel:
+def train(docs: DataFrame, docs_per_lang: int = 400, max_chars: int = 20_000, most_docs: int = 40_000) -> PpmModel:
     """Fit on rows of docs(doc_id, text, lang) that aren't held out and have a lang: the first max_chars
-    characters of docs_per_lang documents of each of the most_langs commonest languages."""
+    characters of docs_per_lang documents of each language, of fewer where most_docs would be passed."""
     labelled = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("text", F.substring("text", 1, max_chars))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return PpmModel.fit({})
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 1.3 * docs_per_lang / n)))])
-    place = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    picked = labelled.filter(place < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("lang", "doc_id", place.alias("place"), "text").collect()
+    each = max(1, min(docs_per_lang, most_docs // len(counts)))
+    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, (1.3 * each + 4) / n)))])
+    place = F.pmod(F.xxhash64(F.lit(5), "doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # A row that is repeated counts once, so that no text is gathered more often than it differs.
+    picked = labelled.withColumn("place", place).filter(F.col("place") < share[F.col("lang")]).groupBy("lang", "doc_id", "place").agg(F.min("text").alias("text")).collect()
     samples: dict[str, list[bytes]] = {}
     for r in sorted(picked, key=lambda r: (r["place"], r["doc_id"], r["text"])):
-        if len(samples.setdefault(r["lang"], [])) < docs_per_lang:
+        if len(samples.setdefault(r["lang"], [])) < each:
             samples[r["lang"]].append(r["text"].encode())
     return PpmModel.fit(samples)
 
