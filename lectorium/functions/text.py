@@ -24,20 +24,44 @@ _FROM, _TO = _folds()
 
 
 def fold(s: Column) -> Column:
-    """Lower case without marks; runs of anything but letters and digits become one space."""
+    """Lower case without marks; runs of anything but a-z and digits become one space."""
     plain = F.regexp_replace(F.translate(F.regexp_replace(F.regexp_replace(s, "[ßẞ]", "ss"), "[þÞ]", "th"), _FROM, _TO), "\\p{M}+", "")
-    return F.trim(F.regexp_replace(F.lower(plain), "[^\\p{L}\\p{N}]+", " "))
+    return F.trim(F.regexp_replace(F.lower(plain), "[^a-z0-9]+", " "))
+
+
+def _compat() -> tuple[str, str]:
+    """Single characters that stand for another one (full-width forms, superscripts, circled letters)."""
+    pairs = {}
+    for start, stop in ((0xA0, 0x100), (0x2000, 0x3400), (0xFF00, 0xFFF0)):
+        for code in range(start, stop):
+            plain = unicodedata.normalize("NFKC", chr(code))
+            if len(plain) == 1 and plain != chr(code):
+                pairs[chr(code)] = plain
+    return "".join(pairs), "".join(pairs.values())
+
+
+_WIDE, _PLAIN = _compat()
 
 
 def normalize_title(s: Column) -> Column:
-    """A title for comparison: & as and, volume marks and punctuation gone, no leading article."""
-    t = F.regexp_replace(F.lower(s), "&", " and ")
-    t = F.regexp_replace(t, "[(\\[][^)\\]]*[)\\]]", " ")
-    t = F.regexp_replace(t, "#\\s*\\d+(\\.\\d+)?", " ")
-    t = F.trim(F.regexp_replace(t, "[^\\p{L}\\p{N}]+", " "))
+    """A title as a cluster's key: compatibility forms and case levelled, & as and, a number at the end gone,
+    punctuation as space, no leading article. Brackets with other contents stay, so volumes stay apart."""
+    t = F.translate(F.lower(F.trim(s)), _WIDE, _PLAIN)
+    for ligature in "\ufb00\ufb01\ufb02\ufb03\ufb04\ufb06":
+        t = F.replace(t, F.lit(ligature), F.lit(unicodedata.normalize("NFKC", ligature)))
+    t = F.replace(t, F.lit("&"), F.lit(" and "))
+    t = F.regexp_replace(t, "\\s*#\\s*\\d+\\s*$", "")
+    t = F.regexp_replace(t, "\\s*\\(\\s*\\d+\\s*\\)\\s*$", "")
+    t = F.trim(F.regexp_replace(t, "[^\\p{L}\\p{N}_]+", " "))
     return F.regexp_replace(t, "^(the|a|an) ", "")
 
 
+def core_title(s: Column) -> Column:
+    """The key of a title without anything in brackets."""
+    return normalize_title(F.regexp_replace(s, "\\([^)]*\\)", " "))
+
+
+#: Patterns of ids, series and dates.
 SERIES = "^(.*?)\\s*\\(([^)]+),\\s*#(\\d+(?:\\.\\d+)?)\\)\\s*$"
 
 

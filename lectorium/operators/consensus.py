@@ -1,4 +1,8 @@
-"""Consensus over communities of readers: cells, conditional esteem, partitions together, bootstraps."""
+"""Consensus over communities of readers: cells, conditional esteem, partitions together, bootstraps.
+
+Defined results: readers without a community and null ids take no part; a community without votes for a work
+isn't observed; works that are nowhere valid have null scores; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -17,25 +21,48 @@ def cells(votes: DataFrame, communities: DataFrame) -> DataFrame:
     return votes.join(c, "user_id").groupBy("work_id", "partition", "community").agg(F.sum(F.when(F.col("side") == 1, m).otherwise(0.0)).alias("high"), F.sum(F.when(F.col("side") == -1, m).otherwise(0.0)).alias("low"))
 
 
-def conditional_esteem(cells: DataFrame, prior: float = 4.0, cap: float = 50.0, least: int = 3, gamma: float = 1.0) -> DataFrame:
-    """Per work and partition: Beta posterior of each community (evidence capped), their evidence-weighted
-    mean, the spread tau between them, the score mean - 1.2816 tau, and its bound if odds were gamma times
-    worse. Works seen in fewer than least communities are left out."""
+def posterior(cells: DataFrame, prior: float = 4.0, cap: float = 30.0, least_readers: float = 3.0, gamma: float = 1.0) -> DataFrame:
+    """Each observed cell's Beta posterior: p and post_var. Wins and losses are scaled down together to the
+    evidence cap before the neutral prior is added. With gamma above 1 the odds are divided by it, and the
+    variance follows by the derivative. Cells of fewer than least_readers are left out."""
     n = F.col("high") + F.col("low")
-    c = cells.filter(n > 0).withColumn("e", F.least(n, F.lit(cap))).withColumn("p", (F.col("high") + prior / 2) / (n + prior)).withColumn("v", F.col("p") * (1 - F.col("p")) / (n + prior + 1))
-    g = c.groupBy("work_id", "partition").agg(
-        F.count(F.lit(1)).alias("communities"), F.sum("e").alias("evidence"), F.sum(F.col("e") * F.col("p")).alias("ep"), F.sum(F.col("e") * F.col("p") * F.col("p")).alias("epp"), F.sum(F.col("e") * F.col("v")).alias("ev"), F.sum(F.col("e") * F.col("e")).alias("ee")
+    scale = F.least(F.lit(1.0), F.lit(cap) / F.greatest(n, F.lit(1.0)))
+    c = cells.filter(F.round(n, 9) >= least_readers).withColumn("_a", F.col("high") * scale + prior / 2).withColumn("_b", F.col("low") * scale + prior / 2)
+    t = F.col("_a") + F.col("_b")
+    c = c.withColumn("p", F.col("_a") / t).withColumn("post_var", F.col("_a") * F.col("_b") / (t * t * (t + 1.0)))
+    if gamma > 1.0:
+        c = c.withColumn("_q", F.col("p") / (gamma - (gamma - 1.0) * F.col("p")))
+        slope = F.col("_q") * (1 - F.col("_q")) / F.greatest(F.col("p") * (1 - F.col("p")), F.lit(1e-9))
+        c = c.withColumn("post_var", F.col("post_var") * slope * slope).withColumn("p", F.col("_q")).drop("_q")
+    return c.drop("_a", "_b")
+
+
+def conditional_esteem(cells: DataFrame, communities: DataFrame, prior: float = 4.0, cap: float = 30.0, least_readers: float = 3.0, least_total: float = 30.0, gamma: float = 1.0) -> DataFrame:
+    """Per work and partition the equal mean mu over observed communities, the spread tau between them beyond
+    their posterior variance, score mu - 1.2816 tau, its standard error, coverage, and whether it is valid:
+    max(3, a quarter of the communities) observed and least_total votes. communities(partition, k)."""
+    whole = cells.groupBy("work_id", "partition").agg(F.sum(F.col("high") + F.col("low")).alias("votes"))
+    g = posterior(cells, prior, cap, least_readers, gamma).groupBy("work_id", "partition").agg(
+        F.count(F.lit(1)).alias("observed"), F.avg("p").alias("mu"), F.avg(F.col("p") * F.col("p")).alias("second"), F.avg("post_var").alias("post_var")
     )
-    mu = F.col("ep") / F.col("evidence")
-    tau = F.sqrt(F.greatest(F.col("epp") / F.col("evidence") - mu * mu - F.col("ev") / F.col("evidence"), F.lit(0.0)))
-    g = g.filter(F.col("communities") >= least).withColumn("mu", mu).withColumn("tau", tau).withColumn("score", F.col("mu") - 1.2816 * F.col("tau")).withColumn("n_eff", F.col("evidence") * F.col("evidence") / F.col("ee"))
-    return g.withColumn("bound", F.col("mu") / (F.col("mu") + gamma * (1 - F.col("mu")))).select("work_id", "partition", "communities", "evidence", "n_eff", "mu", "tau", "score", "bound")
-
-
-def combine_partitions(scores: DataFrame, partitions: int, least_share: float = 2 / 3) -> DataFrame:
-    """A work's score over partitions, where enough of them have one: mean, spread and uncertainty."""
-    g = scores.groupBy("work_id").agg(F.count(F.lit(1)).alias("valid"), F.avg("score").alias("score"), F.coalesce(F.stddev_samp("score"), F.lit(0.0)).alias("sd"), F.avg(F.sqrt(F.col("mu") * (1 - F.col("mu")) / F.col("n_eff"))).alias("se"))
-    return g.filter(F.col("valid") >= least_share * partitions).withColumn("uncertainty", F.sqrt(F.col("sd") * F.col("sd") + F.col("se") * F.col("se")))
+    g = whole.join(g, ["work_id", "partition"], "left").join(communities, "partition").withColumn("observed", F.coalesce("observed", F.lit(0)).cast("long"))
+    m = F.col("observed")
+    spread = F.greatest(F.col("second") - F.col("mu") * F.col("mu"), F.lit(0.0)) * F.when(m > 1, m / (m - 1)).otherwise(0.0)
+    g = g.withColumn("tau2", F.greatest(spread - F.col("post_var"), F.lit(0.0))).withColumn("tau", F.sqrt("tau2"))
+    g = g.withColumn("score", F.col("mu") - 1.2816 * F.col("tau")).withColumn("se", F.sqrt((F.col("tau2") + F.col("post_var")) / m)).withColumn("coverage", m / F.col("k"))
+    valid = (m >= F.greatest(F.lit(3), F.ceil(F.col("k") * 0.25))) & (F.round("votes", 9) >= least_total)
+    blank = [F.when(valid, F.col(c)).alias(c) for c in ("mu", "tau", "score", "se")]
+    return g.select("work_id", "partition", "observed", "votes", "coverage", valid.alias("valid"), *blank)
+
+
+def combine_partitions(scores: DataFrame, partitions: int, least_valid: float = 2 / 3, least_coverage: float = 0.5) -> DataFrame:
+    """A work over all partitions: means over the valid ones, spread between them, the uncertainty of both,
+    mean coverage; estimable if enough partitions are valid, eligible if coverage suffices, too."""
+    g = scores.groupBy("work_id").agg(
+        F.count("score").alias("valid"), F.avg("score").alias("score"), F.avg("mu").alias("mu"), F.avg("tau").alias("tau"), F.coalesce(F.stddev_samp("score"), F.lit(0.0)).alias("sd"), F.avg("se").alias("se"), (F.sum("coverage") / partitions).alias("coverage")
+    )
+    g = g.withColumn("uncertainty", F.sqrt(F.col("se") * F.col("se") + F.col("sd") * F.col("sd"))).filter(F.col("valid") / partitions >= least_valid)
+    return g.withColumn("eligible", F.col("coverage") >= least_coverage)
 
 
 def concentration(cells: DataFrame) -> DataFrame:
@@ -67,23 +94,34 @@ def poisson_weight(seed: str, *keys):
 
 def bootstrap(votes: DataFrame, replicates: int, seed: str = "boot") -> DataFrame:
     """Reader bootstrap of the share of high mass: work_id, mean, sd, low and high ends of 80 %. Readers are
-    weighted per replicate by a hash; replicates multiply readers' rows, and sums are pre-aggregated."""
-    r = votes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("k", poisson_weight(seed, F.col("user_id"), F.col("rep"))).filter("k > 0")
+    weighted per replicate by a hash, drawn once a reader; sums are pre-aggregated before they are shuffled."""
+    drawn = votes.select("user_id").distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("k", poisson_weight(seed, F.col("user_id"), F.col("rep"))).filter("k > 0")
+    r = votes.join(drawn, "user_id")
     m = F.col("mass") * F.col("k")
     s = r.groupBy("work_id", "rep").agg(ratio(F.sum(F.when(F.col("side") == 1, m).otherwise(0.0)), F.sum(m)).alias("share"))
     return s.groupBy("work_id").agg(F.avg("share").alias("mean"), F.stddev_samp("share").alias("sd"), F.percentile("share", 0.1).alias("low"), F.percentile("share", 0.9).alias("high"))
 
 
-def tier(score, uncertainty, communities, floor: float = 0.5):
-    """stable_core, supported_boundary or underexposed_or_contested."""
-    return F.when((score - uncertainty >= floor) & (communities >= 3), "stable_core").when(score >= floor, "supported_boundary").otherwise("underexposed_or_contested")
+def _all_within(ranks, top: int):
+    return F.forall(ranks, lambda r: F.coalesce(r <= top, F.lit(False)))
+
+
+def tier(e: dict, top: int = 200, floor: float = 50.0):
+    """stable_core, supported_boundary or underexposed_or_contested. e has columns pair_mass, joint_rate, ranks,
+    membership_ranks and feature_ranks (arrays; a null rank is out of the ranking), boundary_rank, fixed_rate,
+    community_status and gamma2_score."""
+    present = lambda r: (F.size(r) > 0) & _all_within(r, top)
+    survives = _all_within(e["ranks"], top) & present(e["membership_ranks"]) & present(e["feature_ranks"]) & F.coalesce(e["boundary_rank"] <= top, F.lit(False))
+    held = survives & (e["community_status"] == "broadly_stable") & (e["gamma2_score"] >= floor)
+    core = held & (e["pair_mass"] >= 20) & (e["joint_rate"] >= 0.8) & (e["fixed_rate"] >= 0.8)
+    return F.when(core, "stable_core").when(held & (e["joint_rate"] >= 0.5) & (e["fixed_rate"] >= 0.5), "supported_boundary").otherwise("underexposed_or_contested")
 
 
-def worst_reweighting(cells: DataFrame, most: float = 2.0) -> DataFrame:
-    """The lowest share of high mass if communities may be reweighted between 1 and most: the worst are
-    the first k in order of share, so the least over all prefixes is the answer."""
-    c = cells.withColumn("t", F.col("high") + F.col("low")).filter("t > 0").withColumn("s", F.col("high") / F.col("t"))
-    w = Window.partitionBy("work_id", "partition").orderBy("s", "community").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def worst_reweighting(values: DataFrame, most: float = 2.0) -> DataFrame:
+    """The least mean of values(work_id, partition, community, p) under weights whose greatest is at most `most`
+    times the least: the m smallest values weigh more, for the worst m."""
     a = Window.partitionBy("work_id", "partition")
-    value = (F.sum("high").over(a) + (most - 1) * F.sum("high").over(w)) / (F.sum("t").over(a) + (most - 1) * F.sum("t").over(w))
-    return c.withColumn("v", value).groupBy("work_id", "partition").agg(F.least(F.min("v"), F.sum("high") / F.sum("t")).alias("worst"))
+    w = a.orderBy("p", "community").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    m, k, low, total = F.count(F.lit(1)).over(w), F.count(F.lit(1)).over(a), F.sum("p").over(w), F.sum("p").over(a)
+    choice = F.when(m < k, (most * low + total - low) / (m * most + k - m)).otherwise(total / k)
+    return values.select("work_id", "partition", F.least(choice, total / k).alias("v")).groupBy("work_id", "partition").agg(F.min("v").alias("worst"))

@@ -33,9 +33,19 @@ def by_tags(works: DataFrame, tags: DataFrame, require: list[str] = (), include:
     return works
 
 
-def is_noise(shelf: Column, listed: list[str]) -> Column:
-    """Shelves that say something about the reader or a year rather than the work."""
-    return shelf.isin(list(listed)) | shelf.rlike("^(read-)?(in-)?(19|20)\\d{2}(-.*)?$") | shelf.startswith("to-") | shelf.startswith("own")
+#: Shelves about a reader, a format or a status, and shelves of a year.
+NOISE = (
+    "to-buy", "to-read", "currently-reading", "read", "dnf", "abandoned", "tbr", "library", "kindle", "ebook", "e-book", "audiobook", "audio", "audible", "paperback",
+    "hardcover", "english", "read-in-english", "books", "my-books", "owned", "i-own", "own-it", "owned-books", "favourites", "favorites", "favourite", "favorite", "favorite-books",
+    "all-time-favorites", "5-stars", "4-stars", "3-stars", "series", "maybe", "unfinished", "re-read", "reread", "to-reread", "did-not-finish", "on-hold", "physical-tbr", "kindle-tbr",
+)
+YEAR_SHELF = "^read-in-\\d{4}$|^read-\\d{4}$|^\\d{4}-reads$"
+
+
+def is_noise(shelf: Column, listed: tuple = NOISE) -> Column:
+    """Whether a shelf says something about the reader or a year rather than the work; null and blank ones do."""
+    s = F.trim(F.lower(F.coalesce(shelf, F.lit(""))))
+    return (s == "") | s.isin(*listed) | s.rlike(YEAR_SHELF) | s.startswith("read-in-") | s.startswith("read-20")
 
 
 @dataclass(frozen=True)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectorium.functions.numeric import md5_order, ratio
+from lectorium.functions.ranks import ntile
 
 
 def with_fold(df: DataFrame, key: str, folds: int = 5, seed: str = "fold") -> DataFrame:
@@ -49,7 +50,7 @@ def fold_profiles(events: DataFrame, labels: DataFrame, shrink: float = 10.0) ->
 
 def binned_odds(df: DataFrame, feature: str, positive: str, bins: int = 10, shrink: float = 5.0) -> DataFrame:
     """Log odds of the positives per quantile bin of a feature: bin, n, log_odds."""
-    b = df.filter(F.col(feature).isNotNull()).withColumn("bin", F.ntile(bins).over(Window.orderBy(feature, "user_id")))
+    b = ntile(df.filter(F.col(feature).isNotNull()), [F.col(feature), F.col("user_id")], bins, "bin")
     base = b.agg(F.avg(F.col(positive).cast("double")).alias("p0"))
     g = b.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(positive)).alias("k")).crossJoin(F.broadcast(base))
     p = (F.col("k") + shrink * F.col("p0")) / (F.col("n") + shrink)
@@ -58,9 +59,9 @@ def binned_odds(df: DataFrame, feature: str, positive: str, bins: int = 10, shri
 
 def matched_controls(readers: DataFrame, lovers: DataFrame, bins: int = 10, seed: str = "controls") -> DataFrame:
     """As many other readers per decile of activity as there are lovers in it: user_id, decile, lover."""
-    d = readers.withColumn("decile", F.ntile(bins).over(Window.orderBy("n_rated", "user_id"))).join(lovers.select("user_id").withColumn("lover", F.lit(True)), "user_id", "left").withColumn("lover", F.coalesce("lover", F.lit(False)))
+    d = ntile(readers, [F.col("n_rated"), F.col("user_id")], bins, "decile").join(lovers.select("user_id").withColumn("lover", F.lit(True)), "user_id", "left").withColumn("lover", F.coalesce("lover", F.lit(False)))
     want = d.filter("lover").groupBy("decile").agg(F.count(F.lit(1)).alias("want"))
-    r = d.withColumn("r", F.row_number().over(Window.partitionBy("decile", "lover").orderBy(md5_order(F.col("user_id"), seed), "user_id"))).join(F.broadcast(want), "decile")
+    r = d.withColumn("r", F.row_number().over(Window.partitionBy("decile", "lover").orderBy(md5_order(F.col("user_id"), seed), "user_id"))).join(want, "decile")
     return r.filter(F.col("lover") | (F.col("r") <= F.col("want"))).select("user_id", "decile", "lover")
 
 

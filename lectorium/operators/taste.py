@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from lectorium.functions.ranks import numbered, percent_rank
 from lectorium.functions.numeric import ratio, share_rounded
 
 
 def author_likes(events: DataFrame, works: DataFrame, authors: DataFrame) -> DataFrame:
     """Per reader and signal author: n_liked (4 or 5 stars), n_five."""
-    signal = works.select("work_id", "author_id").join(F.broadcast(authors), "author_id")  # a curated list
+    signal = works.select("work_id", "author_id").join(authors, "author_id")
     return events.filter("rating >= 4").join(signal, "work_id").groupBy("user_id", "author_id", "side", "prestige").agg(F.count(F.lit(1)).alias("n_liked"), F.count_if(F.col("rating") == 5).alias("n_five"))
 
 
@@ -30,7 +30,7 @@ def user_taste(likes: DataFrame) -> DataFrame:
 
 def poll_works(stats: DataFrame, works: DataFrame, authors: DataFrame) -> DataFrame:
     """Works of poll authors with n, prestige and rarity 1 / ln(2 + n)."""
-    poll = F.broadcast(authors.filter("side = 'literary_poll'").select("author_id", "prestige"))
+    poll = authors.filter("side = 'literary_poll'").select("author_id", "prestige")
     return works.join(poll, "author_id").join(stats.select("work_id", "n"), "work_id").select("work_id", "n", "prestige", (1.0 / F.ln(2 + F.col("n"))).alias("rarity"))
 
 
@@ -54,12 +54,14 @@ def _poll_hits(events: DataFrame, poll: DataFrame, hist: DataFrame, least_stars:
 
 
 def _ranked(df: DataFrame, weight: str = "weight") -> DataFrame:
-    """weight_pctile: a rank over readers, a dimension that one sort holds."""
-    return df.withColumn("weight_pctile", F.percent_rank().over(Window.orderBy(weight)))
+    """weight_pctile: the share of the cohort's readers below."""
+    return percent_rank(df, weight, "weight_pctile")
 
 
-def _against_max(df: DataFrame, boost: str, base: Column, fixed: float, moving: float) -> Column:
-    return base * (fixed + moving * F.col(boost) / F.nullif(F.max(boost).over(Window.partitionBy()), F.lit(0.0)))
+def _against_max(df: DataFrame, boost: str, base: Column, fixed: float, moving: float) -> DataFrame:
+    """df with weight: base, part of it by the boost against the greatest, a one-row side."""
+    most = df.agg(F.nullif(F.max(boost), F.lit(0.0)).alias("_most"))
+    return df.crossJoin(F.broadcast(most)).withColumn("weight", base * (fixed + moving * F.col(boost) / F.col("_most"))).drop("_most")
 
 
 def star_curators(events: DataFrame, taste: DataFrame, pickiness: DataFrame, hist: DataFrame, poll: DataFrame, least_lit=4, least_rated=40, least_poll=5, least_rare=1) -> DataFrame:
@@ -69,7 +71,7 @@ def star_curators(events: DataFrame, taste: DataFrame, pickiness: DataFrame, his
     b = b.fillna(0, ["n_poll_works", "rarity_mass", "n_rare_poll"]).filter((F.col("lit_hits") >= least_lit) & (F.col("com_hits") <= F.greatest(F.lit(3), share_rounded(F.col("lit_hits"), 350))) & (F.col("n_rated") >= least_rated) & (F.col("c5") >= 1))
     near = F.when(F.col("five_rate").between(0.10, 0.42) & F.col("mean_rating").between(3.05, 4.05), 1.0).when(F.col("five_rate").between(0.08, 0.50) & F.col("mean_rating").between(2.95, 4.15), 0.55).otherwise(0.0)
     b = b.withColumn("gate", near).withColumn("boost", _boost(F.col("rarity_mass")))
-    b = b.withColumn("weight", _against_max(b, "boost", F.col("gate") * F.col("lit_weight"), 0.35, 0.65))
+    b = _against_max(b, "boost", F.col("gate") * F.col("lit_weight"), 0.35, 0.65)
     return _ranked(b.filter((F.col("gate") >= 0.55) & (F.col("n_poll_works") >= least_poll) & (F.col("n_rare_poll") >= least_rare)))
 
 
@@ -78,7 +80,7 @@ def pct_curators(events: DataFrame, taste: DataFrame, pickiness: DataFrame, hist
     b = taste.join(pickiness.select("user_id", "n_rated", "five_rate"), "user_id").join(hist.select("user_id", "mean_rating", "c5", "max_star"), "user_id").join(percentiles.select("user_id", "n_levels", "source"), "user_id").join(_poll_hits(events, poll, hist, 3), "user_id")
     b = b.filter((F.col("lit_hits") >= least_lit) & (F.col("com_hits") <= F.greatest(F.lit(5), share_rounded(F.col("lit_hits"), 650))) & (F.col("n_rated") >= least_rated) & (F.col("n_levels") >= 2) & (F.col("n_poll_works") >= least_poll) & (F.col("n_poll_loved") >= least_loved))
     b = b.withColumn("boost", _boost(F.col("rarity_mass")))
-    return _ranked(b.withColumn("weight", _against_max(b, "boost", F.col("lit_weight"), 0.30, 0.70)).filter("weight > 0"))
+    return _ranked(_against_max(b, "boost", F.col("lit_weight"), 0.30, 0.70).filter("weight > 0"))
 
 
 def pure_curators(curators: DataFrame, least_share=0.55, least_net=0.20, least_poll=0, least_lit=0) -> DataFrame:
@@ -101,7 +103,7 @@ def deep_curators(events: DataFrame, pct: DataFrame, deep: DataFrame, common: Da
     b = b.withColumn("deep_share", ratio(F.col("n_deep"), F.col("n_deep") + F.col("n_common"))).withColumn("com_share", ratio(F.col("com_hits"), F.col("lit_hits") + F.col("com_hits")))
     b = b.filter((F.col("n_deep") >= min_deep) & (F.col("n_deep_rare") >= min_rare) & (F.col("deep_share") >= min_share) & (F.col("com_share") <= max_com)).withColumn("boost", _boost(F.col("deep_mass")))
     base = F.col("base_weight") * F.pow(F.greatest(F.col("deep_share"), F.lit(0.05)), F.lit(share_exp)) * F.pow(F.greatest(1.0 - F.col("com_share"), F.lit(0.02)), F.lit(com_exp))
-    return _ranked(b.withColumn("weight", _against_max(b, "boost", base, 1.0 - mix, mix)).filter("weight > 0"))
+    return _ranked(_against_max(b, "boost", base, 1.0 - mix, mix).filter("weight > 0"))
 
 
 def percent_clamped(x: float) -> float:
@@ -116,7 +118,7 @@ def elite(cohort: DataFrame, strictness: float, least: int = 100) -> DataFrame:
         return cohort
     n = cohort.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).cast("double").alias("_n"))
     keep = F.ceil(F.round(F.pow(F.col("_n"), F.lit(1 - t)) * F.pow(F.least(F.col("_n"), F.lit(float(least))), F.lit(t)), 9))
-    ranked = cohort.withColumn("_r", F.row_number().over(Window.orderBy(F.desc("weight"), "user_id")))
+    ranked = numbered(cohort, [F.desc("weight"), F.col("user_id")], "_r")
     return ranked.crossJoin(F.broadcast(n)).filter(F.col("_r") <= keep).drop("_r", "_n")
 
 

@@ -20,7 +20,8 @@ class Tables:
 
     @property
     def interactions(self) -> DataFrame:
-        """user_id, work_id, book_id, rating, added_at (epoch seconds), is_read: one row per edition rated."""
+        """user_id, work_id, book_id, rating, added_at, updated_at and read_at (epoch seconds), is_read: one row
+        per edition rated."""
         orders = self.read("orders").select("o_orderkey", F.col("o_custkey").alias("user_id"), F.unix_timestamp("o_orderdate").alias("added_at"))
         lines = self.read("lineitem").select(
             F.col("l_orderkey").alias("o_orderkey"),
@@ -28,8 +29,15 @@ class Tables:
             (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("book_id"),
             (1 + (F.col("l_quantity").cast("int") + F.col("l_suppkey")) % 5).cast("int").alias("rating"),
             (F.col("l_returnflag") != "A").alias("is_read"),
+            F.unix_timestamp("l_shipdate").alias("updated_at"),
+            F.when(F.col("l_returnflag") != "A", F.unix_timestamp("l_shipdate") + 604_800).alias("read_at"),
         )
-        return lines.join(orders, "o_orderkey").select("user_id", "work_id", "book_id", "rating", "added_at", "is_read")
+        return lines.join(orders, "o_orderkey").select("user_id", "work_id", "book_id", "rating", "added_at", "updated_at", "read_at", "is_read")
+
+    @property
+    def timed(self) -> DataFrame:
+        """One row per reader and work: greatest rating, first added and read, last updated."""
+        return self.interactions.groupBy("user_id", "work_id").agg(F.max("rating").alias("rating"), F.min("added_at").alias("added_at"), F.max("updated_at").alias("updated_at"), F.min("read_at").alias("read_at"))
 
     @property
     def works(self) -> DataFrame:
@@ -62,7 +70,8 @@ class Tables:
 CTE = """
 inter AS (
   SELECT o_custkey AS user_id, l_partkey AS work_id, l_partkey * 10 + l_linenumber AS book_id,
-    (1 + (l_quantity::INTEGER + l_suppkey) % 5)::INTEGER AS rating, epoch(o_orderdate)::BIGINT AS added_at, l_returnflag <> 'A' AS is_read
+    (1 + (l_quantity::INTEGER + l_suppkey) % 5)::INTEGER AS rating, epoch(o_orderdate)::BIGINT AS added_at, l_returnflag <> 'A' AS is_read,
+    epoch(l_shipdate)::BIGINT AS updated_at, CASE WHEN l_returnflag <> 'A' THEN epoch(l_shipdate)::BIGINT + 604800 END AS read_at
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 ), works AS (
   SELECT p_partkey AS work_id, p_partkey % 100 AS author_id, p_name || ' ' || (p_partkey % 40)::VARCHAR AS title,

@@ -58,10 +58,11 @@ _add(
     lambda s, d: genres.by_tags(Tables(s, d).works, _tags(s, d), ["small"], ["brand#1", "brand#12", "brand#16", "brand#17"], ["brand#1"]).select("work_id"),
     f"WITH {CTE}, {_CAT}, {_TAGS} SELECT work_id FROM works w WHERE EXISTS (SELECT 1 FROM tags t WHERE t.work_id = w.work_id AND shelf = 'small') AND EXISTS (SELECT 1 FROM tags t WHERE t.work_id = w.work_id AND shelf IN ('brand#1', 'brand#12', 'brand#16', 'brand#17')) AND NOT EXISTS (SELECT 1 FROM tags t WHERE t.work_id = w.work_id AND shelf = 'brand#1')",
 )
+_SHELF_FORMS = [F.col("shelf"), F.concat(F.lit("read-in-"), "shelf"), F.concat(F.lit(" To-"), F.lit("Read")), F.concat((F.col("work_id") % 30 + 1990).cast("string"), F.lit("-reads")), F.concat(F.lit("own"), "shelf"), F.lit("  ")]
 _add(
     "noise_shelves",
-    lambda s, d: Tables(s, d).shelves.select("shelf").distinct().withColumn("noise", genres.is_noise(F.concat(F.lit("to-"), "shelf"), []) & ~genres.is_noise(F.col("shelf"), ["promo"])),
-    f"WITH {CTE} SELECT DISTINCT shelf, shelf <> 'promo' AS noise FROM shelves",
+    lambda s, d: Tables(s, d).shelves.select(F.explode(F.array(*_SHELF_FORMS)).alias("shelf")).distinct().withColumn("noise", genres.is_noise(F.col("shelf"))),
+    f"WITH {CTE}, f AS (SELECT DISTINCT unnest([shelf, 'read-in-' || shelf, ' To-Read', (work_id % 30 + 1990)::VARCHAR || '-reads', 'own' || shelf, '  ']) AS shelf FROM shelves) SELECT shelf, trim(shelf) = '' OR lower(trim(shelf)) = 'to-read' OR starts_with(shelf, 'read-in-') OR regexp_full_match(shelf, '[0-9]{{4}}-reads') AS noise FROM f",
 )
 RATIO = genres.RatioGate("small", core=("small",), soft=("brand#1", "brand#2", "brand#3", "brand#4"), compete=("brand#12", "brand#5", "brand#6"), compete_soft=("brand#7", "brand#8"), literary=("brand#9", "brand#10"), literary_min_n=28, ya=("brand#11",), min_core=8, min_ratio=0.7, escape_core=20, escape_ratio=0.5, soft_escape_core=12, soft_escape_ratio=0.6, ya_below_core=True, soft_max_ya=10)
 THEME = genres.ThemeGate("theme", core=("economy", "brand#1", "brand#2"), fiction=("economy", "brand#1", "brand#2", "brand#3", "brand#4", "promo"), min_core=20, min_ratio=0.5, obscure_n=28, obscure_core=10, obscure_ratio=0.3)
@@ -115,17 +116,49 @@ _add(
 )
 
 
-def _flagged(s, d):
+#: What stands behind every so many titles, so that each rule has cases.
+_SUFFIXES = {7: " Box Set", 11: " #1-3", 13: ": The Screenplay", 17: " (Manga)", 19: " Trilogy, #2", 23: " and Other Stories", 29: ": A Companion to the Saga (Saga, #2)", 31: " Volumes 1-4", 37: " #2", 41: " (3)"}
+
+
+def _suffixed(s, d):
     w = Tables(s, d).works
-    t = F.when(F.col("work_id") % 7 == 0, F.concat("title", F.lit(" Box Set"))).when(F.col("work_id") % 11 == 0, F.concat("title", F.lit(" #1-3"))).when(F.col("work_id") % 13 == 0, F.concat("title", F.lit(": The Screenplay Collection"))).when(F.col("work_id") % 17 == 0, F.concat("title", F.lit(" (Manga)"))).otherwise(F.col("title"))
-    return catalog.title_flags(w.withColumn("title", t))
+    t = F.col("title")
+    for k, suffix in reversed(_SUFFIXES.items()):
+        t = F.when(F.col("work_id") % k == 0, F.concat("title", F.lit(suffix))).otherwise(t)
+    return w.withColumn("title", t).withColumn("language_code", F.when(F.col("work_id") % 2 == 0, "eng").otherwise("GER"))
 
 
-_FLAGS = """ft AS (
-  SELECT work_id, author_id, pub_year, CASE WHEN work_id % 7 = 0 THEN title || ' Box Set' WHEN work_id % 11 = 0 THEN title || ' #1-3' WHEN work_id % 13 = 0 THEN title || ': The Screenplay Collection' WHEN work_id % 17 = 0 THEN title || ' (Manga)' ELSE title END AS title,
-    work_id % 7 = 0 OR work_id % 11 = 0 OR work_id % 13 = 0 AS is_collection, work_id % 13 = 0 AND work_id % 7 <> 0 AND work_id % 11 <> 0 AS is_derivative, work_id % 17 = 0 AND work_id % 7 <> 0 AND work_id % 11 <> 0 AND work_id % 13 <> 0 AS is_comic FROM works
-)"""
+def _flagged(s, d):
+    return catalog.title_flags(_suffixed(s, d))
+
+
+def _matches(pattern):
+    return f"regexp_matches(title, '{pattern.replace(chr(39), chr(39) * 2)}')"
+
+
+_TITLED = "tt AS (SELECT work_id, author_id, pub_year, CASE " + " ".join(f"WHEN work_id % {k} = 0 THEN title || '{x}'" for k, x in _SUFFIXES.items()) + " ELSE title END AS title, CASE WHEN work_id % 2 = 0 THEN 'en' ELSE 'ge' END AS lang FROM works)"
+_FLAGS = f"{_TITLED}, ft AS (SELECT *, {_matches(catalog.COLLECTION)} AS is_collection, {_matches(catalog.DERIVATIVE)} AND (NOT {_matches(catalog.SINGLE_VOLUME)} OR {_matches(catalog.SURE_DERIVATIVE)}) AS is_derivative, {_matches(catalog.COMIC)} AS is_comic FROM tt)"
 _add("title_flags", lambda s, d: _flagged(s, d).select("work_id", "is_collection", "is_derivative", "is_comic"), f"WITH {CTE}, {_FLAGS} SELECT work_id, is_collection, is_derivative, is_comic FROM ft")
+_GROUPS = {"fiction": ("small", "brand#1"), "nonfiction": ("brand#2", "promo"), "short": ("brand#3", "medium"), "bundle": ("brand#4", "brand#5"), "comic": ("brand#6", "economy"), "picture": ("standard",)}
+_add("shelf_counts", lambda s, d: catalog.shelf_counts(Tables(s, d).shelves, _GROUPS), f"WITH {CTE} SELECT work_id, " + ", ".join(f"coalesce(sum(count) FILTER (WHERE shelf IN {g if len(g) > 1 else '(' + repr(g[0]) + ')'}), 0)::BIGINT AS {n}_n" for n, g in (_GROUPS | {"collection": _GROUPS["short"] + _GROUPS["bundle"]}).items()) + " FROM shelves WHERE shelf IN ('" + "', '".join(x for g in _GROUPS.values() for x in g) + "') GROUP BY work_id")
+
+
+def _shelf_flags(s, d):
+    c = catalog.shelf_counts(Tables(s, d).shelves, _GROUPS)
+    c = c.select("work_id", *[(F.col(x) * 4).alias(x) for x in c.columns if x != "work_id"])
+    pages = Tables(s, d).works.filter("work_id % 5 <> 0").select("work_id", (F.col("work_id") % 300).cast("int").alias("num_pages"))
+    return catalog.shelf_flags(_suffixed(s, d), c, pages).select("work_id", "is_collection", "is_comic", "is_nonfiction", "is_picture_book")
+
+
+_SUM4 = lambda *names: "4 * coalesce(sum(count) FILTER (WHERE shelf IN ('" + "', '".join(names) + "')), 0)"
+_add(
+    "shelf_flags",
+    _shelf_flags,
+    f"""WITH {CTE}, {_FLAGS}, g AS (SELECT work_id, {_SUM4("small", "brand#1")} AS f, {_SUM4("brand#2", "promo")} AS nf, {_SUM4("brand#3", "medium", "brand#4", "brand#5")} AS c, {_SUM4("brand#4", "brand#5")} AS b, {_SUM4("brand#6", "economy")} AS co, {_SUM4("standard")} AS pi FROM shelves GROUP BY work_id),
+x AS (SELECT ft.*, f, nf, c, b, co, pi, CASE WHEN work_id % 5 <> 0 THEN work_id % 300 END AS pages, {_matches(catalog.SINGLE_VOLUME)} AND NOT regexp_matches(title, '#\\s*[0-9]+\\s*-\\s*[0-9]+') AS one, {_matches(catalog.COLLECTION_CUE)} OR is_collection AS cue FROM ft JOIN g USING (work_id))
+SELECT work_id, is_collection OR (c >= 40 AND c >= 0.5 * greatest(f, 1) AND NOT one AND ((b >= 30 AND b >= 0.12 * greatest(f, 1)) OR cue OR ((b >= 30 OR coalesce(pages, 0) >= 140) AND c >= 120 AND c >= 0.9 * greatest(f, 1)))) AS is_collection,
+  is_comic OR (co >= 10 AND co > 1.15 * f) AS is_comic, nf >= 10 AND nf > 1.15 * f AS is_nonfiction, pi >= 40 AND (pi >= 0.25 * greatest(f, 1) OR coalesce(pages <= 64, FALSE)) AS is_picture_book FROM x""",
+)
 _add(
     "flag_overrides",
     lambda s, d: (lambda r: catalog.override(_flagged(s, d), r.filter("id % 5 = 0").select(F.col("id").alias("work_id"), F.lit("is_comic").alias("flag")), r.filter("id % 14 = 0").select(F.col("id").alias("work_id"), F.lit("is_collection").alias("flag"))))(s.range(100)).select("work_id", "is_collection", "is_derivative", "is_comic", "format_weight"),
@@ -135,22 +168,30 @@ SELECT *, least(1.0::DOUBLE, CASE WHEN is_collection THEN 0.18 ELSE 1 END, CASE
 
 
 def _twins(s, d):
-    w = _flagged(s, d)
-    return w.withColumn("author_id", F.col("author_id") % 5).withColumn("title", F.concat(F.lit("The "), F.regexp_replace("title", " \\d+", "")))
+    return _flagged(s, d).withColumn("author_id", F.col("author_id") % 5).withColumn("title", F.concat(F.lit("The "), F.regexp_replace("title", " \\d+", "")))
 
 
 _add(
     "duplicate_clusters",
     lambda s, d: catalog.duplicate_clusters(_twins(s, d), Model(s, d).work_stats),
-    f"""WITH {DERIVED}, {_FLAGS}, t AS (SELECT work_id, n, author_id % 5 AS a, is_collection, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(title, ' [0-9]+', '')), '[(\\[][^)\\]]*[)\\]]', ' ', 'g'), '#\\s*\\d+(\\.\\d+)?', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'), '^(the|a|an) ', '')) AS norm FROM ft JOIN (SELECT work_id, n FROM ws) USING (work_id)),
-c AS (SELECT *, bool_and(is_collection) OVER k <> bool_or(is_collection) OVER k AS mixed, count(*) OVER k AS size, first_value(work_id) OVER (PARTITION BY a, norm ORDER BY n DESC, work_id) AS best FROM t WINDOW k AS (PARTITION BY a, norm))
+    f"""WITH {DERIVED}, {_FLAGS}, t AS (SELECT work_id, n, author_id % 5 AS a, lang, is_collection, regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(lower('The ' || regexp_replace(title, ' [0-9]+', '')), '\\s*#\\s*\\d+\\s*$', ''), '\\s*\\(\\s*\\d+\\s*\\)\\s*$', ''), '[^a-z0-9_]+', ' ', 'g')), '^(the|a|an) ', '') AS norm FROM ft JOIN (SELECT work_id, n FROM ws) USING (work_id)),
+c AS (SELECT *, bool_and(is_collection) OVER k <> bool_or(is_collection) OVER k AS mixed, count(*) OVER k AS size, first_value(work_id) OVER (PARTITION BY a, norm, lang ORDER BY n DESC, work_id) AS best FROM t WINDOW k AS (PARTITION BY a, norm, lang))
 SELECT work_id, CASE WHEN NOT mixed AND size > 1 THEN best ELSE work_id END AS canonical_id, CASE WHEN mixed THEN 1 ELSE size END::BIGINT AS size FROM c""",
 )
+
+
+def _pairs(s, d):
+    w = Tables(s, d).works
+    other = w.select((F.col("work_id") - 100).alias("work_id"), F.col("title").alias("t"))
+    return w.unionByName(w.join(other, "work_id").select((F.col("work_id") + 100000).alias("work_id"), "author_id", F.concat("title", F.lit(" / Vol: "), "t", F.lit(" (Saga/2)")).alias("title"), F.lit(2000).alias("pub_year"), "is_sf"))
+
+
 _add(
     "slash_omnibus",
-    lambda s, d: (lambda w: catalog.slash_omnibus(w.unionByName(w.join(w.select(F.col("work_id").alias("o"), "author_id", F.col("title").alias("t")), "author_id").filter("o = work_id + 100").select((F.col("work_id") + 100000).alias("work_id"), "author_id", F.concat("title", F.lit(" / "), "t").alias("title"), F.lit(2000).alias("pub_year"), "is_sf"))))(Tables(s, d).works),
-    f"""WITH {CTE}, u AS (SELECT a.work_id + 100000 AS work_id, a.author_id, [a.title, b.title] AS parts FROM works a JOIN works b ON b.work_id = a.work_id + 100)
-SELECT u.work_id, count(DISTINCT w.title) AS parts, min(w.pub_year) AS first_year FROM u JOIN works w ON w.author_id = u.author_id AND list_contains(u.parts, w.title) GROUP BY u.work_id HAVING count(DISTINCT w.title) >= 2""",
+    lambda s, d: catalog.slash_omnibus(_pairs(s, d), Model(s, d).work_stats),
+    f"""WITH {DERIVED}, u AS (SELECT a.work_id + 100000 AS work_id, a.author_id, unnest([a.title, b.title]) AS part FROM works a JOIN works b ON b.work_id = a.work_id + 100),
+h AS (SELECT u.work_id, part, w.work_id AS sibling, w.pub_year, row_number() OVER (PARTITION BY u.work_id, part ORDER BY w.title = part DESC, coalesce(n, 0) DESC, w.work_id) AS r FROM u JOIN works w ON w.author_id = u.author_id AND (w.title = part OR (length(part) >= 12 AND starts_with(w.title, part || ' '))) LEFT JOIN (SELECT work_id, n FROM ws) s ON s.work_id = w.work_id)
+SELECT work_id, count(DISTINCT sibling) AS parts, min(pub_year) AS first_year FROM h WHERE r = 1 GROUP BY work_id HAVING count(DISTINCT sibling) >= 2""",
 )
 _add(
     "work_years",

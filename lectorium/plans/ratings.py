@@ -5,20 +5,28 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectorium.functions.numeric import six
+from lectorium.functions.storage import fingerprint, saved
 from lectorium.operators import collapse, ranking, stats, taste
 from lectorium.plans.adapter import CTE, Tables
 
 
+#: Derived tables that are written once per application and state of the base tables.
+_STORED: dict[tuple, object] = {}
+
+
 class Model:
-    """The derived tables of one set of base tables, each a plan that is built when first asked for."""
+    """The derived tables of one set of base tables: each is written when first asked for, and read again by
+    all later queries of the application as long as the base tables are the same."""
 
     def __init__(self, spark, sf_dir):
-        self.base, self._made = Tables(spark, sf_dir), {}
+        self.base = Tables(spark, sf_dir)
+        self._key = (spark.sparkContext.applicationId, *fingerprint(spark, *(f"{sf_dir}/{t}.parquet" for t in ("lineitem", "orders", "part"))))
 
     def _get(self, name, make):
-        if name not in self._made:
-            self._made[name] = make()
-        return self._made[name]
+        key = (*self._key, name)
+        if key not in _STORED:
+            _STORED[key] = saved(make(), name)
+        return _STORED[key]
 
     @property
     def works(self):
@@ -50,7 +58,7 @@ class Model:
 
     @property
     def literary_works(self):
-        lit = F.broadcast(self.base.taste_authors.filter("side <> 'non_literary'").select("author_id"))
+        lit = self.base.taste_authors.filter("side <> 'non_literary'").select("author_id")
         return self.works.join(lit, "author_id", "left_semi").select("work_id")
 
     @property
@@ -232,13 +240,8 @@ _add(
 _add("star_histogram", lambda s, d: _rounded(stats.star_histogram(Model(s, d).events), ["mass"]), f"WITH {DERIVED} SELECT k::INTEGER AS star, (SELECT count(*) FROM ev WHERE rating = k)::DOUBLE AS mass FROM range(1, 6) t(k)")
 _add(
     "weighted_star_histogram",
-    lambda s, d: (lambda m: _rounded(stats.star_histogram(m.events.join(m.taste.select("user_id", "lit_weight"), "user_id").filter("work_id < 100"), "lit_weight"), ["mass"]))(Model(s, d)),
-    f"WITH {DERIVED} SELECT k::INTEGER AS star, round(coalesce((SELECT sum(lit_weight) FROM ev JOIN tst USING (user_id) WHERE rating = k AND work_id < 100), 0), 6) AS mass FROM range(1, 6) t(k)",
-)
-_add(
-    "weighted_star_histogram_all",
     lambda s, d: (lambda m: _rounded(stats.star_histogram(m.events.join(m.taste.select("user_id", "lit_weight"), "user_id"), "lit_weight"), ["mass"]))(Model(s, d)),
-    SQL["weighted_star_histogram"].replace(" AND work_id < 100)", ")"),
+    f"WITH {DERIVED} SELECT k::INTEGER AS star, round(coalesce((SELECT sum(lit_weight) FROM ev JOIN tst USING (user_id) WHERE rating = k), 0), 6) AS mass FROM range(1, 6) t(k)",
 )
 _add("user_star_hist", lambda s, d: _rounded(Model(s, d).hist, ["mean_rating"]), f"WITH {DERIVED} SELECT user_id, n_rated, round(mean_rating, 6) AS mean_rating, max_star, c1, c2, c3, c4, c5, n_levels FROM hist")
 _PCT = [f"pct_{k}" for k in range(1, 6)]

@@ -59,11 +59,6 @@ _add("spectral_embedding", lambda s, d: models.spectral_embedding(s.read.parquet
 _add("spherical_clusters", lambda s, d: models.spherical_clusters(s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding"), "embedding", 6).select("vec_id", "community"))
 _add(
     "fuzzy_titles",
-    lambda s, d: (lambda w: models.fuzzy_pairs(w.filter("work_id < 1000").select(F.col("work_id").alias("id"), "author_id", "title"), w.filter("work_id >= 1000").select(F.col("work_id").alias("id"), "author_id", "title"), "author_id", "title", 3))(Tables(s, d).works),
-    f"WITH {CTE} SELECT a.work_id AS l, b.work_id AS r, levenshtein(a.title, b.title)::INTEGER AS d FROM works a JOIN works b ON a.author_id = b.author_id AND a.work_id < 1000 AND b.work_id >= 1000 AND levenshtein(a.title, b.title) <= 3 QUALIFY row_number() OVER (PARTITION BY a.work_id ORDER BY levenshtein(a.title, b.title), b.work_id) = 1",
-)
-_add(
-    "fuzzy_titles_all",
     lambda s, d: (lambda w: models.fuzzy_pairs(w, w, "author_id", "title", 3, others=True))(Tables(s, d).works.select(F.col("work_id").alias("id"), "author_id", "title")),
     f"WITH {CTE} SELECT a.work_id AS l, b.work_id AS r, levenshtein(a.title, b.title)::INTEGER AS d FROM works a JOIN works b ON a.author_id = b.author_id AND a.work_id <> b.work_id AND levenshtein(a.title, b.title) <= 3 QUALIFY row_number() OVER (PARTITION BY a.work_id ORDER BY levenshtein(a.title, b.title), b.work_id) = 1",
 )

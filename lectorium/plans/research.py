@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectorium.functions.numeric import six
+from lectorium.functions.storage import saved
 from lectorium.operators import consensus, evaluation, graph, pairwise, temporal
 from lectorium.plans.adapter import CTE, Tables
 from lectorium.plans.ratings import DERIVED, Model
@@ -16,6 +17,10 @@ def _add(name, query, sql):
     QUERIES[name], SQL[name] = query, sql
 
 
+def _r9(df, *columns):
+    return df.select(*[F.round(c, 9).alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
 def _r(df, *columns):
     return df.select(*[six(F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
 
@@ -63,32 +68,64 @@ def _cells(s, d, soft=False):
 _PARTS = " UNION ALL ".join(f"SELECT user_id, {p} AS partition, (user_id * {p + 3} % {k})::INTEGER AS community, {k} AS k FROM hist" for p, k in enumerate((5, 7, 9)))
 _CELLS = f"""{_BAL}, pt AS ({_PARTS}), cell AS (
   SELECT work_id, partition, community, coalesce(sum(mass) FILTER (WHERE side = 1), 0) AS high, coalesce(sum(mass) FILTER (WHERE side = -1), 0) AS low FROM ex JOIN pt USING (user_id) GROUP BY ALL
-), ce AS (
-  SELECT work_id, partition, count(*) AS communities, sum(e) AS evidence, sum(e * p) / sum(e) AS mu, sqrt(greatest(sum(e * p * p) / sum(e) - power(sum(e * p) / sum(e), 2) - sum(e * v) / sum(e), 0)) AS tau, power(sum(e), 2) / sum(e * e) AS n_eff
-  FROM (SELECT *, least(high + low, 50) AS e, (high + 2) / (high + low + 4) AS p, p * (1 - p) / (high + low + 5) AS v FROM cell WHERE high + low > 0) GROUP BY ALL HAVING count(*) >= 3
 )"""
+
+
+def _posterior_sql(gamma, cap=30.0, prior=4.0, least=3.0):
+    """Name the posterior of a cell (q), written from its formulas: capped Beta, then odds over gamma."""
+    return f"""q AS (SELECT work_id, partition, community, p0 / ({gamma} - ({gamma} - 1) * p0) AS p, v0 * power((p0 / ({gamma} - ({gamma} - 1) * p0)) * (1 - p0 / ({gamma} - ({gamma} - 1) * p0)) / (p0 * (1 - p0)), 2) AS v FROM (
+  SELECT *, al / (al + be) AS p0, al * be / (power(al + be, 2) * (al + be + 1)) AS v0 FROM (
+    SELECT *, high * least(1.0::DOUBLE, {cap}::DOUBLE / greatest(high + low, 1)) + {prior / 2}::DOUBLE AS al, low * least(1.0::DOUBLE, {cap}::DOUBLE / greatest(high + low, 1)) + {prior / 2}::DOUBLE AS be FROM cell WHERE round(high + low, 9) >= {least}))
+)"""
+
+
+def _esteem_sql(gamma="1.0::DOUBLE"):
+    return f"""{_CELLS}, {_posterior_sql(gamma)}, qq AS (SELECT work_id, partition, count(*) AS m, avg(p) AS mu, var_samp(p) AS vs, avg(v) AS pv FROM q GROUP BY ALL),
+ks AS (SELECT * FROM (VALUES (0, 5), (1, 7), (2, 9)) t(partition, k)),
+ce AS (SELECT work_id, partition, coalesce(m, 0) AS observed, votes, coalesce(m, 0) / k::DOUBLE AS coverage, coalesce(m, 0) >= greatest(3, ceil(k / 4.0)) AND round(votes, 9) >= 10 AS valid, CASE WHEN valid THEN mu END AS mu, CASE WHEN valid THEN sqrt(greatest(vs - pv, 0)) END AS tau,
+  CASE WHEN valid THEN mu - 1.2816::DOUBLE * sqrt(greatest(vs - pv, 0)) END AS score, CASE WHEN valid THEN sqrt((greatest(vs - pv, 0) + pv) / m) END AS se
+  FROM (SELECT work_id, partition, sum(high + low) AS votes FROM cell GROUP BY ALL) LEFT JOIN qq USING (work_id, partition) JOIN ks USING (partition))"""
+
+
+def _sizes(s):
+    return s.createDataFrame([(p, k) for p, k in enumerate((5, 7, 9))], "partition int, k int")
+
+
 _add("community_cells", lambda s, d: _r(_cells(s, d), "high", "low"), f"WITH {_CELLS} SELECT work_id, partition, community, round(high, 6) AS high, round(low, 6) AS low FROM cell")
 _add(
     "soft_community_cells",
     lambda s, d: _r(_cells(s, d, True), "high", "low"),
     f"WITH {_CELLS}, sp AS (SELECT user_id, partition, community, 0.7::DOUBLE AS m FROM pt UNION ALL SELECT user_id, partition, ((community + 1) % k)::INTEGER, 0.3::DOUBLE FROM pt) SELECT work_id, partition, community, round(coalesce(sum(mass * m) FILTER (WHERE side = 1), 0), 6) AS high, round(coalesce(sum(mass * m) FILTER (WHERE side = -1), 0), 6) AS low FROM ex JOIN sp USING (user_id) GROUP BY ALL",
 )
-_ESTEEM = ["evidence", "n_eff", "mu", "tau", "score", "bound"]
-_add(
-    "conditional_esteem",
-    lambda s, d: _r(consensus.conditional_esteem(_cells(s, d), gamma=1.5), *_ESTEEM),
-    f"WITH {_CELLS} SELECT work_id, partition, communities, round(evidence, 6) AS evidence, round(n_eff, 6) AS n_eff, round(mu, 6) AS mu, round(tau, 6) AS tau, round(mu - 1.2816::DOUBLE * tau, 6) AS score, round(mu / (mu + 1.5::DOUBLE * (1 - mu)), 6) AS bound FROM ce",
-)
-_COMBINED = "cmb AS (SELECT work_id, count(*) AS valid, avg(mu - 1.2816::DOUBLE * tau) AS score, coalesce(stddev_samp(mu - 1.2816::DOUBLE * tau), 0) AS sd, avg(sqrt(mu * (1 - mu) / n_eff)) AS se FROM ce GROUP BY work_id HAVING count(*) >= 2)"
+_ESTEEM = ["votes", "coverage", "mu", "tau", "score", "se"]
+_ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in _ESTEEM)
+_add("conditional_esteem", lambda s, d: _r(consensus.conditional_esteem(_cells(s, d), _sizes(s), least_total=10.0), *_ESTEEM), f"WITH {_esteem_sql()} SELECT work_id, partition, observed, valid, {_ROUNDED} FROM ce")
+_add("selection_bound", lambda s, d: _r(consensus.conditional_esteem(_cells(s, d), _sizes(s), least_total=10.0, gamma=1.5), *_ESTEEM), f"WITH {_esteem_sql('1.5::DOUBLE')} SELECT work_id, partition, observed, valid, {_ROUNDED} FROM ce")
+_COMBINED = "cmb AS (SELECT work_id, count(score) AS valid, avg(score) AS score, avg(mu) AS mu, avg(tau) AS tau, coalesce(stddev_samp(score), 0) AS sd, avg(se) AS se, sum(coverage) / 3 AS coverage FROM ce GROUP BY work_id HAVING count(score) >= 2)"
 _add(
     "combined_partitions",
-    lambda s, d: _r(consensus.combine_partitions(consensus.conditional_esteem(_cells(s, d)), 3), "score", "sd", "se", "uncertainty"),
-    f"WITH {_CELLS}, {_COMBINED} SELECT work_id, valid, round(score, 6) AS score, round(sd, 6) AS sd, round(se, 6) AS se, round(sqrt(sd * sd + se * se), 6) AS uncertainty FROM cmb",
+    lambda s, d: _r(consensus.combine_partitions(consensus.conditional_esteem(_cells(s, d), _sizes(s), least_total=10.0), 3), "score", "mu", "tau", "sd", "se", "coverage", "uncertainty"),
+    f"WITH {_esteem_sql()}, {_COMBINED} SELECT work_id, valid, round(score, 6) AS score, round(mu, 6) AS mu, round(tau, 6) AS tau, round(sd, 6) AS sd, round(se, 6) AS se, round(coverage, 6) AS coverage, round(sqrt(sd * sd + se * se), 6) AS uncertainty, coverage >= 0.5 AS eligible FROM cmb",
 )
+
+
+def _tiers(s, d):
+    """Evidence of the tier rule from work statistics: ranks by several scores stand for the universes."""
+    w = Model(s, d).work_stats.select("work_id", "n", *[F.round(c, 6).alias(c) for c in ("mean", "p5", "p_low")])
+    for c in ("mean", "p5", "n"):
+        w = w.join(evaluation.ranked(w, c).select("work_id", F.col("rank").alias(f"r_{c}")), "work_id")
+    e = {
+        "pair_mass": F.col("n"), "joint_rate": F.col("p5") * 2, "ranks": F.array("r_mean", "r_p5"), "membership_ranks": F.array("r_mean"), "feature_ranks": F.array(F.when(F.col("r_p5") % 7 != 0, F.col("r_p5"))),
+        "boundary_rank": F.when(F.col("work_id") % 10 != 0, F.col("r_mean")), "fixed_rate": 1 - F.col("p_low"), "community_status": F.when(F.col("work_id") % 9 != 0, "broadly_stable").otherwise("sensitive"), "gamma2_score": F.col("mean") * 15,
+    }
+    return w.select("work_id", consensus.tier(e).alias("tier"))
+
+
 _add(
     "consensus_tiers",
-    lambda s, d: consensus.combine_partitions(consensus.conditional_esteem(_cells(s, d)), 3).select("work_id", consensus.tier(F.col("score"), F.col("uncertainty"), F.col("valid"), 0.4).alias("tier")),
-    f"WITH {_CELLS}, {_COMBINED} SELECT work_id, CASE WHEN score - sqrt(sd * sd + se * se) >= 0.4 AND valid >= 3 THEN 'stable_core' WHEN score >= 0.4 THEN 'supported_boundary' ELSE 'underexposed_or_contested' END AS tier FROM cmb",
+    _tiers,
+    f"""WITH {DERIVED}, r AS (SELECT work_id, n, round(mean, 6) AS mean, round(p5, 6) AS p5, round(p_low, 6) AS p_low, row_number() OVER (ORDER BY round(mean, 6) DESC, work_id) AS rm, row_number() OVER (ORDER BY round(p5, 6) DESC, work_id) AS rp FROM ws)
+SELECT work_id, CASE WHEN h AND n >= 20 AND p5 * 2 >= 0.8 AND 1 - p_low >= 0.8 THEN 'stable_core' WHEN h AND p5 * 2 >= 0.5 AND 1 - p_low >= 0.5 THEN 'supported_boundary' ELSE 'underexposed_or_contested' END AS tier FROM (SELECT *, rm <= 200 AND rp <= 200 AND rp % 7 <> 0 AND work_id % 10 <> 0 AND work_id % 9 <> 0 AND mean * 15 >= 50 AS h FROM r)""",
 )
 _add(
     "concentration",
@@ -102,23 +139,20 @@ _add(
 )
 _add(
     "worst_reweighting",
-    lambda s, d: _r(consensus.worst_reweighting(_cells(s, d)), "worst"),
-    f"WITH {_CELLS}, t AS (SELECT work_id, partition, high, high + low AS t, sum(high) OVER a AS hs, sum(high + low) OVER a AS ts, sum(high) OVER o AS hp, sum(high + low) OVER o AS tp FROM cell WHERE high + low > 0 WINDOW a AS (PARTITION BY work_id, partition), o AS (PARTITION BY work_id, partition ORDER BY high / (high + low), community ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT work_id, partition, round(least(min((hs + hp) / (ts + tp)), sum(high) / sum(t)), 6) AS worst FROM t GROUP BY ALL",
+    lambda s, d: _r(consensus.worst_reweighting(consensus.posterior(_cells(s, d))), "worst"),
+    f"""WITH {_CELLS}, {_posterior_sql("1.0::DOUBLE")}, x AS (SELECT work_id, partition, list_sort(list(p)) AS ps FROM q GROUP BY ALL)
+SELECT work_id, partition, round(list_min(list_transform(range(0, len(ps)), lambda m: (2 * coalesce(list_sum(ps[1:m]), 0) + coalesce(list_sum(ps[m + 1:]), 0)) / (2 * m + len(ps) - m))), 6) AS worst FROM x""",
 )
 _CDF, _p, _acc = [], 0.36787944117144233, 0.0
 for _k in range(8):
     _acc += _p
     _CDF.append(f"WHEN u < {_acc!r}::DOUBLE THEN {_k}")
     _p /= _k + 1
+REPLICATES = 200
 _add(
     "reader_bootstrap",
-    lambda s, d: _r(consensus.bootstrap(pairwise.expected_votes(Model(s, d).events).filter("work_id < 200"), 20), "mean", "sd", "low", "high"),
-    f"WITH {_BAL}, b AS (SELECT user_id, rep, ('0x' || substr(md5(user_id::VARCHAR || '-' || rep::VARCHAR || '-boot'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM hl, range(20) r(rep)), w AS (SELECT user_id, rep, CASE {' '.join(_CDF)} ELSE 8 END AS k FROM b), x AS (SELECT work_id, rep, coalesce(sum(mass * k) FILTER (WHERE side = 1), 0) / sum(mass * k) AS share FROM ex JOIN w USING (user_id) WHERE k > 0 AND work_id < 200 GROUP BY ALL) SELECT work_id, round(avg(share), 6) AS mean, round(stddev_samp(share), 6) AS sd, round(quantile_cont(share, 0.1), 6) AS low, round(quantile_cont(share, 0.9), 6) AS high FROM x GROUP BY work_id",
-)
-_add(
-    "reader_bootstrap_all",
-    lambda s, d: _r(consensus.bootstrap(pairwise.expected_votes(Model(s, d).events), 20), "mean", "sd", "low", "high"),
-    SQL["reader_bootstrap"].replace(" WHERE k > 0 AND work_id < 200 ", " WHERE k > 0 "),
+    lambda s, d: _r(consensus.bootstrap(pairwise.expected_votes(Model(s, d).events), REPLICATES), "mean", "sd", "low", "high"),
+    f"WITH {_BAL}, b AS (SELECT user_id, rep, ('0x' || substr(md5(user_id::VARCHAR || '-' || rep::VARCHAR || '-boot'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM hl, range({REPLICATES}) r(rep)), w AS (SELECT user_id, rep, CASE {' '.join(_CDF)} ELSE 8 END AS k FROM b), x AS (SELECT work_id, rep, coalesce(sum(mass * k) FILTER (WHERE side = 1), 0) / sum(mass * k) AS share FROM ex JOIN w USING (user_id) WHERE k > 0 GROUP BY ALL) SELECT work_id, round(avg(share), 6) AS mean, round(stddev_samp(share), 6) AS sd, round(quantile_cont(share, 0.1), 6) AS low, round(quantile_cont(share, 0.9), 6) AS high FROM x GROUP BY work_id",
 )
 
 
@@ -159,27 +193,18 @@ def _core_sql(passes):
     return out
 
 
-_add("hits_authority", lambda s, d: _r(graph.hits(_edges(s, d), 3), "authority"), f"WITH {_hits_sql(3)} SELECT work_id, round(a, 6) AS authority FROM b2")
-_add(
-    "method_of_reflections",
-    lambda s, d: _r(graph.reflections(_edges(s, d), 2), "reflection"),
-    f"WITH {_EDGES}, k0 AS (SELECT work_id, count(*)::DOUBLE AS v FROM ed GROUP BY work_id), u0 AS (SELECT user_id, count(*)::DOUBLE AS v FROM ed GROUP BY user_id), u1 AS (SELECT user_id, avg(v) AS v FROM ed JOIN k0 USING (work_id) GROUP BY user_id), k2 AS (SELECT work_id, avg(v) AS v FROM ed JOIN u1 USING (user_id) GROUP BY work_id) SELECT work_id, round((k2.v - (SELECT avg(v) FROM k2)) / (SELECT stddev_pop(v) FROM k2), 6) AS reflection, k0.v AS degree FROM k2 JOIN k0 USING (work_id)",
-)
-_add(
-    "bipartite_core",
-    lambda s, d: graph.core(_edges(s, d).select("user_id", "work_id"), 10, 6, 2),
-    f"WITH {_EDGES}, e1 AS (SELECT user_id, work_id FROM ed WHERE user_id IN (SELECT user_id FROM ed GROUP BY 1 HAVING count(*) >= 10)), e2 AS (SELECT * FROM e1 WHERE work_id IN (SELECT work_id FROM e1 GROUP BY 1 HAVING count(*) >= 6)), e3 AS (SELECT * FROM e2 WHERE user_id IN (SELECT user_id FROM e2 GROUP BY 1 HAVING count(*) >= 10)) SELECT * FROM e3 WHERE work_id IN (SELECT work_id FROM e3 GROUP BY 1 HAVING count(*) >= 6)",
-)
-#: The reference's rounds. The queries above and below of a few rounds have SQL that writes each out.
-ROUNDS = {"hits": 8, "reflections": 16, "core": 3, "labels": 15, "attractor": 20}
-_add("hits_authority_full", lambda s, d: _r(graph.hits(_edges(s, d), ROUNDS["hits"]), "authority"), f"WITH {_whole(_hits_sql(ROUNDS['hits']))} SELECT work_id, round(a, 6) AS authority FROM b{ROUNDS['hits'] - 1}")
-_add("method_of_reflections_full", lambda s, d: _r(graph.reflections(_edges(s, d), ROUNDS["reflections"]), "reflection"), f"WITH {_whole(_reflections_sql(ROUNDS['reflections']))} SELECT work_id, round(k{ROUNDS['reflections']}.v, 6) AS reflection, k0.v AS degree FROM k{ROUNDS['reflections']} JOIN k0 USING (work_id)")
-_add("bipartite_core_full", lambda s, d: graph.core(_edges(s, d).select("user_id", "work_id"), 10, 6, ROUNDS["core"]), f"WITH {_whole(_core_sql(ROUNDS['core']))} SELECT * FROM c{2 * ROUNDS['core']}")
-_NEAR = f"""{_EDGES}, ce0 AS (SELECT user_id, work_id FROM ed QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY md5(user_id::VARCHAR || '-' || work_id::VARCHAR || '-pmi'), work_id) <= 60), dg AS (SELECT work_id, count(*) AS d FROM ce0 GROUP BY work_id),
+#: The rounds that each method's own definition takes.
+ROUNDS = {"hits": 8, "reflections": 16, "core": 3, "labels": 15, "attractor": 20, "power": 12}
+_add("hits_authority", lambda s, d: _r(graph.hits(_edges(s, d), ROUNDS["hits"]), "authority"), f"WITH {_whole(_hits_sql(ROUNDS['hits']))} SELECT work_id, round(a, 6) AS authority FROM b{ROUNDS['hits'] - 1}")
+_add("method_of_reflections", lambda s, d: _r(graph.reflections(_edges(s, d), ROUNDS["reflections"]), "reflection"), f"WITH {_whole(_reflections_sql(ROUNDS['reflections']))} SELECT work_id, round(k{ROUNDS['reflections']}.v, 6) AS reflection, k0.v AS degree FROM k{ROUNDS['reflections']} JOIN k0 USING (work_id)")
+_add("bipartite_core", lambda s, d: graph.core(_edges(s, d).select("user_id", "work_id"), 10, 6, ROUNDS["core"]), f"WITH {_whole(_core_sql(ROUNDS['core']))} SELECT * FROM c{2 * ROUNDS['core']}")
+_PMI = {"k": 5, "least": 2, "floor": 0.3, "most": 400}  # the synthetic readers rate alike, so few pairs pass the default floors
+_NEAR = f"""{_EDGES}, e1 AS (SELECT DISTINCT user_id, work_id FROM ed), dg AS (SELECT work_id, count(*) AS d FROM e1 GROUP BY work_id),
+ce0 AS (SELECT user_id, work_id FROM e1 QUALIFY count(*) OVER (PARTITION BY user_id) BETWEEN 2 AND 400 AND row_number() OVER (PARTITION BY user_id ORDER BY work_id) <= 30),
 pr AS (SELECT a.work_id AS a, b.work_id AS b, count(*) AS n FROM ce0 a JOIN ce0 b ON a.user_id = b.user_id AND a.work_id < b.work_id GROUP BY ALL HAVING count(*) >= 2),
-pm AS (SELECT a, b, n, round(ln(n * (SELECT count(DISTINCT user_id) FROM ce0)::DOUBLE / (x.d * y.d)), 6) AS pmi FROM pr JOIN dg x ON x.work_id = a JOIN dg y ON y.work_id = b),
-nb AS (SELECT work_id, near, n, pmi, row_number() OVER (PARTITION BY work_id ORDER BY pmi DESC, n DESC, near) AS rank FROM (SELECT a AS work_id, b AS near, n, pmi FROM pm WHERE pmi > 0 UNION ALL SELECT b, a, n, pmi FROM pm WHERE pmi > 0) QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY pmi DESC, n DESC, near) <= 5)"""
-_add("pmi_neighbours", lambda s, d: graph.pmi_neighbours(_edges(s, d), 5, 2).select("work_id", "near", "pmi", "rank"), f"WITH {_NEAR} SELECT work_id, near, pmi, rank FROM nb")
+pm AS (SELECT a, b, n, round(ln(n * (SELECT count(DISTINCT user_id) FROM e1)::DOUBLE / (x.d * y.d)), 6) AS pmi FROM pr JOIN dg x ON x.work_id = a JOIN dg y ON y.work_id = b),
+nb AS (SELECT work_id, near, n, pmi, row_number() OVER (PARTITION BY work_id ORDER BY pmi DESC, n DESC, near) AS rank FROM (SELECT a AS work_id, b AS near, n, pmi FROM pm WHERE pmi >= 0.3 UNION ALL SELECT b, a, n, pmi FROM pm WHERE pmi >= 0.3) QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY pmi DESC, n DESC, near) <= 5)"""
+_add("pmi_neighbours", lambda s, d: graph.pmi_neighbours(_edges(s, d), **_PMI).select("work_id", "near", "pmi", "rank"), f"WITH {_NEAR} SELECT work_id, near, pmi, rank FROM nb")
 
 
 def _labels_sql(rounds):
@@ -189,39 +214,55 @@ def _labels_sql(rounds):
     return out
 
 
-_add("label_propagation", lambda s, d: graph.label_propagation(graph.pmi_neighbours(_edges(s, d), 5, 2).select("work_id", "near", "pmi"), 2), f"WITH {_labels_sql(2)} SELECT work_id, label FROM l2")
-_add("label_propagation_full", lambda s, d: graph.label_propagation(graph.pmi_neighbours(_edges(s, d), 5, 2).select("work_id", "near", "pmi"), ROUNDS["labels"]), f"WITH {_whole(_labels_sql(ROUNDS['labels']))} SELECT work_id, label FROM l{ROUNDS['labels']}")
+def _near(s, d):
+    return graph.pmi_neighbours(_edges(s, d), **_PMI).select("work_id", "near", "pmi")
+
+
+def _power_sql(rounds):
+    out = f"{_NEAR}, x0 AS (SELECT DISTINCT work_id, 1.0::DOUBLE AS x FROM nb)"
+    for i in range(rounds):
+        out += f", y{i} AS (SELECT nb.work_id, sum(pmi * x) AS y FROM nb JOIN x{i} x ON x.work_id = nb.near GROUP BY nb.work_id), x{i + 1} AS (SELECT work_id, y / (SELECT sqrt(sum(y * y)) FROM y{i}) AS x FROM y{i})"
+    return out
 
 
-def _signed(s, d):
+_LABELS = _whole(_labels_sql(ROUNDS["labels"]))
+_add("label_propagation", lambda s, d: graph.label_propagation(_near(s, d), ROUNDS["labels"]), f"WITH {_LABELS} SELECT work_id, label FROM l{ROUNDS['labels']}")
+_add("power_centrality", lambda s, d: _r(graph.power_centrality(_near(s, d), ROUNDS["power"]), "centrality"), f"WITH {_whole(_power_sql(ROUNDS['power']))} SELECT work_id, round(x, 6) AS centrality FROM x{ROUNDS['power']}")
+_add(
+    "community_portfolio",
+    lambda s, d: (lambda near: graph.nested_portfolio(near, graph.label_propagation(near, ROUNDS["labels"]), Model(s, d).work_stats.select("work_id", F.round("p5", 6).alias("score"))))(saved(_near(s, d), "near")),
+    f"""WITH {_LABELS}, sz AS (SELECT label, count(*) AS size FROM l{ROUNDS["labels"]} GROUP BY label HAVING count(*) >= 3), rk AS (SELECT l.work_id, label, size, row_number() OVER (PARTITION BY label ORDER BY round(p5, 6) DESC, l.work_id) AS rank FROM l{ROUNDS["labels"]} l JOIN sz USING (label) JOIN ws ON ws.work_id = l.work_id)
+SELECT row_number() OVER (ORDER BY rank, size DESC, label, work_id)::INTEGER AS place, work_id, label, rank::INTEGER AS rank FROM rk QUALIFY place <= 50""",
+)
+
+
+def _jury(s, d):
     e = Model(s, d).events
-    return e.select("user_id", "work_id", ((F.col("rating") - 3) / 2.0).alias("s")), e.select("work_id").distinct().withColumn("x", F.when(F.col("work_id") % 2 == 0, 0.1).otherwise(-0.1))
+    start = e.select("user_id").distinct().withColumn("w", F.when(F.col("user_id") % 30 == 0, 20.0).otherwise(0.4))
+    return e.select("user_id", "work_id", ((F.col("rating") - 3) / 2.0).alias("s")), start.crossJoin(start.agg(F.avg("w").alias("m"))).select("user_id", (F.col("w") / F.col("m")).alias("w"))
 
 
 def _attractor_sql(rounds):
-    out = f"{DERIVED}, sg AS (SELECT user_id, work_id, (rating - 3) / 2.0::DOUBLE AS s FROM ev), sz AS (SELECT user_id, count(*)::DOUBLE AS k FROM sg GROUP BY user_id), x0 AS (SELECT DISTINCT work_id, CASE WHEN work_id % 2 = 0 THEN 0.1::DOUBLE ELSE -0.1::DOUBLE END AS x FROM ev)"
+    out = f"{DERIVED}, sg AS (SELECT user_id, work_id, (rating - 3) / 2.0::DOUBLE AS s FROM ev), st AS (SELECT DISTINCT user_id, CASE WHEN user_id % 30 = 0 THEN 20.0::DOUBLE ELSE 0.4::DOUBLE END AS w FROM ev), w0 AS (SELECT user_id, w / (SELECT avg(w) FROM st) AS w FROM st)"
     for i in range(rounds):
-        out += f", w{i} AS (SELECT user_id, 1 / (1 + exp(-2.5::DOUBLE * sum(s * x) / sqrt(any_value(k)))) AS w FROM sg JOIN x{i} USING (work_id) JOIN sz USING (user_id) GROUP BY user_id), y{i} AS (SELECT work_id, sum(w * s) / (sum(w) + 25) AS y FROM sg JOIN w{i} USING (user_id) GROUP BY work_id), x{i + 1} AS (SELECT work_id, 0.35::DOUBLE * x + 0.65::DOUBLE * tanh(y * 2.5::DOUBLE) AS x FROM x{i} JOIN y{i} USING (work_id))"
-    return out
+        out += f""", v{i} AS (SELECT work_id, sum(s * w) AS v FROM sg JOIN w{i} USING (user_id) GROUP BY work_id), t{i} AS (SELECT user_id, sum(s * tanh(v / greatest(1.5::DOUBLE * (SELECT sqrt(avg(v * v)) FROM v{i}), 1e-12))) AS t FROM sg JOIN v{i} USING (work_id) GROUP BY user_id),
+z{i} AS (SELECT user_id, 1 / (1 + exp(-least(greatest(2.5::DOUBLE * (t - (SELECT avg(t) FROM t{i})) / greatest((SELECT stddev_pop(t) FROM t{i}), 1e-12), -12), 12))) AS g FROM t{i}), m{i} AS (SELECT user_id, 0.35::DOUBLE * w + 0.65::DOUBLE * g / (SELECT avg(g) FROM z{i}) AS w FROM w{i} JOIN z{i} USING (user_id)), w{i + 1} AS (SELECT user_id, w / (SELECT avg(w) FROM m{i}) AS w FROM m{i})"""
+    return out + f", vf AS (SELECT work_id, sum(s * w) AS v FROM sg JOIN w{rounds} USING (user_id) GROUP BY work_id)"
 
 
-_add("jury_attractor", lambda s, d: _r(graph.attractor(*_signed(s, d), rounds=2), "x"), f"WITH {_attractor_sql(2)} SELECT work_id, round(x, 6) AS x FROM x2")
-_add("jury_attractor_full", lambda s, d: _r(graph.attractor(*_signed(s, d), rounds=ROUNDS["attractor"]), "x"), f"WITH {_whole(_attractor_sql(ROUNDS['attractor']))} SELECT work_id, round(x, 6) AS x FROM x{ROUNDS['attractor']}")
+_add("jury_attractor", lambda s, d: _r(graph.attractor(*_jury(s, d), rounds=ROUNDS["attractor"]), "direction"), f"WITH {_whole(_attractor_sql(ROUNDS['attractor']))} SELECT work_id, round(v / (SELECT sqrt(sum(v * v)) FROM vf), 6) AS direction FROM vf")
 
 
 def _rankings(s, d):
     """Two rankings of all works: by mean and by share of fives."""
-    from pyspark.sql.window import Window
-
     w = Model(s, d).work_stats
-    order = lambda c: F.row_number().over(Window.orderBy(F.desc(c), "work_id"))
     r = w.select("work_id", F.round("mean", 6).alias("mean"), F.round("p5", 6).alias("p5"))
-    return r.select("work_id", order("mean").alias("rank")).filter("rank <= 300"), r.select("work_id", order("p5").alias("rank")).filter("rank <= 300")
+    return evaluation.ranked(r, "mean"), evaluation.ranked(r, "p5")
 
 
-_RANKS = f"{DERIVED}, ra AS (SELECT work_id, row_number() OVER (ORDER BY round(mean, 6) DESC, work_id) AS rank FROM ws QUALIFY rank <= 300), rb AS (SELECT work_id, row_number() OVER (ORDER BY round(p5, 6) DESC, work_id) AS rank FROM ws QUALIFY rank <= 300)"
+_RANKS = f"{DERIVED}, ra AS (SELECT work_id, row_number() OVER (ORDER BY round(mean, 6) DESC, work_id) AS rank FROM ws), rb AS (SELECT work_id, row_number() OVER (ORDER BY round(p5, 6) DESC, work_id) AS rank FROM ws)"
 _add("jaccard_at_k", lambda s, d: _r(evaluation.overlap_at(*_rankings(s, d), [10, 50, 200]), "jaccard"), f"WITH {_RANKS}, j AS (SELECT a.rank AS x, b.rank AS y FROM ra a FULL JOIN rb b ON a.work_id = b.work_id) SELECT k::INTEGER AS k, count(*) FILTER (WHERE x <= k AND y <= k) AS common, round(count(*) FILTER (WHERE x <= k AND y <= k)::DOUBLE / count(*) FILTER (WHERE x <= k OR y <= k), 6) AS jaccard FROM j, (SELECT unnest([10, 50, 200]) AS k) GROUP BY k")
-_add("rank_biased_overlap", lambda s, d: _r(evaluation.rank_biased_overlap(*_rankings(s, d)), "rbo"), f"WITH {_RANKS}, g AS (SELECT k, (SELECT count(*) FROM ra JOIN rb ON ra.work_id = rb.work_id AND ra.rank <= k AND rb.rank <= k)::DOUBLE / k AS a FROM range(1, 301) t(k)) SELECT round(0.02::DOUBLE * sum(a * power(0.98::DOUBLE, k - 1)) + max(a) FILTER (WHERE k = 300) * power(0.98::DOUBLE, 300), 6) AS rbo FROM g")
+_add("rank_biased_overlap", lambda s, d: _r(evaluation.rank_biased_overlap(*_rankings(s, d)), "rbo"), f"WITH {_RANKS}, dp AS (SELECT greatest(ra.rank, rb.rank) AS dd, count(*) AS c FROM ra JOIN rb USING (work_id) GROUP BY dd), g AS (SELECT rank AS k, sum(coalesce(c, 0)) OVER (ORDER BY rank)::DOUBLE / rank AS a FROM ra LEFT JOIN dp ON dd = rank) SELECT round(0.02::DOUBLE * sum(a * power(0.98::DOUBLE, k - 1)) + arg_max(a, k) * power(0.98::DOUBLE, max(k)), 6) AS rbo FROM g")
 _add("spearman", lambda s, d: _r(evaluation.spearman(*_rankings(s, d)), "rho"), f"WITH {_RANKS}, j AS (SELECT row_number() OVER (ORDER BY a.rank, a.work_id) AS x, row_number() OVER (ORDER BY b.rank, a.work_id) AS y FROM ra a JOIN rb b ON a.work_id = b.work_id) SELECT count(*) AS n, round(1 - 6 * sum((x - y) * (x - y))::DOUBLE / (count(*) * (count(*) * count(*) - 1)), 6) AS rho FROM j")
 _add("precision_recall", lambda s, d: _r(evaluation.precision_recall(_rankings(s, d)[0], Model(s, d).literary_works, [10, 100]), "precision", "recall"), f"WITH {_RANKS}, want AS (SELECT work_id FROM works WHERE author_id % 10 < 3) SELECT k::INTEGER AS k, count(*) FILTER (WHERE work_id IN (SELECT work_id FROM want)) AS hits, round(hits::DOUBLE / k, 6) AS precision, round(hits::DOUBLE / (SELECT count(*) FROM want), 6) AS recall FROM ra, (SELECT unnest([10, 100]) AS k) WHERE rank <= k GROUP BY k")
 _add(
@@ -235,11 +276,27 @@ _add("import_bursts", lambda s, d: temporal.import_bursts(Tables(s, d).interacti
 
 
 def _timed(s, d):
-    return Tables(s, d).interactions.groupBy("user_id", "work_id").agg(F.max("rating").alias("rating"), F.min("added_at").alias("added_at"))
-
-
-_TIMED = f"{CTE}, tm AS (SELECT user_id, work_id, max(rating) AS rating, min(added_at) AS added_at FROM inter GROUP BY ALL)"
-_add("event_clocks", lambda s, d: temporal.clocks(_timed(s, d)), f"WITH {_TIMED} SELECT user_id, work_id, rating, added_at // 86400 AS calendar, (added_at - min(added_at) OVER (PARTITION BY user_id)) // 86400 AS reader_age, row_number() OVER (PARTITION BY user_id ORDER BY added_at, work_id) AS reader_place, (added_at - min(added_at) OVER (PARTITION BY work_id)) // 86400 AS work_age, row_number() OVER (PARTITION BY work_id ORDER BY added_at, user_id) AS work_place FROM tm")
-_add("early_late_contrast", lambda s, d: _r(temporal.early_late(_timed(s, d)), "early", "late", "drift"), f"WITH {_TIMED}, c AS (SELECT work_id, quantile_cont(added_at, 0.2) AS lo, quantile_cont(added_at, 0.8) AS hi FROM tm GROUP BY work_id), g AS (SELECT work_id, count(*) FILTER (WHERE added_at <= lo) AS n_early, count(*) FILTER (WHERE added_at >= hi) AS n_late, avg(rating) FILTER (WHERE added_at <= lo) AS early, avg(rating) FILTER (WHERE added_at >= hi) AS late FROM tm JOIN c USING (work_id) GROUP BY work_id) SELECT work_id, n_early, n_late, round(early, 6) AS early, round(late, 6) AS late, round(late - early, 6) AS drift FROM g WHERE n_early >= 3 AND n_late >= 3")
+    return Tables(s, d).timed
+
+
+_TIMED = f"{CTE}, tm AS (SELECT user_id, work_id, max(rating) AS rating, min(added_at) AS added_at, max(updated_at) AS updated_at, min(read_at) AS read_at FROM inter GROUP BY ALL)"
+_CLOCKS = f"""{DERIVED}, tm AS (SELECT user_id, work_id, max(rating) AS rating, min(added_at) AS added_at, max(updated_at) AS updated_at, min(read_at) AS read_at FROM inter GROUP BY ALL),
+dy AS (SELECT user_id, added_at // 86400 AS day, count(*) AS n FROM tm GROUP BY ALL), pf AS (SELECT user_id, min(day) AS first_day, sum(n) AS profile_events, arg_max(day, n * 100000 - day) AS peak_day, max(n) / sum(n)::DOUBLE AS peak_day_share FROM dy GROUP BY user_id),
+ck AS (
+  SELECT user_id, work_id, rating, 'added_all' AS definition, added_at AS event_at FROM tm
+  UNION ALL SELECT user_id, work_id, rating, 'added_no_bulk_users', added_at FROM tm JOIN pf USING (user_id) WHERE profile_events < 20 OR peak_day_share < 0.5
+  UNION ALL SELECT user_id, work_id, rating, 'added_post_onboarding', added_at FROM tm JOIN pf USING (user_id) WHERE added_at // 86400 > first_day + 7 AND added_at // 86400 <> peak_day
+  UNION ALL SELECT user_id, work_id, rating, 'updated_all', updated_at FROM tm WHERE updated_at IS NOT NULL
+  UNION ALL SELECT user_id, work_id, rating, 'read_available', read_at FROM tm WHERE read_at IS NOT NULL
+)"""
+_add("event_clocks", lambda s, d: (lambda t: temporal.clocks(t, temporal.import_profile(t)))(_timed(s, d)), f"WITH {_CLOCKS} SELECT user_id, work_id, rating, definition, event_at FROM ck")
+_SIDES = ("early", "late")
+_add(
+    "early_late_contrast",
+    lambda s, d: (lambda t, m: _r9(temporal.early_late(temporal.clocks(t, temporal.import_profile(t)), m.taste.select("user_id", F.col("lit_share").alias("q")), least_mass=2.0), *[f"{x}_{c}" for x in _SIDES for c in ("mass", "p5", "kish")], "delta_p5"))(_timed(s, d), Model(s, d)),
+    f"""WITH {_CLOCKS}, u AS (SELECT ck.*, lit_share AS q FROM ck JOIN tst USING (user_id) WHERE (rating = 5 OR rating <= 3) AND lit_share > 0), c AS (SELECT definition, work_id, quantile_cont(event_at, 0.2) AS lo, quantile_cont(event_at, 0.8) AS hi FROM u GROUP BY ALL),
+g AS (SELECT definition, work_id, {", ".join(f"sum(q) FILTER (WHERE {w}) AS {x}_mass, coalesce(sum(q) FILTER (WHERE {w} AND rating = 5), 0) / sum(q) FILTER (WHERE {w}) AS {x}_p5, power(sum(q) FILTER (WHERE {w}), 2) / sum(q * q) FILTER (WHERE {w}) AS {x}_kish, count(DISTINCT user_id) FILTER (WHERE {w}) AS {x}_users" for x, w in zip(_SIDES, ("event_at <= lo", "event_at >= hi"), strict=True))} FROM u JOIN c USING (definition, work_id) GROUP BY ALL)
+SELECT definition, work_id, {", ".join(f"round({x}_{c}, 9) AS {x}_{c}" for x in _SIDES for c in ("mass", "p5", "kish"))}, early_users, late_users, round(late_p5 - early_p5, 9) AS delta_p5 FROM g WHERE round(early_mass, 9) >= 2 AND round(late_mass, 9) >= 2""",
+)
 _ERAS = [788918400, 852076800, 915148800, 1009843200]
 _add("era_ranks", lambda s, d: temporal.era_ranks(_timed(s, d), _ERAS), f"WITH {_TIMED}, e AS (SELECT *, CASE WHEN added_at < {_ERAS[0]} OR added_at >= {_ERAS[3]} THEN NULL WHEN added_at < {_ERAS[1]} THEN 0 WHEN added_at < {_ERAS[2]} THEN 1 ELSE 2 END AS era FROM tm), p AS (SELECT era, avg((rating = 5)::INTEGER) AS p0 FROM e WHERE era IS NOT NULL GROUP BY era), g AS (SELECT era, work_id, count(*) AS n, round((count(*) FILTER (WHERE rating = 5) + 10 * any_value(p0)) / (count(*) + 10), 6) AS score FROM e JOIN p USING (era) GROUP BY ALL HAVING count(*) >= 3) SELECT era::INTEGER AS era, work_id, n, score, row_number() OVER (PARTITION BY era ORDER BY score DESC, n DESC, work_id) AS rank FROM g QUALIFY rank <= 50")

@@ -11,8 +11,11 @@ BOOKS = "book_id string, work_id string, title string, title_without_series stri
 AUTHORS = "author_id string, name string, average_rating string, ratings_count string, text_reviews_count string"
 INTERACTIONS = "user_id long, book_id long, is_read int, rating int, is_reviewed int"
 DETAILED = "user_id string, book_id string, rating int, date_added string, date_updated string, read_at string, started_at string"
-#: Shelves that say what a reader did, not what a work is. Fixed values.
-STATUS = ("to-read", "currently-reading", "read", "owned", "favorites", "books-i-own", "wish-list", "default", "library", "ebook", "kindle", "audiobook")
+#: Shelves that say what a reader did, not what a work is.
+STATUS = (
+    "to-read", "currently-reading", "read", "owned", "books-i-own", "owned-books", "library", "my-library", "kindle", "ebook", "ebooks", "audiobook", "audiobooks",
+    "audio", "default", "favorites", "favourites", "re-read", "reread", "dnf", "abandoned", "did-not-finish", "tbr", "wish-list", "wishlist",
+)
 
 
 def json_lines(spark: SparkSession, path: str, schema: str, partitions: int | None = None) -> DataFrame:
