@@ -2,7 +2,8 @@
 
 Every word position of every document is looked up by the hash of the words that follow; a hit is
 verified word for word. One pass reads the texts: besides its hits each document keeps the row of its
-last word, which tells its length, so that no second read or join is needed.
+last word, which tells its length, so that no second read or join is needed. Windows too many to broadcast
+meet the texts' keys in a shuffle of keys and places; words are compared where keys have met.
 
 Defined results: null and word-free texts have no words, no hits and no items; items without words have
 no windows; shorter items than n are one window each; repeated rows are documents of their own; without
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectorium.llm._io import table
+from lectorium.llm._io import saved, table
 from lectorium.llm._text import word_count, words
 
 N = 10
@@ -31,28 +32,47 @@ def windows(items: DataFrame, n: int = N) -> DataFrame:
     return at.select("item", "size", F.slice("w", F.col("at"), F.col("size")).alias("gram")).groupBy("size", "gram").agg(F.collect_set("item").alias("items"))
 
 
-def scan(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
-    """For every row of docs(doc_id, text): doc_id, n_words, hits (array of struct of the word position
-    and size of each window found) and items (the ids of the items found, as sorted strings)."""
-    grams = windows(items, n).cache()
+def _keyed(words_: str, sizes: list[int], get) -> list:
+    """For each size the hash of so many words from a place on; null where the text ends before."""
+    return [F.xxhash64(F.lit(size), *[get(words_, i) for i in range(size)]) for size in sizes]
+
+
+def scan(docs: DataFrame, items: DataFrame, n: int = N, most_broadcast: int | None = None) -> DataFrame:
+    """For every row of docs(doc_id, text): row (a number of its own), doc_id, n_words, hits (array of struct of
+    the word position and size of each window found) and items (the ids of the items found, as sorted strings)."""
+    return _scan(docs.withColumn("row", F.monotonically_increasing_id()), items, n, MOST_BROADCAST if most_broadcast is None else most_broadcast)
+
+
+def _scan(docs: DataFrame, items: DataFrame, n: int, most_broadcast: int) -> DataFrame:
+    grams = saved(windows(items, n), "windows")
     sizes = sorted(r["size"] for r in grams.select("size").distinct().collect())  # n different values at most
-    few = grams.count() <= MOST_BROADCAST
-    hashed = lambda get, size: F.xxhash64(F.lit(size), *[get(i) for i in range(size)])
+    few = grams.count() <= most_broadcast
     key = None
-    for size in sizes:
-        one = F.when(F.col("size") == size, hashed(lambda i: F.get("gram", F.lit(i)), size))
+    for size, hashed in zip(sizes, _keyed("gram", sizes, lambda w, i: F.get(w, F.lit(i))), strict=True):
+        one = F.when(F.col("size") == size, hashed)
         key = one if key is None else F.coalesce(key, one)
     grams = grams.withColumn("key", key if sizes else F.lit(None).cast("long"))
-    d = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("w"))
+    if not few:  # the texts are read twice: once for the keys, once for the words behind the hits
+        docs = saved(docs.select("row", "doc_id", "text"), "scanned")
+    d = docs.select("doc_id", "row", words(F.col("text")).alias("w"))
     at = d.select("doc_id", "row", "w", F.posexplode("w").alias("at", "word"))
-    keys = [hashed(lambda i: F.get("w", F.col("at") + i), size) for size in sizes] or [F.lit(None).cast("long")]
+    keys = _keyed("w", sizes, lambda w, i: F.get(w, F.col("at") + i)) or [F.lit(None).cast("long")]
+    same = lambda: F.slice("w", F.col("at") + 1, F.coalesce("size", F.lit(1))) == F.col("gram")
+    if not few:
+        # Only (row, place, key) is shuffled; the words of a text are fetched where keys have met.
+        listed = at.select("row", "at", F.explode(F.array(*keys)).alias("key")).filter("key IS NOT NULL")
+        met = listed.join(grams, "key").groupBy("row").agg(F.collect_list(F.struct("at", "size", "gram", "items")).alias("met"))
+        true = F.filter("met", lambda m: F.slice(F.col("w"), m["at"] + 1, m["size"]) == m["gram"])
+        found = d.join(met, "row", "left").withColumn("true", F.coalesce(true, F.array().cast("array<struct<at:int,size:int,gram:array<string>,items:array<string>>>")))
+        hits = F.transform("true", lambda m: F.struct(m["at"].alias("at"), m["size"].alias("size")))
+        return found.select("row", "doc_id", word_count(F.col("w")).cast("long").alias("n_words"), hits.alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.transform("true", lambda m: m["items"])))).alias("items"))
     if len(keys) == 1:
         at = at.withColumn("key", keys[0])
     else:  # one more row for each length of short items; key number 0 also carries the last word
         at = at.select("*", F.posexplode(F.array(*keys)).alias("kind", "key"))
     last = (F.col("at") == F.size("w") - 1) & (F.col("kind") == 0 if len(keys) > 1 else F.lit(True))
-    found = at.join(F.broadcast(grams) if few else grams, "key", "left")
-    good = F.col("gram").isNotNull() & (F.slice("w", F.col("at") + 1, F.coalesce("size", F.lit(1))) == F.col("gram"))
+    found = at.join(F.broadcast(grams), "key", "left")
+    good = F.col("gram").isNotNull() & same()
     kept = found.filter(last | good).select(
         "doc_id", "row", F.when(last, word_count(F.col("w"))).alias("n"), F.when(good, F.struct("at", "size")).alias("hit"), F.when(good, F.col("items")).alias("items")
     )
@@ -68,9 +88,9 @@ def hit_words(hits) -> F.Column:
 def clean_spans(docs: DataFrame, items: DataFrame, n: int = N, mask: str = "") -> DataFrame:
     """docs(doc_id, text) with text rebuilt from the words that no window covers, mask standing for each
     covered run. Words are the normalised ones, parted by single spaces."""
-    d = docs.withColumn("row", F.monotonically_increasing_id())
+    d = saved(docs.withColumn("row", F.monotonically_increasing_id()), "numbered-texts")
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["at"], h["at"] + h["size"] - 1))))
-    marks = scan(docs, items, n).filter(F.size("hits") > 0).select("row", covered.alias("covered"))
+    marks = _scan(d, items, n, MOST_BROADCAST).filter(F.size("hits") > 0).select("row", covered.alias("covered"))
     kept = F.array_join(F.filter(F.transform(words(F.col("text")), lambda w, i: F.when(~F.array_contains("covered", i), w).when(~F.array_contains("covered", i - 1), F.lit(mask))), lambda w: w.isNotNull() & (w != "")), " ")
     return d.join(marks, "row", "left").withColumn("text", F.when(F.col("covered").isNull(), F.col("text")).otherwise(kept)).drop("row", "covered")
 

@@ -8,6 +8,7 @@ from collections import defaultdict
 import pytest
 
 from lectorium.llm.decontamination import clean_spans, op4_decontamination
+from lectorium.llm.decontamination import scan as scan_windows
 from lectorium.llm.licenses import BASE, PASSAGES, op1_license_scan, scan
 from lectorium.llm.mixing import op9_source_mixing, sainte_lague, targets
 
@@ -72,6 +73,17 @@ def test_decontamination(spark, store, odd_documents, items):
     assert sorted(map(tuple, got), key=str) == brute_hits(odd_documents, items)
 
 
+def test_windows_too_many_to_broadcast(spark, odd_documents):
+    """The shuffle of keys finds what the broadcast table finds, in every column."""
+    docs = spark.createDataFrame([(d, t) for d, t, *_ in odd_documents], "doc_id long, text string")
+    items = spark.createDataFrame([(1, PASSAGE), (2, "tiny text"), (3, "word5 étude5 word6"), (None, "a text without"), (4, None), (5, "!!")], "item_id long, text string")
+    plain = lambda rows: sorted((str(r.doc_id), r.n_words, sorted(tuple(h) for h in r.hits), r["items"]) for r in rows)
+    one, other = scan_windows(docs, items).collect(), scan_windows(docs, items, most_broadcast=0).collect()
+    assert plain(one) == plain(other) and any(r.hits for r in one)
+    assert scan_windows(docs, items.limit(0), most_broadcast=0).filter("size(hits) > 0").count() == 0
+    assert scan_windows(docs.limit(0), items, most_broadcast=0).count() == 0
+
+
 def test_clean_spans(spark):
     docs = spark.createDataFrame([(1, f"before {PASSAGE} after"), (2, "Untouched, text"), (3, None)], "doc_id long, text string")
     items = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
