@@ -7,7 +7,9 @@ that holds a whole record, goes on from there, and reports the bytes between as
 
 Defined results: a null payload is empty; rows repeated with the same id are written each, all of them
 as responses if that id is the largest of its payload; an empty table gives no files and no rows; a
-null id is written and read back as null and is a response only if no other id has that payload.
+null id is written and read back as null and is a response only if no other id has that payload. Records
+have ids of their own; that of a response that stands once is known from its page_id and payload, so that revisits can name it.
+A length that the file can't hold, or that its member doesn't, is damage; no other length is refused.
 """
 
 from __future__ import annotations
@@ -27,7 +29,6 @@ from lectorium.llm._io import saved, scratch, ship, table
 
 VERSION = b"WARC/1.1\r\n"
 MAGIC = b"\x1f\x8b\x08"
-MAX_RECORD = 1 << 30  # a header may not ask for more than this, so a damaged length can't fill the memory
 STEP = 1 << 16
 
 
@@ -36,12 +37,14 @@ def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def urn(page_id) -> str:
-    return f"<urn:lectorium:page:{'null' if page_id is None else page_id}>"
+def urn(page_id, own: str = "") -> str:
+    """The record id of a page; own tells its records apart: a payload's digest, and a place in the archives
+    where that isn't enough."""
+    return f"<urn:lectorium:page:{'null' if page_id is None else page_id}{own and ':' + own}>"
 
 
 def from_urn(value: str | None):
-    m = re.fullmatch(r"<urn:lectorium:page:(null|-?\d+)>", value or "")
+    m = re.fullmatch(r"<urn:lectorium:page:(null|-?\d+)(:[\w-]+)?>", value or "")
     return None if not m or m[1] == "null" else int(m[1])
 
 
@@ -51,25 +54,41 @@ def record(headers: dict[str, str], block: bytes) -> bytes:
     return VERSION + head.encode() + f"Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
 
-def page_record(page_id, url, payload: bytes, refers_to=None, revisit: bool = False) -> bytes:
-    """The record of a page: its payload as a response, or a revisit that holds none."""
-    block = b"" if revisit else payload
+#: The date of records that were made from a table, which has no time of capture.
+DATE = "2000-01-01T00:00:00Z"
+
+
+def page_record(page_id, url, payload: bytes, refers_to=None, revisit: bool = False, own: str = "", date: str = DATE) -> bytes:
+    """The record of a page: an HTTP response with its payload, or a revisit that holds its header alone."""
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    block, digest = head if revisit else head + payload, digest32(payload)
     return record(
         {
             "WARC-Type": "revisit" if revisit else "response",
-            "WARC-Record-ID": urn(page_id),
+            "WARC-Record-ID": urn(page_id, digest + (own and f"-{own}")),
+            "WARC-Date": date,
             "WARC-Target-URI": url,
-            "Content-Type": "text/html; charset=utf-8",
-            "WARC-Payload-Digest": f"sha1:{digest32(payload)}",
+            "Content-Type": "application/http; msgtype=response",
+            "WARC-Payload-Digest": f"sha1:{digest}",
             "WARC-Block-Digest": f"sha1:{digest32(block)}",
-            "WARC-Payload-Length": len(payload),
-            "WARC-Refers-To": urn(refers_to) if revisit else None,
+            "WARC-Refers-To": urn(refers_to, digest) if revisit else None,
             "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" if revisit else None,
         },
         block,
     )
 
 
+def payload_of(headers: dict[str, str], block: bytes) -> tuple[int, bytes]:
+    """The payload's full length and what the record holds of it."""
+    if not headers.get("content-type", "").lower().startswith("application/http"):
+        return len(block), block
+    head, gap, body = block.partition(b"\r\n\r\n")
+    if not gap:
+        return len(block), block
+    stated = re.search(rb"\r\ncontent-length:\s*(\d{1,18})\s*(\r\n|$)", head, re.I)
+    return int(stated[1]) if stated and headers.get("warc-type") == "revisit" else len(body), body
+
+
 def member(raw: bytes) -> bytes:
     """raw as one gzip member, the same bytes at every run."""
     c = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -100,10 +119,20 @@ def _parse(raw: bytes) -> tuple[dict[str, str], bytes, int] | None:
     return headers, block, end + 8 + length
 
 
+def _stated(head: bytes) -> int | None:
+    """The whole length of the record that begins with head, None while its header goes on, -1 if it has none."""
+    end = head.find(b"\r\n\r\n")
+    if end < 0:
+        return None
+    m = re.search(rb"\r\ncontent-length:\s*(\d{1,18})\s*\r\n", head[: end + 4], re.I)
+    return end + 8 + int(m[1]) if m else -1
+
+
 def _member_at(f, start: int) -> tuple[bytes, int] | None:
-    """The inflated member that begins at start and where the next one does; None if it's damaged."""
+    """The inflated member that begins at start and where the next one does; None if it's damaged. It may
+    not hold more than the record in it states, so a damaged member can't fill the memory."""
     f.seek(start)
-    inflate, out, size, at = zlib.decompressobj(31), [], 0, start
+    inflate, out, size, at, stated = zlib.decompressobj(31), [], 0, start, None
     try:
         while not inflate.eof:
             data = f.read(STEP)
@@ -113,9 +142,14 @@ def _member_at(f, start: int) -> tuple[bytes, int] | None:
             while data:
                 piece = inflate.decompress(data, STEP * 16)
                 size += len(piece)
-                if size > MAX_RECORD:
-                    return None
                 out.append(piece)
+                if stated is None:
+                    out = [b"".join(out)]
+                    if not out[0].startswith(b"WARC/1."[: len(out[0])]):
+                        return None
+                    stated = _stated(out[0])
+                if stated is not None and size > stated:
+                    return None
                 data = inflate.unconsumed_tail
                 if inflate.eof:
                     break
@@ -124,27 +158,28 @@ def _member_at(f, start: int) -> tuple[bytes, int] | None:
     return b"".join(out), at - len(inflate.unused_data)
 
 
-def _plain_at(f, start: int):
-    """The uncompressed record at start, read piece by piece up to the length that it states."""
+def _plain_at(f, start: int, size: int):
+    """The uncompressed record at start, read piece by piece up to the length that it states, which the file
+    must have."""
     f.seek(start)
     head = b""
-    while b"\r\n\r\n" not in head:
+    while (total := _stated(head)) is None:
         data = f.read(STEP)
-        if not data or len(head) > 16 * STEP:
+        if not data:
             return None
         head += data
         if not head.startswith(b"WARC/1."[: len(head)]):
             return None
-    m = re.search(rb"\r\ncontent-length:\s*(\d{1,18})\s*\r\n", head[: head.index(b"\r\n\r\n") + 4], re.I)
-    if not m or int(m[1]) > MAX_RECORD:
+    if total < 0 or start + total > size:
         return None
-    total = head.index(b"\r\n\r\n") + 8 + int(m[1])
-    while len(head) < total:
-        data = f.read(min(1 << 20, total - len(head)))
+    parts, have = [head], len(head)
+    while have < total:
+        data = f.read(min(1 << 20, total - have))
         if not data:
             return None
-        head += data
-    return _parse(head[:total])
+        parts.append(data)
+        have += len(data)
+    return _parse(b"".join(parts)[:total])
 
 
 def _next(f, start: int, size: int) -> int:
@@ -178,7 +213,7 @@ def read_records(f, size: int):
                 if parsed and parsed[2] == len(whole[0]):
                     got = (parsed[0], parsed[1], whole[1])
         elif lead == b"WARC/1.":
-            parsed = _plain_at(f, at)
+            parsed = _plain_at(f, at, size)
             if parsed:
                 got = (parsed[0], parsed[1], at + parsed[2])
         if got:
@@ -212,11 +247,12 @@ def _write_partition(batches, folder: str, roll_bytes: int):
         return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([count]), pa.array([written])], names=["file", "records", "bytes"])
 
     for batch in batches:
-        for page_id, url, html, refers_to, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for page_id, url, html, refers_to, revisit, alone in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if sink is None:
                 part = f"{base}/_{context.taskAttemptId()}-{number:04d}.open"
                 sink, count, written = filesystem.open_output_stream(part), 0, 0
-            raw = member(page_record(page_id, url, (html or "").encode("utf-8", "surrogatepass"), refers_to, revisit))
+            own = "" if alone else f"{context.partitionId()}-{number}-{count}"  # other records may have this page's id
+            raw = member(page_record(page_id, url, (html or "").encode("utf-8", "surrogatepass"), refers_to, revisit, own))
             sink.write(raw)
             count, written = count + 1, written + len(raw)
             if written >= roll_bytes:
@@ -233,10 +269,11 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, roll_bytes: in
     """
     ship(pages.sparkSession)
     keyed = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("payload", F.sha1(F.col("html").cast("binary")))
-    groups = saved(keyed.groupBy("payload").agg(F.max("page_id").alias("kept")), "warc-groups")
+    per = keyed.groupBy("payload", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    groups = saved(per.groupBy("payload").agg(F.max("page_id").alias("kept"), F.max_by("n", "page_id").alias("copies")), "warc-groups")
     marked = keyed.join(groups, "payload")
     revisit = (F.octet_length("html") >= min_bytes) & F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept"))
-    rows = marked.select("page_id", "url", "html", F.when(revisit, F.col("kept")).alias("refers_to"), revisit.alias("revisit"))
+    rows = marked.select("page_id", "url", "html", F.when(revisit, F.col("kept")).alias("refers_to"), revisit.alias("revisit"), F.coalesce(F.col("page_id").eqNullSafe(F.col("kept")) & (F.col("copies") == 1), F.lit(False)).alias("alone"))
     return saved(rows.mapInArrow(lambda it: _write_partition(it, folder, roll_bytes), "file string, records long, bytes long"), "warc-files")
 
 
@@ -256,10 +293,11 @@ def _read_files(batches, with_block: bool):
                     if kind == "gap":
                         rows.append((path, start, end, None, None, None, None, "gap", None, None))
                     else:
+                        full, body = payload_of(h, block)
                         rows.append(
                             (
-                                path, start, end, from_urn(h.get("warc-record-id")), h.get("warc-target-uri"), int(h.get("warc-payload-length") or len(block)),
-                                h.get("warc-payload-digest", "").removeprefix("sha1:"), h.get("warc-type"), from_urn(h.get("warc-refers-to")), block if with_block else None,
+                                path, start, end, from_urn(h.get("warc-record-id")), h.get("warc-target-uri"), full,
+                                h.get("warc-payload-digest", "").removeprefix("sha1:"), h.get("warc-type"), from_urn(h.get("warc-refers-to")), body if with_block else None,
                             )
                         )
                         held += len(block) if with_block else 0
@@ -280,7 +318,8 @@ def read_warc(files: DataFrame, with_block: bool = False) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write a record per row of pages and return what the archives hold."""
     files = write_warc(table(spark, sf_dir, "pages", "page_id", "url", "html"), scratch(spark, "warc"), min_bytes=0)
-    return read_warc(files).filter(F.col("record_type") != "gap").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    whole = F.when(F.col("record_type") == "gap", F.raise_error(F.concat(F.lit("damaged archive "), "file"))).otherwise(F.col("record_type"))
+    return read_warc(files).withColumn("record_type", whole).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 #: Base32 of a digest: its 160 bits in groups of five.
