@@ -8,7 +8,8 @@ order, end to end on a circle; its quota is taken as whole turns and then as a r
 seeded block on, so that every document gets its turns and what of it the run covers.
 
 Every step is a DataFrame operation. Sources are dealt into shards of shard_docs documents by a seeded
-hash, so that no window holds more than a shard, however large its source.
+hash, so that no window holds more than a shard, and quotients of shards are ranked by ranges, so that no task
+holds a source, however large.
 
 Defined results: a null text has size 0 and takes nothing; a null source is a source of its own, the
 last; repeated rows are documents of their own; sources without words have target 0; an empty table
@@ -47,27 +48,40 @@ def targets(totals: DataFrame, share: float = SHARE, cap: float = CAP, weights:
     return t.select("source", "source_size", "docs", F.round(target, 6).alias("target"))
 
 
+def _on(a: str, b: str, columns: list[str]) -> Column:
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+    return out
+
+
 def sainte_lague(parties: DataFrame, groups: list[str], key: list[str], votes: str, seats: str) -> DataFrame:
     """Give each group's seats to its parties by highest quotients; ties go to the party first by key.
 
     With n parties, votes V and S seats, a party with v votes surely gets the rounded v(S - n/2)/V seats
-    and never more than the rounded v(S + n/2)/V. Only the quotients between are listed and ranked, about
-    two for each party. Adds the column quota.
+    and never more than the rounded v(S + n/2)/V. Only the quotients between are listed, about two for each
+    party, and ranked in two steps: dealt by ranges of (group, quotient), numbered within a range, and moved by
+    the group's quotients in the ranges before. So no task holds a whole group. Adds the column quota.
     """
-    w = Window.partitionBy(*groups)
     v, s = F.col(votes).cast("double"), F.col(seats).cast("double")
-    p = parties.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_v", F.sum(v).over(w))
+    sums = parties.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"), F.sum(v).alias("_v"))
+    p = parties.alias("p").join(sums.alias("s"), _on("p", "s", groups)).select("p.*", "s._n", "s._v")
     part = lambda d: F.floor(F.coalesce(v * d / F.nullif(F.col("_v"), F.lit(0.0)), F.lit(0.0)) + 0.5)
     p = p.withColumn("_sure", F.greatest(F.lit(0), part(s - F.col("_n") / 2) - 1)).withColumn("_most", F.when(v > 0, part(s + F.col("_n") / 2) + 1).otherwise(0))
-    p = p.withColumn("_left", s - F.sum("_sure").over(w))
-    listed = p.withColumn("_j", F.explode(F.when(F.col("_most") > F.col("_sure"), F.sequence(F.col("_sure"), F.col("_most") - 1)).otherwise(F.array().cast("array<bigint>"))))
-    ranked = listed.withColumn("_rank", F.row_number().over(w.orderBy((v / (2 * F.col("_j") + 1)).desc(), *key)))
-    won = ranked.filter(F.col("_rank") <= F.col("_left")).groupBy(*groups, *key).agg(F.count(F.lit(1)).alias("_won"))
-    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"w.{c}")) for c in [*groups, *key]]
-    on = same[0]
-    for c in same[1:]:
-        on = on & c
-    return p.alias("p").join(won.alias("w"), on, "left").select(*[F.col(f"p.{c}") for c in parties.columns], (F.col("p._sure") + F.coalesce(F.col("w._won"), F.lit(0))).alias("quota"))
+    p = saved(p, "parties")
+    left = p.groupBy(*groups).agg((F.max(s) - F.sum("_sure")).alias("_left"))
+    listed = p.select(*groups, *key, (v).alias("_votes"), F.explode(F.when(F.col("_most") > F.col("_sure"), F.sequence(F.col("_sure"), F.col("_most") - 1)).otherwise(F.array().cast("array<bigint>"))).alias("_j"))
+    listed = listed.withColumn("_q", F.col("_votes") / (2 * F.col("_j") + 1))
+    order = [*[F.col(c) for c in groups], F.desc("_q"), *[F.col(c) for c in key]]
+    dealt = saved(listed.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "quotients")
+    near = Window.partitionBy("_part", *groups)
+    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("_part", *groups).agg(F.count(F.lit(1)).alias("_k")).withColumn("_before", F.coalesce(F.sum("_k").over(before), F.lit(0)))
+    ranked = dealt.withColumn("_rank", F.row_number().over(near.orderBy(F.desc("_q"), *key)))
+    ranked = ranked.alias("r").join(parts.alias("b"), _on("r", "b", ["_part", *groups])).select(*[F.col(f"r.{c}") for c in [*groups, *key]], (F.col("_rank") + F.col("_before")).alias("_rank"))
+    won = ranked.alias("r").join(left.alias("l"), _on("r", "l", groups)).filter(F.col("_rank") <= F.col("_left"))
+    won = won.groupBy(*[F.col(f"r.{c}") for c in [*groups, *key]]).agg(F.count(F.lit(1)).alias("_won"))
+    return p.alias("p").join(won.alias("w"), _on("p", "w", [*groups, *key]), "left").select(*[F.col(f"p.{c}") for c in parties.columns], (F.col("p._sure") + F.coalesce(F.col("w._won"), F.lit(0))).alias("quota"))
 
 
 def _seeded(seed: str, *columns) -> Column:
