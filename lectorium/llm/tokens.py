@@ -177,6 +177,10 @@ def pack_index(keys: np.ndarray, lengths: np.ndarray, dtype: np.dtype) -> bytes:
     return json.dumps(head).encode() + b"\n" + b"".join(np.packbits(x).tobytes() for x in table_.levels) + b"".join(x.tobytes() for x in out)
 
 
+#: Bytes of payload read at once.
+STRETCH = 1 << 20
+
+
 class Shard:
     """Keyed access to one shard."""
 
@@ -196,7 +200,7 @@ class Shard:
         self.fingerprints = np.frombuffer(raw, "<u4", n, at)
         self.starts = np.frombuffer(raw, "<u8", n, at + 4 * n).astype(np.int64)
         self.lengths = np.frombuffer(raw, "<u4", n, at + 12 * n).astype(np.int64)
-        self.payload = self.fs.open_input_file(name + ".bin")
+        self.payload, self.at, self.stretch = self.fs.open_input_file(name + ".bin"), 0, b""
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The slot of each key, -1 for keys that the shard doesn't hold."""
@@ -206,9 +210,12 @@ class Shard:
         return np.where(good, slots, -1)
 
     def ids(self, slot: int) -> np.ndarray:
-        self.payload.seek(int(self.starts[slot]) * self.dtype.itemsize)
-        raw = self.payload.read(int(self.lengths[slot]) * self.dtype.itemsize)
-        return np.frombuffer(raw, self.dtype)
+        """A document's ids. Keys that come in order are served from one stretch of the payload."""
+        at, size = int(self.starts[slot]) * self.dtype.itemsize, int(self.lengths[slot]) * self.dtype.itemsize
+        if not self.at <= at <= at + size <= self.at + len(self.stretch):
+            self.payload.seek(at)
+            self.at, self.stretch = at, self.payload.read(max(size, STRETCH))
+        return np.frombuffer(self.stretch, self.dtype, size // self.dtype.itemsize, at - self.at)
 
     def close(self):
         self.payload.close()
@@ -250,17 +257,20 @@ def _write_shard(batches, folder: str, path: str, end_id: int):
     )
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, shard_rows: int = 20_000) -> list[dict]:
-    """Encode docs(doc_id, text) and write the shards; returns their manifest, a row per shard, in order.
+def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, shard_rows: int = 20_000, shard_bytes: int = 24 << 20) -> list[dict]:
+    """Encode docs(doc_id, text) and write the shards, of about shard_bytes of text and shard_rows documents at
+    most; returns their manifest, a row per shard, in order.
 
     Texts are dealt by ranges of doc_id and encoded after that, so each is moved and encoded once.
     """
     ship(docs.sparkSession)
-    n = docs.count()
-    dealt = docs.select("doc_id", "text").repartitionByRange(max(1, -(-n // shard_rows)), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    dealt = docs.select("doc_id", "text").repartitionByRange(max(1, -(-n // shard_rows), -(-size // shard_bytes)), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     written = saved(dealt.mapInArrow(lambda it: _write_shard(it, folder, tokenizer_path, end_id), "shard string, first long, docs long, tokens long"), "token-manifest")
     manifest, start = [], 0
-    for row in written.orderBy("shard").toLocalIterator():
+    for row in written.orderBy("first").toLocalIterator():  # by number, as names of more digits sort otherwise
+        if manifest and manifest[-1]["first"] == row["first"]:
+            raise ValueError(f"two shards begin with document {row['first']}")
         manifest.append(row.asDict() | {"start": start})
         start += row["tokens"]
     return manifest
