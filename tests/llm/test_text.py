@@ -3,6 +3,7 @@
 import io
 import os
 import random
+import re
 import zlib
 
 import numpy as np
@@ -166,6 +167,23 @@ def test_top_k(spark, store):
     assert op8_exact_top_k(spark, store(embeddings=[])).count() == 0
 
 
+def test_top_k_bundles_and_tree(spark, monkeypatch):
+    """Several bundles of blocks and a merge tree of several levels give what one gives; products beyond 64
+    bits are compared exactly and given as the nearest long."""
+    monkeypatch.setattr("lectorium.llm.top_k.BUNDLE_BYTES", 1)
+    monkeypatch.setattr("lectorium.llm.top_k.FAN", 2)
+    rng = random.Random(5)
+    rows = [(i, [rng.randint(-4, 4) / 256 for _ in range(6)]) for i in range(200)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(9)
+    got = exact_top_k(vectors.filter("vec_id % 50 = 0"), vectors, block_rows=2, tile_rows=7).collect()
+    assert sorted(map(tuple, got)) == brute_top(rows)
+    huge = [(0, [1e300, 1.0]), (50, [-1e300, 1.0]), (1, [1e300, 0.0]), (2, [1e200, 0.0]), (3, [0.0, 3.0]), (4, [3e17, 0.0])]
+    vectors = spark.createDataFrame(huge, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in exact_top_k(vectors.filter("vec_id = 0"), vectors).collect()}
+    most = (1 << 63) - 1
+    assert [got[0, k] for k in range(1, 5)] == [(1, most), (2, most), (4, most), (3, 256 * 768)] and got[0, 5] == (50, -most)
+
+
 def test_warc_round_trip(spark, store):
     rows = [(1, "u", "same", "p", "f"), (2, "u", "same", "p", "f"), (3, None, None, "p", "f"), (4, "u\r\nWARC-Type: x", "", "p", "f"), (5, "u", "é" * 200_000, "p", "f"), (7, "u", "twice", "p", "f"), (7, "u", "twice", "p", "f"), (None, "n", "alone", "p", "f")]
     got = op10_warc(spark, store(pages=rows)).collect()
@@ -179,6 +197,32 @@ def test_warc_round_trip(spark, store):
     assert op10_warc(spark, store(pages=[])).count() == 0
 
 
+def test_warc_records_are_valid(spark, tmp_path):
+    """Every record has the named fields that the format asks for, an id of its own and an HTTP message;
+    revisits name a record that is there."""
+    rows = [(1, "u", "same"), (2, "u", "same"), (2, "u", "other"), (3, "u", "twice"), (3, "u", "twice"), (None, "n", "same")]
+    files = write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}")
+    found = []
+    for path in sorted(r.file.removeprefix("file://") for r in files.collect()):
+        with open(path, "rb") as f:
+            found += [x for x in read_records(f, os.path.getsize(path))]
+    assert len(found) == len(rows) and all(kind == "record" for kind, *_ in found)
+    ids = [h["warc-record-id"] for _, _, _, h, _ in found]
+    assert len(set(ids)) == len(ids)
+    for _, _, _, h, block in found:
+        assert {"warc-type", "warc-record-id", "warc-date", "content-length"} <= set(h) and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", h["warc-date"])
+        assert block.startswith(b"HTTP/1.1 200 OK\r\n") and h["content-type"] == "application/http; msgtype=response"
+        assert h["warc-type"] == "response" or h["warc-refers-to"] in ids
+
+
+def test_salvage_of_false_lengths():
+    """A length that the file or the member can't hold is a gap; a long header is none."""
+    good = page_record(7, "u" * 2_000_000, b"payload")
+    lie = b"WARC/1.1\r\nContent-Length: 999999999999\r\n\r\nx"
+    for raw, kinds in ((lie + good, ["gap", "record"]), (member(lie) + member(good), ["gap", "record"]), (good, ["record"])):
+        assert [x[0] for x in read_records(io.BytesIO(raw), len(raw))] == kinds
+
+
 def test_salvage():
     rng = random.Random(8)
     records = [page_record(i, f"u{i}", bytes(rng.randrange(256) for _ in range(rng.randrange(3000))) + b"\x1f\x8b\x08WARC/1.1\r\n") for i in range(40)]
