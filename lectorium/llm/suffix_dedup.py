@@ -13,8 +13,9 @@ samples matching statistics are streamed in text order (from one position to the
 moves along and the length falls by one, until the next sample), so long matches are marked from as
 many samples as there are runs, which are few where the corpus is repetitive.
 
-Pieces that occur in very many contexts are found first from a table of frequencies; their strings are
-dealt singly by their own hashes, so that no key gathers an unbounded group.
+Pieces that occur in very many contexts are found first from a table of frequencies. Their strings are told
+apart singly by their own hashes: the first place of each is summed up before the shuffle and joined back, so
+that neither a piece nor a string of very many places gathers in one task.
 
 Defined results: a null text is empty; texts shorter than `length` keep all bytes; rows that share a
 doc_id are told apart by their place in the table and ordered by it; a null doc_id comes before all
@@ -93,7 +94,8 @@ def _key_counts(batches, length, gram):
 CONTEXT = "key long, id1 long, doc_id long, row long, first int, windows int, periodic boolean"
 
 
-def _contexts(batches, length, gram, hot):
+def _contexts(batches, length, gram, hot, singles):
+    """The contexts of pieces that aren't hot or, with singles, the single strings of those that are."""
     frequent = hot.value
     for batch in batches:
         parts, rows = [], []
@@ -104,12 +106,14 @@ def _contexts(batches, length, gram, hot):
             windows = t.stop - t.first
             ident = t.hashed(t.first, windows + length - 1, 5) ^ mix(windows.astype(np.uint64), 6)
             columns = [t.key, ident, t.first, windows, t.periodic()]
-            if len(frequent):
-                single = np.isin((t.key >> np.uint64(32)).astype(np.uint32), frequent)
-                if single.any():
-                    starts = np.concatenate([np.arange(a, z) for a, z in zip(t.first[single], t.stop[single], strict=True)])
-                    alone = [t.hashed(starts, length, 8), t.hashed(starts, length, 9), starts, np.ones(len(starts), np.int64), np.zeros(len(starts), bool)]
-                    columns = [np.concatenate([c[~single], x]) for c, x in zip(columns, alone, strict=True)]
+            single = np.isin((t.key >> np.uint64(32)).astype(np.uint32), frequent)
+            if not singles:
+                columns = [c[~single] for c in columns]
+            elif single.any():
+                starts = np.concatenate([np.arange(a, z) for a, z in zip(t.first[single], t.stop[single], strict=True)])
+                columns = [t.hashed(starts, length, 8), t.hashed(starts, length, 9), starts, np.ones(len(starts), np.int64), np.zeros(len(starts), bool)]
+            else:
+                continue
             parts.append(columns)
             rows.append(np.full(len(columns[0]), i))
         if not parts:
@@ -347,20 +351,27 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
 
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
+    # Several jobs join by row, so the numbers are written once: a plan run anew might deal them otherwise.
+    docs = saved(docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text"), "numbered-texts")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = docs.select("text").mapInArrow(lambda it: _key_counts(it, length, gram), "range int, first long, short boolean, steps binary, many binary, counts binary")
     summed = counts.repartition(max(1, min(RANGES, parts)), "range").sortWithinPartitions("range").mapInArrow(_sum_ranges, "range int, values binary, counts binary").collect()
     frequent = [np.frombuffer(r["values"], np.uint32)[np.frombuffer(r["counts"], np.uint32) > hot] for r in summed]
-    shared = spark.sparkContext.broadcast(np.concatenate([np.zeros(0, np.uint32), *frequent]))
+    frequent = np.concatenate([np.zeros(0, np.uint32), *frequent])
+    shared = spark.sparkContext.broadcast(frequent)
 
     placed = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "row", "text")
-    contexts = placed.mapInArrow(lambda it: _contexts(it, length, gram, shared), CONTEXT)
+    contexts = placed.mapInArrow(lambda it: _contexts(it, length, gram, shared, False), CONTEXT)
     found = saved(contexts.repartition(parts, "key").sortWithinPartitions("key", "id1", "doc_id", "row", "first").mapInArrow(_sift, FOUND), "contexts")
     wanted = found.filter(~F.col("repeated")).groupBy("row").agg(F.collect_list(F.struct("key", "first", "windows")).alias("wanted"))
     fetched = placed.join(wanted, "row").select("doc_id", "row", "text", "wanted").mapInArrow(lambda it: _bytes_of(it, length), "key long, doc_id long, row long, first int, bytes binary")
     marked = saved(fetched.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lambda it: _index(it, length), MARK), "marks")
     whole = found.filter("repeated").select("row", F.col("first").alias("start"), (F.col("first") + F.col("windows") + length - 1).alias("stop"))
+    if len(frequent):
+        singles = saved(placed.mapInArrow(lambda it: _contexts(it, length, gram, shared, True), CONTEXT).select("key", "id1", F.struct("doc_id", "row", "first").alias("place")), "singles")
+        firsts = saved(singles.groupBy("key", "id1").agg(F.min("place").alias("least")), "singles-first")
+        again = singles.join(firsts, ["key", "id1"]).filter("place <> least")
+        whole = whole.union(again.select("place.row", F.col("place.first").alias("start"), (F.col("place.first") + length).alias("stop")))
     marks = marked.union(whole).groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("marks"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if with_text else "")
     return docs.join(marks, "row", "left").select("doc_id", "text", "marks").mapInArrow(lambda it: _kept(it, with_text), schema)
