@@ -104,3 +104,20 @@ def utopia_distance(front: DataFrame, x: str, y: str) -> DataFrame:
     part = lambda c, lo, hi: F.coalesce((F.col(hi) - F.col(c)) / F.nullif((F.col(hi) - F.col(lo)).cast("double"), F.lit(0.0)), F.lit(0.0))
     a, b = part(x, "_x0", "_x1"), part(y, "_y0", "_y1")
     return front.crossJoin(F.broadcast(span)).withColumn("distance", F.sqrt(a * a + b * b)).drop("_x0", "_x1", "_y0", "_y1")
+
+
+def parity_split(ranked: DataFrame) -> DataFrame:
+    """ranked(work_id, rank) with part: odd ranks are seeds, even ones are held out."""
+    return ranked.withColumn("part", F.when(F.col("rank") % 2 == 1, "seed").otherwise("held_out"))
+
+
+def author_split(works: DataFrame, author: str = "author_id") -> DataFrame:
+    """works with part by the sum of the character codes of its author's id, modulo 2: an author's works stay
+    together. A null author is an empty one."""
+    codes = F.transform(F.split(F.coalesce(F.col(author).cast("string"), F.lit("")), ""), lambda c: F.when(c == "", 0).otherwise(F.ascii(c)))
+    return works.withColumn("part", (F.aggregate(codes, F.lit(0), lambda a, c: a + c) % 2).cast("int"))
+
+
+def dense_index(df: DataFrame, key: str, name: str = "index") -> DataFrame:
+    """The different keys with their place from 0 in ascending order."""
+    return numbered(df.select(key).distinct(), [F.col(key)], name).withColumn(name, F.col(name) - 1)

@@ -144,3 +144,19 @@ def search(works: DataFrame, text: str, top: int = 20) -> DataFrame:
     t, q = F.lower("title"), text.lower()
     place = F.when(F.col("work_id").cast("string") == q, 0).when(t == q, 1).when(t.startswith(q), 2).when(t.contains(q), 3)
     return works.withColumn("place", place).filter("place IS NOT NULL").select("work_id", "title", "place").orderBy("place", "title", "work_id").limit(top)
+
+
+#: Beginnings of titles that never count as the genre.
+NEVER = ("harry potter", "a game of thrones", "a clash of kings", "a storm of swords", "a feast for crows", "a dance with dragons")
+
+
+def sf_books(books: DataFrame, min_core: int = 10, min_ratio: float = 0.55, min_ratings: int = 50) -> DataFrame:
+    """Rows of books(title, ratings_count, sf_core, sf_ratio, ya, fantasy, ...) of the genre: by core and ratio, or by
+    a strong core at a softer ratio, or by a weaker core that fantasy shelves share, with little ya."""
+    core, share, ya = F.col("sf_core"), F.col("sf_ratio"), F.coalesce("ya", F.lit(0))
+    strong = (core >= 100) & (share >= 0.27) & (ya < core)
+    leaning = (core >= 25) & (share >= 0.32) & (ya < 50) & (F.col("fantasy") > 0)
+    title, never = F.lower(F.coalesce("title", F.lit(""))), F.lit(False)
+    for start in NEVER:
+        never = never | title.startswith(start)
+    return books.filter((core >= min_core) & (F.col("ratings_count") >= min_ratings) & ((share >= min_ratio) | strong | leaning) & ~never)

@@ -77,16 +77,83 @@ def poll_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.select((F.col("at") + 1).alias("rank"), F.trim(F.regexp_extract("line", cut, 1)).alias("title"), F.trim(F.regexp_extract("line", cut, 2)).alias("author")).filter("title <> ''")
 
 
-def write_swapped(df: DataFrame, path: str) -> None:
-    """Write beside the target and put it in its place only when whole, so that a failed job leaves the old table."""
-    spark = df.sparkSession
+def _hadoop(spark: SparkSession, *paths: str):
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target, staging = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.staging")
-    fs = target.getFileSystem(conf)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(staging.toString())
-    fs.delete(target, True)
+    found = [jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    return found[0].getFileSystem(conf), *found
+
+
+def write_swapped(df: DataFrame, path: str, row_group_bytes: int | None = None) -> None:
+    """Write beside the target and put it in its place only when whole: the old table is moved aside, the new
+    one moved in, then the old one deleted. A table that a crash has left aside is put back first, so at any
+    time either the old or the new one can be had by recovered_table or the next write."""
+    spark = df.sparkSession
+    recovered_table(spark, path)
+    fs, target, staging, old = _hadoop(spark, path, f"{path}.staging", f"{path}.old")
+    writer = df.write.mode("overwrite").option("compression", "zstd")
+    if row_group_bytes:
+        writer = writer.option("parquet.block.size", row_group_bytes)
+    writer.parquet(staging.toString())
+    if fs.exists(target) and not fs.rename(target, old):
+        raise OSError(f"can't move {path} aside")
     if not fs.rename(staging, target):
+        fs.rename(old, target)
         raise OSError(f"can't rename {staging} to {path}")
+    fs.delete(old, True)
+
+
+def recovered_table(spark: SparkSession, path: str) -> str:
+    """The path, after a swap that was broken off is undone or done with."""
+    fs, target, old = _hadoop(spark, path, f"{path}.old")
+    if fs.exists(old):
+        if fs.exists(target):
+            fs.delete(old, True)
+        elif not fs.rename(old, target):
+            raise OSError(f"can't put {path} back")
+    return path
+
+
+def attach(spark: SparkSession, folder: str, prefix: str = "") -> list[str]:
+    """A second database, read-only: every Parquet table of a folder as a view prefix + name. Gives the names."""
+    fs, root = _hadoop(spark, folder)
+    names = []
+    for status in fs.listStatus(root):
+        name = status.getPath().getName()
+        if name.endswith(".parquet"):
+            view = prefix + name.removesuffix(".parquet")
+            spark.read.parquet(status.getPath().toString()).createOrReplaceTempView(view)
+            names.append(view)
+    return sorted(names)
+
+
+def insert_rows(spark: SparkSession, path: str, rows: list[tuple], schema: str) -> None:
+    """Add rows from the driver (curated lists) to a Parquet table with this schema, which is made if need be."""
+    spark.createDataFrame(rows, schema).write.mode("append").option("compression", "zstd").parquet(path)
+
+
+def first_rows(df: DataFrame, limit: int | None) -> DataFrame:
+    """The quick mode of extracts: limit rows at most; all for None."""
+    return df if limit is None else df.limit(limit)
+
+
+def larger_of(spark: SparkSession, slice_path: str, full_path: str, least_bytes: int) -> str:
+    """The slice of a genre if it is there and at least so large, else the full table."""
+    fs, part = _hadoop(spark, slice_path)
+    return slice_path if fs.exists(part) and fs.getContentSummary(part).getLength() >= least_bytes else full_path
+
+
+def save_checkpoint(df: DataFrame, path: str, key: str) -> None:
+    """A state of a long run, with the key of what it was made for."""
+    write_swapped(df.withColumn("_key", F.lit(key)), path)
+
+
+def load_checkpoint(spark: SparkSession, path: str, key: str) -> DataFrame | None:
+    """The state saved under path if it was made for the key; None if there is none or it is another's."""
+    fs, target = _hadoop(spark, recovered_table(spark, path))
+    if not fs.exists(target):
+        return None
+    df = spark.read.parquet(path)
+    return None if df.filter(F.col("_key") != key).limit(1).count() else df.drop("_key")
 
 
 def query_tsv(spark: SparkSession, sql: str):

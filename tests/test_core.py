@@ -2,7 +2,10 @@
 
 import datetime
 import gzip
+import io
 import json
+import os
+import shutil
 
 import numpy as np
 import pytest
@@ -10,8 +13,8 @@ from pyspark.sql import functions as F
 
 from lectorium.functions import text
 from lectorium.functions.numeric import share_rounded
-from lectorium.operators import catalog, collapse, consensus, evaluation, genres, graph, pairwise, ranking, similarity, stats, taste
-from lectorium.operators.models import fuzzy_pairs
+from lectorium.operators import catalog, cohort, collapse, consensus, evaluation, genres, graph, juries, pairwise, ranking, signals, similarity, stats, taste
+from lectorium.operators.models import fuzzy_pairs, ridge_out_of_fold
 from lectorium.sources import readers
 from lectorium.streaming import work_stats
 
@@ -291,6 +294,83 @@ def test_full_rounds_against_brute_force(spark):
     assert {r.work_id: round(r.authority, 6) for r in got} == {w: round(float(x), 6) for w, x in enumerate(work)}
 
 
+def test_swaps_survive_a_crash(spark, tmp_path):
+    """Whatever a broken-off swap leaves, the old or the new table is there."""
+    out = str(tmp_path / "t")
+    readers.write_swapped(spark.range(3), out)
+    os.rename(out, f"{out}.old")  # between the two renames
+    assert spark.read.parquet(readers.recovered_table(spark, out)).count() == 3
+    readers.write_swapped(spark.range(5), out, row_group_bytes=1 << 20)
+    shutil.copytree(out, f"{out}.old")  # before the last delete
+    assert spark.read.parquet(readers.recovered_table(spark, out)).count() == 5 and not os.path.exists(f"{out}.old")
+    readers.save_checkpoint(spark.range(4), str(tmp_path / "c"), "run-1")
+    assert readers.load_checkpoint(spark, str(tmp_path / "c"), "run-1").count() == 4
+    assert readers.load_checkpoint(spark, str(tmp_path / "c"), "run-2") is None and readers.load_checkpoint(spark, str(tmp_path / "no"), "x") is None
+    assert readers.larger_of(spark, out, "full", 1) == out and readers.larger_of(spark, out, "full", 1 << 40) == "full"
+
+
+def test_command_line(spark, tmp_path):
+    from lectorium.__main__ import main
+
+    (tmp_path / "b.json").write_text(json.dumps({"book_id": "7", "work_id": "3", "title": "T", "popular_shelves": [{"name": "sf", "count": "9"}]}) + "\n")
+    assert main(["build", "--books", str(tmp_path / "b.json"), "--out", str(tmp_path / "db")], spark) == 0
+    readers.insert_rows(spark, str(tmp_path / "db" / "lists.parquet"), [(1, None)], "a int, b string")
+    got = io.StringIO()
+    assert main(["query", "--tables", str(tmp_path / "db"), "SELECT b.title, s.shelf, l.b FROM books b JOIN book_shelves s USING (book_id) JOIN lists l ON l.a = 1"], spark, got) == 0
+    assert got.getvalue() == "title\tshelf\tb\nT\tsf\t\n" and main(["run", "nothing", "--tables", "x", "--out", "y"], spark) == 2
+    assert readers.attach(spark, str(tmp_path / "db"), "ext_") == ["ext_book_shelves", "ext_books", "ext_lists"]
+
+
+def test_packs():
+    p = cohort.Pack(positive=[2, "1", None, " "], negative=["9"], neutral=[" A ", "", "A", "B"])
+    assert p.positive == ("1", "2") and p.neutral == ("A", "B") and p.key() == cohort.Pack(["1", 2], [9], ["B", "A"]).key()
+    q = p.updated(positive=["1"])
+    assert q.is_safe_subset(p) and not p.updated(positive=["5"]).is_safe_subset(p) and not p.updated(negative=[]).is_safe_subset(p) and q.negative == p.negative
+    with pytest.raises(ValueError):
+        p.updated(authors=[])
+    assert not cohort.stored_suffice(0) and not cohort.stored_suffice(50) and cohort.stored_suffice(90) and not cohort.stored_suffice(90, default_pack=False)
+    assert cohort.com_cap(0) is None and cohort.com_cap(100) == pytest.approx(0.08) and cohort.slider(-5) == 0 and cohort.slider(500) == 1
+
+
+def test_signals(spark):
+    authors = spark.createDataFrame([(1, "Fyodor D.", 100), (2, "Fyodor D", 900), (3, "Ann Lee Poe", 5), (4, "Bob Ray", 1), (5, "Bob Ray Two", 1), (6, "Bob Ray Three", 1), (7, None, 9)], "author_id long, name string, ratings_count long")
+    names = spark.createDataFrame([("FYODOR D, Jr.",), ("Ann Lee",), ("Bob",), ("Nobody",), ("",), (None,)], "match string")
+    assert {r.match: r.author_id for r in signals.resolve_authors(names, authors).collect()} == {"FYODOR D, Jr.": 2, "Ann Lee": 3}
+    chart = spark.createDataFrame([(1, "Fyodor D"), (2, "Ann Lee Poe"), (3, "Fyodor D")], "rank int, author string")
+    got = {r.match: (r.poll_rank, r.prestige) for r in signals.poll_prestige(chart, spark.createDataFrame([("fyodor d",), ("Lee Poe",), ("Who",)], "match string")).collect()}
+    assert got == {"fyodor d": (1, 1.0), "Lee Poe": (2, 0.75), "Who": (None, 0.75)}
+    works = spark.createDataFrame([(4934, 1), (7, 4934), (8, 2)], "work_id long, book_id long")
+    keys = spark.createDataFrame([("4934",), ("8",), ("x",), (None,)], "key string")
+    assert {r.key: r.work_id for r in signals.resolve_ids(keys, works).collect()} == {"4934": "7", "8": "8"}
+
+
+def test_jury_rankings_by_hand(spark):
+    e = spark.createDataFrame([(u, w, 5 if (u + w) % 3 else 2) for u in range(12) for w in range(6)] + [(None, 1, 5)], "user_id long, work_id long, rating int")
+    w = juries.work_rarity(e.filter("user_id IS NOT NULL"), 1)
+    one = juries.jury_p5(e, spark.createDataFrame([(1,), (2,), (3,)], "user_id long"), w, m=3, p0=0.5, least_n=1, least_votes=2)
+    assert {r.work_id: r.score for r in one.collect()} == {k: pytest.approx((sum((u + k) % 3 > 0 for u in (1, 2, 3)) + 1.5) / 6) for k in range(6)}
+    u = juries.reader_features(e.filter("user_id IS NOT NULL"), w, least=1, least_liked=1, midpop=1, popular=99)
+    assert u.count() == 12 and u.first().depth_ge4 == pytest.approx(1 / np.log(13)) and u.first().n_ge4_popular == 0
+    assert juries.beyond(u, "five_rate", 0.5).count() + juries.beyond(u.limit(0), "five_rate", 0.5).count() >= 6
+    assert juries.reader_features(e.limit(0), w).count() == juries.audience_depth(e.limit(0), u, w).count() == 0
+
+
+def test_ridge_against_numpy(spark):
+    rng = np.random.default_rng(8)
+    x, fold = rng.normal(size=(60, 2)), np.arange(60) % 5
+    y = x @ [1.5, -2.0] + 0.3 + rng.normal(size=60) / 10
+    rows = [(i, int(fold[i]), float(x[i, 0]), None if i == 7 else float(x[i, 1]), float(y[i])) for i in range(60)]
+    got = {r.user_id: r.predicted for r in ridge_out_of_fold(spark.createDataFrame(rows, "user_id long, fold int, a double, b double, y double"), ["a", "b"], "y").collect()}
+    known = np.arange(60) != 7
+    mean, sd = np.array([x[:, 0].mean(), x[known, 1].mean()]), np.array([x[:, 0].std(), x[known, 1].std()])
+    z = (x - mean) / sd
+    z[7, 1] = 0
+    for f in range(5):
+        out = fold != f
+        w = np.linalg.solve(z[out].T @ z[out] + np.eye(2), z[out].T @ (y[out] - y.mean()))
+        assert [got[i] for i in np.flatnonzero(~out)] == pytest.approx(list(z[~out] @ w + y.mean()))
+
+
 def test_registered_queries_have_oracles():
     from lectorium.plans import registry
 
