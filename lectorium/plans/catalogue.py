@@ -58,10 +58,15 @@ _add(
     lambda s, d: genres.by_tags(Tables(s, d).works, _tags(s, d), ["small"], ["brand#1", "brand#12", "brand#16", "brand#17"], ["brand#1"]).select("work_id"),
     f"WITH {CTE}, {_CAT}, {_TAGS} SELECT work_id FROM works w WHERE EXISTS (SELECT 1 FROM tags t WHERE t.work_id = w.work_id AND shelf = 'small') AND EXISTS (SELECT 1 FROM tags t WHERE t.work_id = w.work_id AND shelf IN ('brand#1', 'brand#12', 'brand#16', 'brand#17')) AND NOT EXISTS (SELECT 1 FROM tags t WHERE t.work_id = w.work_id AND shelf = 'brand#1')",
 )
-_SHELF_FORMS = [F.col("shelf"), F.concat(F.lit("read-in-"), "shelf"), F.concat(F.lit(" To-"), F.lit("Read")), F.concat((F.col("work_id") % 30 + 1990).cast("string"), F.lit("-reads")), F.concat(F.lit("own"), "shelf"), F.lit("  ")]
+
+
+def _shelf_forms():
+    return F.array(F.col("shelf"), F.concat(F.lit("read-in-"), "shelf"), F.lit(" To-Read"), F.concat((F.col("work_id") % 30 + 1990).cast("string"), F.lit("-reads")), F.concat(F.lit("own"), "shelf"), F.lit("  "))
+
+
 _add(
     "noise_shelves",
-    lambda s, d: Tables(s, d).shelves.select(F.explode(F.array(*_SHELF_FORMS)).alias("shelf")).distinct().withColumn("noise", genres.is_noise(F.col("shelf"))),
+    lambda s, d: Tables(s, d).shelves.select(F.explode(_shelf_forms()).alias("shelf")).distinct().withColumn("noise", genres.is_noise(F.col("shelf"))),
     f"WITH {CTE}, f AS (SELECT DISTINCT unnest([shelf, 'read-in-' || shelf, ' To-Read', (work_id % 30 + 1990)::VARCHAR || '-reads', 'own' || shelf, '  ']) AS shelf FROM shelves) SELECT shelf, trim(shelf) = '' OR lower(trim(shelf)) = 'to-read' OR starts_with(shelf, 'read-in-') OR regexp_full_match(shelf, '[0-9]{{4}}-reads') AS noise FROM f",
 )
 RATIO = genres.RatioGate("small", core=("small",), soft=("brand#1", "brand#2", "brand#3", "brand#4"), compete=("brand#12", "brand#5", "brand#6"), compete_soft=("brand#7", "brand#8"), literary=("brand#9", "brand#10"), literary_min_n=28, ya=("brand#11",), min_core=8, min_ratio=0.7, escape_core=20, escape_ratio=0.5, soft_escape_core=12, soft_escape_ratio=0.6, ya_below_core=True, soft_max_ya=10)

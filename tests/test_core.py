@@ -6,6 +6,8 @@ import io
 import json
 import os
 import shutil
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -376,3 +378,10 @@ def test_registered_queries_have_oracles():
 
     without = {"ridge_out_of_fold", "spectral_embedding", "spherical_clusters"}
     assert set(registry.queries()) - without == set(registry.oracle_sql()) and len(registry.queries()) > 140
+
+
+def test_imports_without_a_session():
+    """The driver imports the entry before it starts Spark."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert len(e.queries()) >= len(e.oracle_sql()) > 150"], cwd=root, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
