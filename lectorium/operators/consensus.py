@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectorium.functions.numeric import ratio
+from lectorium.functions.storage import saved
 
 
 def cells(votes: DataFrame, communities: DataFrame) -> DataFrame:
@@ -81,9 +82,13 @@ def leave_one_out(cells: DataFrame) -> DataFrame:
     return cells.select("work_id", "partition", (whole - rest).alias("fall")).groupBy("work_id", "partition").agg(F.max("fall").alias("largest_fall"))
 
 
-def poisson_weight(seed: str, *keys):
-    """A Poisson(1) count from a hash: the same at every run and on every engine."""
-    u = F.conv(F.substring(F.md5(F.concat_ws("-", *[k.cast("string") for k in keys], F.lit(seed))), 1, 8), 16, 10).cast("double") / 4294967296.0
+def uniform(seed: str, *keys):
+    """A number of [0, 1) from a hash: the same at every run and on every engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws("-", *[k.cast("string") for k in keys], F.lit(seed))), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
+def poisson_count(u):
+    """The Poisson(1) count, 8 at most, at a number of [0, 1)."""
     out, p, total = F.lit(0), 0.36787944117144233, 0.0
     for k in range(8):
         total += p
@@ -92,14 +97,33 @@ def poisson_weight(seed: str, *keys):
     return out
 
 
+def poisson_weight(seed: str, *keys):
+    return poisson_count(uniform(seed, *keys))
+
+
+#: Replicates that one pass over the votes sums, each in two columns.
+PASS = 40
+
+
 def bootstrap(votes: DataFrame, replicates: int, seed: str = "boot") -> DataFrame:
     """Reader bootstrap of the share of high mass: work_id, mean, sd, low and high ends of 80 %. Readers are
-    weighted per replicate by a hash, drawn once a reader; sums are pre-aggregated before they are shuffled."""
-    drawn = votes.select("user_id").distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("k", poisson_weight(seed, F.col("user_id"), F.col("rep"))).filter("k > 0")
-    r = votes.join(drawn, "user_id")
-    m = F.col("mass") * F.col("k")
-    s = r.groupBy("work_id", "rep").agg(ratio(F.sum(F.when(F.col("side") == 1, m).otherwise(0.0)), F.sum(m)).alias("share"))
-    return s.groupBy("work_id").agg(F.avg("share").alias("mean"), F.stddev_samp("share").alias("sd"), F.percentile("share", 0.1).alias("low"), F.percentile("share", 0.9).alias("high"))
+    weighted per replicate by a hash, drawn once a reader. A pass sums many replicates side by side, so a vote
+    isn't multiplied into a row for each, and sums are pre-aggregated by work."""
+    numbers = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda rep: uniform(seed, F.col("user_id"), rep))
+    counts = F.transform(numbers, lambda u: poisson_count(u).cast("byte"))  # each hash is taken once
+    # As many parts as shuffles have, however few bytes the readers are: each takes many hashes. A work's votes
+    # lie together, so that a pass shuffles its wide sums once a work, not once a work and task.
+    parts = int(votes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = votes.select("user_id").distinct().repartition(parts, "user_id").withColumn("ks", counts)
+    joined = saved(votes.select("user_id", "work_id", "side", "mass").join(drawn, "user_id").drop("user_id").repartition(parts, "work_id"), "drawn-votes")
+    out = None
+    for first in range(0, replicates, PASS):
+        reps = range(first, min(first + PASS, replicates))
+        m = lambda r: F.col("mass") * F.get("ks", F.lit(r))
+        g = joined.groupBy("work_id").agg(*[F.sum(m(r)).alias(f"t{r}") for r in reps], *[F.sum(F.when(F.col("side") == 1, m(r)).otherwise(0.0)).alias(f"h{r}") for r in reps])
+        one = g.select("work_id", F.explode(F.array(*[ratio(F.col(f"h{r}"), F.col(f"t{r}")) for r in reps])).alias("share")).filter("share IS NOT NULL")
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("work_id").agg(F.avg("share").alias("mean"), F.stddev_samp("share").alias("sd"), F.percentile("share", 0.1).alias("low"), F.percentile("share", 0.9).alias("high"))
 
 
 def _all_within(ranks, top: int):

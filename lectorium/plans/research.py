@@ -18,7 +18,8 @@ def _add(name, query, sql):
 
 
 def _r9(df, *columns):
-    return df.select(*[F.round(c, 9).alias(c) if c in columns else F.col(c) for c in df.columns])
+    """Rounded to nine places off the ties that sums of simple fractions fall on."""
+    return df.select(*[F.round(F.col(c) + 3e-11, 9).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def _r(df, *columns):
@@ -296,7 +297,7 @@ _add(
     lambda s, d: (lambda t, m: _r9(temporal.early_late(temporal.clocks(t, temporal.import_profile(t)), m.taste.select("user_id", F.col("lit_share").alias("q")), least_mass=2.0), *[f"{x}_{c}" for x in _SIDES for c in ("mass", "p5", "kish")], "delta_p5"))(_timed(s, d), Model(s, d)),
     f"""WITH {_CLOCKS}, u AS (SELECT ck.*, lit_share AS q FROM ck JOIN tst USING (user_id) WHERE (rating = 5 OR rating <= 3) AND lit_share > 0), c AS (SELECT definition, work_id, quantile_cont(event_at, 0.2) AS lo, quantile_cont(event_at, 0.8) AS hi FROM u GROUP BY ALL),
 g AS (SELECT definition, work_id, {", ".join(f"sum(q) FILTER (WHERE {w}) AS {x}_mass, coalesce(sum(q) FILTER (WHERE {w} AND rating = 5), 0) / sum(q) FILTER (WHERE {w}) AS {x}_p5, power(sum(q) FILTER (WHERE {w}), 2) / sum(q * q) FILTER (WHERE {w}) AS {x}_kish, count(DISTINCT user_id) FILTER (WHERE {w}) AS {x}_users" for x, w in zip(_SIDES, ("event_at <= lo", "event_at >= hi"), strict=True))} FROM u JOIN c USING (definition, work_id) GROUP BY ALL)
-SELECT definition, work_id, {", ".join(f"round({x}_{c}, 9) AS {x}_{c}" for x in _SIDES for c in ("mass", "p5", "kish"))}, early_users, late_users, round(late_p5 - early_p5, 9) AS delta_p5 FROM g WHERE round(early_mass, 9) >= 2 AND round(late_mass, 9) >= 2""",
+SELECT definition, work_id, {", ".join(f"round({x}_{c} + 3e-11, 9) AS {x}_{c}" for x in _SIDES for c in ("mass", "p5", "kish"))}, early_users, late_users, round(late_p5 - early_p5 + 3e-11, 9) AS delta_p5 FROM g WHERE round(early_mass, 9) >= 2 AND round(late_mass, 9) >= 2""",
 )
 _ERAS = [788918400, 852076800, 915148800, 1009843200]
 _add("era_ranks", lambda s, d: temporal.era_ranks(_timed(s, d), _ERAS), f"WITH {_TIMED}, e AS (SELECT *, CASE WHEN added_at < {_ERAS[0]} OR added_at >= {_ERAS[3]} THEN NULL WHEN added_at < {_ERAS[1]} THEN 0 WHEN added_at < {_ERAS[2]} THEN 1 ELSE 2 END AS era FROM tm), p AS (SELECT era, avg((rating = 5)::INTEGER) AS p0 FROM e WHERE era IS NOT NULL GROUP BY era), g AS (SELECT era, work_id, count(*) AS n, round((count(*) FILTER (WHERE rating = 5) + 10 * any_value(p0)) / (count(*) + 10), 6) AS score FROM e JOIN p USING (era) GROUP BY ALL HAVING count(*) >= 3) SELECT era::INTEGER AS era, work_id, n, score, row_number() OVER (PARTITION BY era ORDER BY score DESC, n DESC, work_id) AS rank FROM g QUALIFY rank <= 50")
