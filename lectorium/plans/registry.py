@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectorium.plans import catalogue, juries, ratings, readers, research
+from lectorium.plans import catalogue, juries, panels, ratings, readers, research
 
-_MODULES = (ratings, catalogue, research, readers, juries)
+_MODULES = (ratings, catalogue, research, readers, juries, panels)
 
 
 def queries() -> dict:

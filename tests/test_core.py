@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lectorium.functions import text
 from lectorium.functions.numeric import share_rounded
-from lectorium.operators import catalog, cohort, collapse, consensus, evaluation, genres, graph, juries, pairwise, ranking, signals, similarity, stats, taste
+from lectorium.operators import catalog, cohort, collapse, consensus, evaluation, genres, graph, juries, pairwise, panels, ranking, signals, similarity, stats, taste
 from lectorium.operators.models import fuzzy_pairs, ridge_out_of_fold
 from lectorium.sources import readers
 from lectorium.streaming import work_stats
@@ -380,6 +380,28 @@ def test_registered_queries_have_oracles():
     assert set(registry.queries()) - without == set(registry.oracle_sql()) and len(registry.queries()) > 140
 
 
+def test_labels_exclude_each_other(spark):
+    seeds = spark.createDataFrame([(w, "classic" if w < 10 else "anti" if w < 30 else "normie") for w in range(40)], "work_id long, kind string")
+    rows = [(1, w, 5) for w in range(6)] + [(1, w, 5) for w in range(30, 36)] + [(2, w, 5) for w in range(10, 21)] + [(3, w, 5) for w in range(30, 35)] + [(4, w, 4) for w in range(10)] + [(5, 10 + w, 5) for w in range(10)] + [(5, 30 + w, 5) for w in range(10)]
+    got = {r.user_id: r.label for r in panels.hit_labels(spark.createDataFrame(rows, "user_id long, work_id long, rating int"), seeds).collect()}
+    assert got == {1: "classic", 2: "anti", 3: "normie", 5: "anti"}
+
+
+def test_universes_by_hand(spark):
+    universes = spark.createDataFrame([("b", "equal"), ("l", "leave_one_out"), ("c", "community")], "universe string, kind string")
+    ranks = spark.createDataFrame([("b", 1, 10), ("l", 1, 250), ("c", 1, 5), ("b", 2, 20), ("c", 3, 1)], "universe string, work_id long, rank int")
+    got = {r.work_id: r for r in panels.universe_summaries(ranks, universes, "b", last=500).collect()}
+    assert (got[1].median_rank, got[1].max_loo_drop, got[1].top200_rate, got[1].community_top200_rate) == (130.0, 240.0, 0.5, 1.0)
+    assert got[2].max_loo_drop == 481.0 and got[3].baseline_rank is None and got[3].max_loo_drop is None
+    hhi = spark.createDataFrame([(1, 0.1), (2, 0.1)], "work_id long, hhi double")
+    assert {r["class"] for r in panels.distributed_core(panels.universe_summaries(ranks, universes, "b"), hhi, stable=0.5).collect()} == {"community_dependent"}
+    kinds = spark.createDataFrame([("b", "jury"), ("l", "pair"), ("c", "gamma")], "universe string, kind string")
+    scores = spark.createDataFrame([(1, g, 80.0 / g) for g in (1.0, 1.5, 2.0)] + [(2, 1.0, 60.0)], "work_id long, gamma double, score double")
+    m = {r.work_id: r for r in panels.multiverse(ranks, kinds, scores, [1.0, 1.5, 2.0], "b").collect()}
+    assert m[1].critical_gamma == 2.0 and m[1].classes == "pair_sensitive" and m[2].critical_gamma == 1.5 and m[2].classes == "selection_sensitive,pair_evidence_sensitive"
+    assert panels.universe_summaries(ranks.limit(0), universes, "b").count() == panels.multiverse(ranks.limit(0), kinds, scores, [1.0], "b").count() == 0
+
+
 def test_imports_without_a_session():
     """The driver imports the entry before it starts Spark."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
