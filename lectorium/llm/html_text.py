@@ -7,7 +7,8 @@ blocks without stop words and all short blocks are undecided. On a page whose lo
 stop words, as in languages that the list doesn't cover, length and link density alone make a block good.
 Pass two: in an article container an undecided block is good, unless the article has good blocks and the
 nearest decided ones on both sides are bad; outside one it gets the label of its nearest decided
-neighbours, where a tie falls to bad. A page with an article (or main) container has its text there only.
+neighbours, where a tie falls to bad. A page with an article (or main) container has its text there only, unless
+that holds fewer words than a good block and there is a long block elsewhere.
 A class or id around a main container doesn't make it boilerplate, nor around an article if there is no other.
 
 Defined results: null, empty or text-free html gives an empty text; unclosed comments, scripts and
@@ -29,12 +30,13 @@ DROPPED = {"script", "style", "noscript", "template", "svg", "math", "iframe", "
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template"}
 CONTAINERS = {"nav", "footer", "aside", "form", "dialog", "menu"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
-#: Whole words of a class or id that mark boilerplate.
+#: Classes and ids that mark boilerplate, alone or with each other and words of FRAME in one name.
 MARKS = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs pagination pager "
     "header masthead footer sidebar side aside widget related recommended recommendations share sharing social comments comment reply replies disqus respond "
     "cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login search toolbar skip hidden paywall".split()
 )
+FRAME = set("site main page top bottom left right center primary secondary global sticky fixed floating mobile desktop list item items box block bar container wrapper wrap section area inner outer panel group row col column slot posts articles links link button buttons btn icon icons form module region zone card cards count thread policy".split())
 BLOCKS = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol "
     "optgroup option p pre section summary table tbody td tfoot th thead tr ul caption".split()
@@ -53,12 +55,22 @@ LINKS, MIN_WORDS, GOOD_STOP_SHARE = 0.5, 12, 0.2
 #: Below this share over a page's long blocks stop words say nothing; signs of scripts without spaces that count as a word.
 NO_STOP_SHARE, SIGNS = 0.1, 2
 
-_TAG = re.compile(r"<!--|<!\[CDATA\[|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(/?)>")
+# Attributes as browsers cut them: a quote begins a value only after the equals sign. Nothing is tried twice.
+_TAG = re.compile(r"""<!--|<!\[CDATA\[|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*+)?)?|=)*+)>""")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 _SIGN = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\U00020000-\U0003ffff]")  # scripts without spaces
 
 
+def _marks(value: str) -> bool:
+    """Whether a class or id has a name that marks boilerplate: `share`, `site-header`, but not `share-price`."""
+    for name in value.split():
+        parts = re.findall(r"[^\W\d_]+", name)
+        if MARKS.intersection(parts) and all(x in MARKS or x in FRAME for x in parts):
+            return True
+    return False
+
+
 def _boilerplate(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
     """Whether an element is boilerplate by what it is, and whether by a word of its class or id."""
     if name in CONTAINERS or (name == "header" and not in_article):
@@ -75,7 +87,7 @@ def _boilerplate(name: str, attributes: str, in_article: bool) -> tuple[bool, bo
             return True, False
         if key == "role" and value in ROLES:
             return True, False
-        if key in ("class", "id") and MARKS.intersection(re.split(r"[^a-z]+", value)):
+        if key in ("class", "id") and _marks(value):
             marked = True
     return False, marked
 
@@ -168,7 +180,7 @@ def blocks(page: str) -> list[_Block]:
                 depth -= 1
             if depth and stack[depth - 1][0] in CLOSED_BY and name in CLOSED_BY[stack[depth - 1][0]]:
                 del stack[depth - 1 :]
-        if m[4] and name not in BLOCKS and name not in RAW:
+        if m[3].endswith("/") and name not in BLOCKS and name not in RAW:
             continue
         above = stack[-1] if stack else ("", False, False, False, False)
         article = above[4] or name in ARTICLE
@@ -195,9 +207,12 @@ def extract(page: str | None) -> str:
             if b.article and b.wrapped:
                 b.bad, article = False, True
     long, stop, total = [], 0, 0
-    for b in found:
-        words = _WORD.findall(b.text.lower())
-        size = len(words) if b.text.isascii() else max(len(words), len(_SIGN.findall(b.text)) // SIGNS)
+    cut = [_WORD.findall(b.text.lower()) for b in found]
+    sizes = [len(words) if b.text.isascii() else max(len(words), len(_SIGN.findall(b.text)) // SIGNS) for b, words in zip(found, cut, strict=True)]
+    if article and sum(n for b, n in zip(found, sizes, strict=True) if b.article and not b.bad) < MIN_WORDS:
+        # A container with a heading alone isn't where the text is, if there is text elsewhere.
+        article = not any(n >= MIN_WORDS and not b.article and not b.bad and b.linked <= LINKS for b, n in zip(found, sizes, strict=True))
+    for b, words, size in zip(found, cut, sizes, strict=True):
         if b.bad or (article and not b.article) or b.linked > LINKS:
             b.label = False
         elif size >= MIN_WORDS:

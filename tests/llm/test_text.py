@@ -135,6 +135,21 @@ def test_html_articles_are_kept_whole():
     assert extract(f'<article><p>{english}</p></article><div class="comments"><article><p>{english} too</p></article></div>') == english
 
 
+def test_html_attributes_and_names():
+    """Apostrophes in unquoted values, names that only hold a mark, and a main container with a heading alone."""
+    english = "The man that was in the house had a letter for the people of the town and it was from the king"
+    assert extract("<article><p title=it's>Hello there.</p><p>Second it's one.</p></article>") == "Hello there.\n\nSecond it's one."
+    assert extract("<article><p title='a>b' data-x=\"c>d\" e=f/>One.</p><br/><p / >Two.</p></article>") == "One.\n\nTwo."
+    for name in ("share-price", "comment-free", "hidden-gem", "seaside", "promo_code", "adsorption"):
+        assert extract(f"<article><p class='{name}'>The words of it.</p></article>") == "The words of it."
+    for name in ("share", "site-header", "comment-list", "cookie-notice", "x related-posts", "ad ad-1", "sidebar2"):
+        assert extract(f"<article><p>Kept.</p><div class='{name}'><p>Gone.</p></div></article>") == "Kept."
+    assert extract(f"<body><main><h1>T</h1></main><div><p>{english}</p></div></body>") == f"T\n\n{english}"
+    assert extract(f"<body><main><h1>T</h1></main><div class='comments'><p>{english}</p></div></body>") == "T"
+    assert extract(f"<body><main><p>{english}</p></main><div><p>{english} too</p></div></body>") == english
+    assert extract("<p " + "a=b " * 50_000) == extract("<p " + "'" * 50_000) == extract("<p a='" + "x" * 200_000) == ""
+
+
 def test_html_table(spark, store):
     rows = [(1, "u", PAGE, "p", "f"), (1, "u", PAGE, "p", "f"), (None, None, None, None, None), (2, None, "", "p", "f"), (3, "v", "<article><p>" + "wörd " * 50_000, "p", "f")]
     got = sorted(op7_html_text(spark, store(pages=rows)).collect(), key=str)
