@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import os
 import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOT = None
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # another C library
+    _TRIM = None
 
 
 #: Bytes of an Arrow batch between Spark and Python. Batches by rows alone grow with the texts.
@@ -38,6 +45,22 @@ def ship(spark: SparkSession) -> None:
     sc._lectorium_shipped = True
 
 
+def frugal(task):
+    """Make a generator that runs in a Python worker give back what it has freed when it ends. Workers live on
+    for other tasks, and the allocators of C and of Arrow would keep it for themselves."""
+
+    @functools.wraps(task)
+    def wrapped(*args, **kwargs):
+        try:
+            yield from task(*args, **kwargs)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if _TRIM is not None:
+                _TRIM(0)
+
+    return wrapped
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Only the named columns of a table, so that others, whatever their names, reach no operator."""
     ship(spark)

@@ -14,24 +14,26 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 #: Bytes hashed at once. Longer texts make a longer stretch of their own.
-STRETCH = 1 << 20
+STRETCH = 1 << 19
+#: Powers are kept up to so many, in one table that shorter stretches use the beginning of.
+MOST_POWERS = 1 << 20
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, (n - 1).bit_length())
-    if size not in _POWERS:
-        out = []
-        for base in (_BASE, _INVERSE):
-            p = np.ones(1, np.uint64)
-            while len(p) < size:
-                p = np.concatenate([p, p * np.uint64(pow(base, len(p), 1 << 64))])
-            out.append(p)
-        if size <= 1 << 21:
-            _POWERS[size] = tuple(out)
-        return tuple(out)
-    return _POWERS[size]
+    """Powers of the base and of its inverse, n of each at least."""
+    if _POWERS and len(_POWERS[0][0]) >= n:
+        return _POWERS[0]
+    size, out = 1 << max(16, (n - 1).bit_length()), []
+    for base in (_BASE, _INVERSE):
+        p = np.ones(1, np.uint64)
+        while len(p) < size:
+            p = np.concatenate([p, p * np.uint64(pow(base, len(p), 1 << 64))])
+        out.append(p)
+    if size <= MOST_POWERS:
+        _POWERS[:] = [tuple(out)]
+    return tuple(out)
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:

@@ -23,7 +23,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lectorium.llm._io import ship, table
+from lectorium.llm._io import frugal, ship, table
 
 #: Elements without any text of the article.
 DROPPED = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "select", "textarea", "button", "head", "title", "audio", "video", "datalist", "map"}
@@ -261,6 +261,7 @@ def extract(page: str | None) -> str:
     return "\n\n".join(reversed(kept))
 
 
+@frugal
 def _extract(batches):
     for batch in batches:
         texts = [extract(x) for x in batch.column(0).to_pylist()]

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectorium.llm._components import components
-from lectorium.llm._io import release, removed, saved, ship, table
+from lectorium.llm._io import frugal, release, removed, saved, ship, table
 from lectorium.llm._shingles import mix, shingle_sets, summed, texts_of
 
 #: Ranges of the hash space over which frequencies are counted, and the commonest kept of each: the table
@@ -65,6 +65,7 @@ def _pack_counts(hashes: np.ndarray):
     )
 
 
+@frugal
 def _count(batches, n):
     held, size = [], 0
     for batch in batches:
@@ -78,6 +79,7 @@ def _count(batches, n):
         yield _pack_counts(np.concatenate(held))
 
 
+@frugal
 def _sum_ranges(batches):
     """Rows come sorted by range: one range's counters are held at a time."""
 
@@ -137,6 +139,7 @@ def _prefix(size, percent):
     return size - (percent * size + 99) // 100 + 1
 
 
+@frugal
 def _features(batches, n, percent, known):
     order = _Order(known.value)
     for batch in batches:
@@ -159,6 +162,7 @@ def _may(na, nb, pa_, pb, percent):
     return ((100 + percent) * F.least(na - pa_, nb - pb) >= percent * (na + nb)) & (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
 
 
+@frugal
 def _postings(batches, known, salt_at):
     """A row per shingle of a prefix. A group's copies in one task are listed once. Shingles of very many
     more than salt_at documents are dealt over parts, a bucket's salt."""
@@ -192,6 +196,7 @@ def _postings(batches, known, salt_at):
 POSTING = "token long, salt int, g long, n int, place int"
 
 
+@frugal
 def _buckets(batches):
     """Postings come sorted by (token, salt, n, g): each once, those alone in their bucket not at all. One row
     waits for the next batch."""
@@ -223,6 +228,7 @@ _KINDS = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()
 SENT_ROWS, SENT_BYTES = 4096, 1 << 22
 
 
+@frugal
 def _sets(batches, n, known):
     """For each text and each of wants(f1, pair, side, c, id, g, docs, multi) that has its set, the set,
     rarest shingle first, for that case."""
@@ -293,6 +299,7 @@ def _filtered(rows: list[np.ndarray], percent: int) -> list[np.ndarray]:
     return [side[at], g[at], n[at], block[at]]
 
 
+@frugal
 def _filter(batches, percent):
     """Rows come sorted by case; each gives the groups whose sets it needs."""
     names = [x.split()[0] for x in NEED.split(", ")]
@@ -364,6 +371,7 @@ def _case(rows: dict[int, tuple], percent: int):
     return out + [(SUMS, names[i], None, int(sums[i])) for i in np.flatnonzero(sums)]
 
 
+@frugal
 def _verified(batches, percent):
     """Rows come sorted by case: one pair of blocks is held at a time."""
     kinds, names = [pa.int32(), pa.int64(), pa.int64(), pa.int64()], [x.split()[0] for x in LINK.split(", ")]

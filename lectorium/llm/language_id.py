@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectorium.llm._io import ship, table
+from lectorium.llm._io import frugal, ship, table
 
 UND = "und"
 PIECE = 1 << 19
@@ -141,6 +141,7 @@ def _letters(texts: list[np.ndarray]) -> list[bool]:
     return out
 
 
+@frugal
 def _predict(batches, model: PpmModel):
     for batch in batches:
         text = batch.column(0)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectorium.llm._io import saved, ship, table
+from lectorium.llm._io import frugal, saved, ship, table
 from lectorium.llm._shingles import _BYTE, _powers, mix, texts_of
 
 LENGTH, GRAM = 100, 32
@@ -74,6 +74,7 @@ class _Text:
         return out
 
 
+@frugal
 def _key_counts(batches, length, gram):
     """The upper 32 bits of the least pieces of all contexts, for the table of frequencies."""
     from lectorium.llm.jaccard_join import FLUSH, _pack_counts
@@ -94,6 +95,7 @@ def _key_counts(batches, length, gram):
 CONTEXT = "key long, id1 long, doc_id long, row long, first int, windows int, periodic boolean"
 
 
+@frugal
 def _contexts(batches, length, gram, hot, singles):
     """The contexts of pieces that aren't hot or, with singles, the single strings of those that are."""
     frequent = hot.value
@@ -132,6 +134,7 @@ def _contexts(batches, length, gram, hot, singles):
 FOUND = "repeated boolean, key long, doc_id long, row long, first int, windows int"
 
 
+@frugal
 def _sift(batches):
     """Rows come sorted by key, id1 and place. Repeated contexts are told at once; of the others those go
     on that share their key with a different one, or can repeat themselves."""
@@ -175,6 +178,7 @@ def _sift(batches):
             yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=[x.split()[0] for x in FOUND.split(", ")])
 
 
+@frugal
 def _bytes_of(batches, length):
     for batch in batches:
         rows = []
@@ -302,6 +306,7 @@ def _index_shard(rows, length):
     )
 
 
+@frugal
 def _index(batches, length):
     """Contexts come sorted by key. Whole keys are gathered up to a shard's size."""
     held, size, last = [], 0, None
@@ -327,6 +332,7 @@ def spans(marks) -> list[tuple[int, int]]:
     return out
 
 
+@frugal
 def _kept(batches, with_text):
     for batch in batches:
         rows = []

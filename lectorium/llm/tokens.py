@@ -23,7 +23,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectorium.llm._io import saved, scratch, ship, table
+from lectorium.llm._io import frugal, saved, scratch, ship, table
 
 #: Chunks kept in each half of a worker's cache, and the longest that is kept.
 CACHE_CHUNKS, CACHE_LENGTH = 600_000, 48
@@ -221,6 +221,7 @@ class Shard:
         self.payload.close()
 
 
+@frugal
 def _write_shard(batches, folder: str, path: str, end_id: int):
     """Write the partition's documents, which come in doc_id order, as one shard."""
     from pyspark import TaskContext
@@ -276,6 +277,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
     return manifest
 
 
+@frugal
 def _shards_of(batches, firsts):
     for batch in batches:
         column = batch.column(0)
@@ -288,6 +290,7 @@ def _shards_of(batches, firsts):
 READ_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
+@frugal
 def _read_keys(batches, manifest, with_ids: bool):
     current, number = None, -1
     for batch in batches:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectorium.llm._io import saved, scratch, ship, table
+from lectorium.llm._io import frugal, saved, scratch, ship, table
 
 SCALE = 256.0
 
@@ -102,6 +102,7 @@ class _Lists:
         self.state = state
 
 
+@frugal
 def _search(batches, blocks, k, tile_rows):
     """blocks: (number, ids, matrix). Gives each query's k best of the task's candidates."""
     from pyspark import TaskContext
@@ -136,6 +137,7 @@ def _merged(lists: DataFrame, tasks: int, k: int) -> DataFrame:
         tasks = -(-tasks // FAN)
 
 
+@frugal
 def _pack(batches, block_rows):
     pending: dict[int, list] = {}
 

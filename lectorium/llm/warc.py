@@ -25,7 +25,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectorium.llm._io import saved, scratch, ship, table
+from lectorium.llm._io import frugal, saved, scratch, ship, table
 
 VERSION = b"WARC/1.1\r\n"
 MAGIC = b"\x1f\x8b\x08"
@@ -229,6 +229,7 @@ def read_records(f, size: int):
         yield "gap", gap, size, None, None
 
 
+@frugal
 def _write_partition(batches, folder: str, roll_bytes: int):
     """Write rows to archives of about roll_bytes each. A file appears under its name only when whole."""
     from pyspark import TaskContext
@@ -280,6 +281,7 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, roll_bytes: in
 RECORD_SCHEMA = "file string, start long, end long, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, block binary"
 
 
+@frugal
 def _read_files(batches, with_block: bool):
     names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
     types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
