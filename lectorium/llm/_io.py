@@ -45,6 +45,13 @@ def ship(spark: SparkSession) -> None:
     sc._lectorium_shipped = True
 
 
+def trim() -> None:
+    """Give freed memory of this Python process back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def frugal(task):
     """Make a generator that runs in a Python worker give back what it has freed when it ends. Workers live on
     for other tasks, and the allocators of C and of Arrow would keep it for themselves."""
@@ -54,9 +61,7 @@ def frugal(task):
         try:
             yield from task(*args, **kwargs)
         finally:
-            pa.default_memory_pool().release_unused()
-            if _TRIM is not None:
-                _TRIM(0)
+            trim()
 
     return wrapped
 
@@ -97,6 +102,7 @@ def release(spark: SparkSession) -> None:
     collect its garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trim()
 
 
 def removed(spark: SparkSession, *frames: DataFrame) -> None:

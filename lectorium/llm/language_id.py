@@ -25,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectorium.llm._io import frugal, ship, table
+from lectorium.llm._io import frugal, ship, table, trim
 
 UND = "und"
+ROWS = 2048
 PIECE = 1 << 19
 
 
@@ -86,10 +87,14 @@ class PpmModel:
             place = np.full(a**3, -1, np.int32)
             place[three] = np.arange(len(three))
             at = place[g[3]]
-            counts3 = np.bincount(at[at >= 0] * a + g[4][at >= 0], minlength=len(three) * a).reshape(len(three), a)
-            under = cls._blend(counts2[three % (a * a)].astype(float), one[three % a])
-            third = cls._blend(counts3.astype(float), under)
-            bits[:, :, n] = -np.log2(np.concatenate([one, second, third]))
+            counts3 = np.bincount(at[at >= 0] * a + g[4][at >= 0], minlength=len(three) * a).astype(np.int32).reshape(len(three), a)
+            del g, at, place
+            bits[: a + len(two), :, n] = -np.log2(np.concatenate([one, second]))
+            for first in range(0, len(three), ROWS):  # few rows at a time, as doubles take room
+                part = three[first : first + ROWS]
+                under = cls._blend(counts2[part % (a * a)].astype(float), one[part % a])
+                bits[a + len(two) + first :][: len(part), :, n] = -np.log2(cls._blend(counts3[first : first + ROWS].astype(float), under))
+            del counts2, counts3
         return cls(languages, symbol, state, bits)
 
     @staticmethod
@@ -175,10 +180,14 @@ def train(docs: DataFrame, docs_per_lang: int = 400, max_chars: int = 20_000, mo
     # A row that is repeated counts once, so that no text is gathered more often than it differs.
     picked = labelled.withColumn("place", place).filter(F.col("place") < share[F.col("lang")]).groupBy("lang", "doc_id", "place").agg(F.min("text").alias("text")).collect()
     samples: dict[str, list[bytes]] = {}
+    trim()
     for r in sorted(picked, key=lambda r: (r["place"], r["doc_id"], r["text"])):
         if len(samples.setdefault(r["lang"], [])) < each:
             samples[r["lang"]].append(r["text"].encode())
-    return PpmModel.fit(samples)
+    del picked
+    model = PpmModel.fit(samples)
+    trim()
+    return model
 
 
 def identify(docs: DataFrame, model: PpmModel, text: str = "text") -> DataFrame:
