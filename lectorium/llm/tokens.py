@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from lectorium.llm._io import frugal, saved, scratch, ship, table
 
-#: Chunks kept in each half of a worker's cache, and the longest that is kept.
-CACHE_CHUNKS, CACHE_LENGTH = 600_000, 48
+#: Chunks, and pieces of them, kept in each half of a worker's cache, and the longest that is kept.
+CACHE_CHUNKS, CACHE_PIECES, CACHE_LENGTH = 600_000, 600_000, 48
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\r\x0b\x0ca-z0-9]+")
 
 
@@ -64,7 +64,7 @@ class Encoder(dict):
             if ids is None:
                 ids = np.asarray([t.id for t in self.tokenizer.model.tokenize(piece)], self.dtype).tobytes()
             if len(piece) <= CACHE_LENGTH:
-                if len(self.pieces) >= CACHE_CHUNKS:
+                if len(self.pieces) >= CACHE_PIECES:
                     self.old_pieces, self.pieces = self.pieces, {}
                 self.pieces[piece] = ids
         return ids
@@ -292,6 +292,7 @@ READ_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 @frugal
 def _read_keys(batches, manifest, with_ids: bool):
+    _ENCODERS.clear()  # the workers that have written need them no more
     current, number = None, -1
     for batch in batches:
         column = batch.column(0)
