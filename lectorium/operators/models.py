@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from lectorium.functions.numeric import md5_order, ratio
 from lectorium.functions.ranks import ntile
+from lectorium.functions.storage import saved
 
 
 def with_fold(df: DataFrame, key: str, folds: int = 5, seed: str = "fold") -> DataFrame:
@@ -97,8 +98,33 @@ def spherical_clusters(rows: DataFrame, vector: str, k: int, seed: int = 11) ->
 
 
 def fuzzy_pairs(left: DataFrame, right: DataFrame, block: str, text: str, most: int = 2, others: bool = False) -> DataFrame:
-    """The nearest right row of each left one within a block by edit distance, if near enough. With others
-    both sides are one table, and no row is its own match."""
+    """The nearest right row of each left one within a block by edit distance, if near enough; ties go to the
+    smallest id. With others both sides are one table, and no row is its own match.
+
+    Only different texts of lengths that may be near are compared: of rows with equal texts the smallest id is
+    the nearest. With others, a text that has two ids is near enough to itself, and only texts of one id are
+    compared with the rest, of which each gives its smallest id, or the next where that is the row's own."""
     l, r = left.select(block, F.col("id").alias("l"), F.col(text).alias("lt")), right.select(block, F.col("id").alias("r"), F.col(text).alias("rt"))
-    j = l.join(r, block).filter(F.col("l") != F.col("r") if others else F.lit(True)).withColumn("d", F.levenshtein("lt", "rt")).filter(F.col("d") <= most)
-    return j.groupBy("l").agg(F.min(F.struct("d", "r")).alias("b")).select("l", F.col("b.r").alias("r"), F.col("b.d").alias("d"))
+    if others:
+        l, r = l.filter("l IS NOT NULL"), r.filter("r IS NOT NULL")
+    # The least struct, not the least id: a null id comes first, as it does in the last step.
+    rights = r.groupBy(block, "rt").agg(F.min(F.struct("r")).alias("r1"))
+    rights = rights.select(block, "rt", F.col("r1.r").alias("r1"))
+    if others:
+        second = r.join(rights, [block, "rt"]).filter("r > r1").groupBy(block, "rt").agg(F.min("r").alias("r2"))
+        rights = saved(rights.join(second, [block, "rt"], "left"), "fuzzy-texts")
+        lefts = rights.filter("r2 IS NULL").select(block, F.col("rt").alias("lt"), F.col("r1").alias("own"))
+        twins = l.join(rights.filter("r2 IS NOT NULL").withColumnRenamed("rt", "lt"), [block, "lt"])
+        twins = twins.select("l", F.struct(F.lit(0).alias("d"), F.when(F.col("l") != F.col("r1"), F.col("r1")).otherwise(F.col("r2")).alias("r")).alias("b"))
+    else:
+        lefts = l.select(block, "lt").distinct()
+    spans = lefts.withColumn("_n", F.explode(F.sequence(F.greatest(F.length("lt") - most, F.lit(0)), F.length("lt") + most)))
+    j = spans.join(rights.withColumn("_n", F.length("rt")), [block, "_n"]).withColumn("d", F.levenshtein("lt", "rt", most)).filter(F.col("d").between(0, most))
+    if others:
+        j = j.withColumn("r", F.when(F.col("r1") != F.col("own"), F.col("r1")).otherwise(F.col("r2"))).filter("r IS NOT NULL")
+    else:
+        j = j.withColumnRenamed("r1", "r")
+    best = l.join(j.groupBy(block, "lt").agg(F.min(F.struct("d", "r")).alias("b")), [block, "lt"]).select("l", "b")
+    if others:
+        best = best.unionByName(twins)
+    return best.groupBy("l").agg(F.min("b").alias("b")).select("l", F.col("b.r").alias("r"), F.col("b.d").alias("d"))

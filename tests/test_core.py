@@ -5,9 +5,11 @@ import gzip
 import io
 import json
 import os
+import random
 import shutil
 import subprocess
 import sys
+import time
 
 import numpy as np
 import pytest
@@ -266,6 +268,44 @@ def test_fuzzy_pairs_of_one_table(spark):
     assert {tuple(r) for r in fuzzy_pairs(w, w, "author_id", "title", 1, others=True).collect()} == {(1, 1500, 0), (2, 1, 1), (1500, 1, 0)}
 
 
+def test_fuzzy_pairs_of_many_copies(spark):
+    """60,000 titles of one author, of which 201 differ: pairs of rows would be 3.6 billion, and take minutes."""
+    w = spark.range(60_001).select("id", F.lit(7).alias("author_id"), F.when(F.col("id") < 60_000, F.concat(F.lit("red "), (F.col("id") % 200 + 100).cast("string"))).otherwise("red 299x").alias("title"))
+    began = time.monotonic()
+    got = {r.l: (r.r, r.d) for r in fuzzy_pairs(w, w, "author_id", "title", 1, others=True).collect()}
+    assert time.monotonic() - began < 60
+    assert got == {i: (i % 200 if i >= 200 else i + 200, 0) for i in range(60_000)} | {60_000: (199, 1)}
+
+
+def test_fuzzy_pairs_against_all_pairs(spark):
+    """Repeated and null ids, blocks and texts, of one table and of two."""
+    draw = random.Random(3)
+
+    def rows(n):
+        return [(draw.choice([None, *range(40)]), draw.choice([None, 1, 2]), draw.choice([None, *("".join(draw.choices("abé", k=k)) for k in range(7))])) for _ in range(n)]
+
+    def distance(a, b):
+        last = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+            last = row
+        return last[-1]
+
+    one, two = rows(60), rows(60)
+    for right, others in ((one, True), (two, False)):
+        best = {}
+        for i, a, s in one:
+            for k, b, t in right:
+                if None in (a, b, s, t) or a != b or (others and (None in (i, k) or i == k)) or distance(s, t) > 2:
+                    continue
+                best[i] = min(best.get(i, (9, -1)), (distance(s, t), -1 if k is None else k))
+        frames = [spark.createDataFrame(x, "id long, author_id long, title string") for x in (one, right)]
+        got = fuzzy_pairs(*frames, "author_id", "title", 2, others=others).collect()
+        assert {r.l: (r.d, -1 if r.r is None else r.r) for r in got} == best and len(got) == len(best)
+
+
 def test_whole_table_queries_see_every_work(spark, tmp_path):
     """300 works: those of ids from 200 on are in the bootstrap, from 100 on in the histogram, and works on
     both sides of 1000 have their nearest title."""
