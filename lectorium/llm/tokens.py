@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -27,16 +28,18 @@ from lectorium.llm._io import frugal, saved, scratch, ship, table
 
 #: Chunks, and pieces of them, kept in each half of a worker's cache, and the longest that is kept.
 CACHE_CHUNKS, CACHE_PIECES, CACHE_LENGTH = 600_000, 600_000, 48
-_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\r\x0b\x0ca-z0-9]+")
+#: Beyond ASCII, characters that an encoder may learn to part by itself: Latin, Cyrillic, punctuation, currencies.
+#: None of them composes with another or with ASCII, and none changes its lower case by what is beside it.
+_LEARNED = "".join(map(chr, (*range(0xA1, 0x250), *range(0x400, 0x460), *range(0x2010, 0x2028), *range(0x2030, 0x205F), *range(0x20A0, 0x20C0))))
 
 
 class Encoder(dict):
     """Chunk between ASCII white space -> its ids as bytes.
 
     Where the tokenizer drops white space and no rule of it crosses white space, a text's ids are those
-    of its chunks in turn, and chunks repeat. split_ascii says that the tokenizer also lower-cases and
-    parts ASCII chunks as _PIECE does, so that their pieces are cached too. The library encodes every
-    piece or chunk that isn't cached.
+    of its chunks in turn, and chunks repeat. Chunks are lower-cased and parted into pieces, which are cached
+    too: by an expression where they are of ASCII and of characters for which the library has shown what it
+    makes of them, else by the library. The library encodes every piece that isn't cached.
     """
 
     def __init__(self, path: str):
@@ -48,11 +51,34 @@ class Encoder(dict):
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         self.by_chunk = made.get("model", {}).get("end_of_word_suffix") == "</w>" and (made.get("normalizer") or {}).get("type") == "Sequence" and {"type": "Lowercase"} in made["normalizer"]["normalizers"]
-        self.special = [t["content"].encode() for t in made.get("added_tokens", [])]
+        self.special = [t["content"].encode() for t in made.get("added_tokens", []) if "<|" not in t["content"]]
+        self.packed = "<%d" + ("H" if self.dtype.itemsize == 2 else "I")
+        if self.by_chunk:
+            self._learn()
         self.pieces: dict[str, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.old_pieces: dict[str, bytes] = {}
 
+    def _learn(self):
+        """Ask the library for each of _LEARNED whether it is a letter or a sign, and how it is written in pieces."""
+        normal, parts = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
+        known, letters, self.written = "", "", {}
+        for c in _LEARNED:
+            low = normal(c)
+            if len(low) != 1 or low != c.lower() or normal(low) != low:
+                continue
+            inside, beside = [p for p, _ in parts(f"a{low}a")], [p for p, _ in parts(f"a{low}!{low}a")]
+            if len(inside) == 1 and inside[0][0] == inside[0][-1] == "a":
+                letters, written = letters + low, inside[0][1:-1]
+            elif low == c and len(beside) == 3 and beside[0] == beside[2] == "a" and "!" in beside[1]:
+                written = beside[1][: beside[1].index("!")]
+            else:
+                continue
+            known, self.written[ord(low)] = known + c, written
+        self.known = re.compile(f"[!-~{re.escape(known)}]+")
+        letters = re.escape("".join(sorted(set(letters))))
+        self.part = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{letters}]+|[0-9]|[^a-z0-9{letters}]+")
+
     def _ids(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
@@ -62,7 +88,8 @@ class Encoder(dict):
         if ids is None:
             ids = self.old_pieces.get(piece)
             if ids is None:
-                ids = np.asarray([t.id for t in self.tokenizer.model.tokenize(piece)], self.dtype).tobytes()
+                found = self.tokenizer.model.tokenize(piece)
+                ids = struct.pack(self.packed % len(found), *[t.id for t in found])
             if len(piece) <= CACHE_LENGTH:
                 if len(self.pieces) >= CACHE_PIECES:
                     self.old_pieces, self.pieces = self.pieces, {}
@@ -84,14 +111,16 @@ class Encoder(dict):
 
     def _chunk(self, chunk: bytes) -> bytes:
         text = chunk.decode()
-        if b"<|" in chunk or any(t in chunk for t in self.special):
-            ids = self._ids(text)
-        elif text.isascii() and text.isprintable():
-            ids = b"".join(map(self._piece, _PIECE.findall(text.lower())))
+        if b"<|" in chunk or (self.special and any(t in chunk for t in self.special)):
+            return self._ids(text)
+        if self.known.fullmatch(text):
+            pieces = self.part.findall(text.lower())
+            if not text.isascii():
+                pieces = [p.translate(self.written) for p in pieces]
         else:
             t = self.tokenizer
-            ids = b"".join([self._piece(p) for p, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(text))])
-        return ids
+            pieces = [p for p, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(text))]
+        return b"".join(map(self._piece, pieces))
 
     def encode(self, text: str | None) -> bytes:
         if not text:

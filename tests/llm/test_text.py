@@ -5,13 +5,14 @@ import os
 import random
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 
 from lectorium.llm.html_text import extract, op7_html_text
 from lectorium.llm.language_id import PpmModel, identify, op5_language_id, train
-from lectorium.llm.tokens import PerfectHash, Shard, default_tokenizer, encoder, key_hash, op6_token_ids, read_tokens, write_tokens
+from lectorium.llm.tokens import _LEARNED, Encoder, PerfectHash, Shard, default_tokenizer, encoder, key_hash, op6_token_ids, read_tokens, write_tokens
 from lectorium.llm.top_k import exact_top_k, op8_exact_top_k
 from lectorium.llm.warc import digest32, member, op10_warc, page_record, read_records, read_warc, write_warc
 
@@ -66,6 +67,18 @@ def test_encoder_equals_the_library():
         assert enc.encode(t) == np.asarray(enc.tokenizer.encode(t, add_special_tokens=False).ids, enc.dtype).tobytes()
 
 
+def test_learned_characters_are_parted_as_the_library_does():
+    """Chunks of ASCII and learned characters need the library's model alone, and give its ids."""
+    enc = Encoder(default_tokenizer())
+    whole = enc.tokenizer
+    texts = [f"{x}" for c in _LEARNED for x in (c, f"A{c}1{c.upper()}!", f"!{c}'s", f"{c}{c}", f"'{c}", f"{c}\u0301")] + ["L'ÉTÉ «naïve» straße—Ærø's €5…", "ЁЖ, жёлтый"]
+    for t in texts:
+        assert enc.encode(t) == np.asarray(whole.encode(t, add_special_tokens=False).ids, enc.dtype).tobytes()
+    fresh = Encoder(default_tokenizer())
+    fresh.tokenizer = SimpleNamespace(model=whole.model)
+    assert all(fresh.encode(t) == enc.encode(t) for t in texts[-2:])
+
+
 def test_token_ids_round_trip(spark, store, odd_documents):
     got = op6_token_ids(spark, store(odd_documents)).collect()
     enc, start, expected = encoder(default_tokenizer()), 0, []
